@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Shape of a decimal number.
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def decimal_comma(text: Column) -> Column:
     """``"2,50"`` to 2.5; NULL when the text is no number, as ``"1.000,00"``."""
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    point = F.replace(text, F.lit(","), F.lit("."))
+    # The cast alone would also take Java suffixes such as "10f".
+    return F.when(point.rlike(NUMBER), point.try_cast("double"))
 
 
 def truncated(text: Column) -> Column:
