@@ -72,24 +72,22 @@ def extract(
     empty = F.coalesce(F.length("text"), F.lit(0)) == 0
     least = _by_layout(layouts, lambda layout: F.lit(layout.min_items))
     kept = [c for c in docs.columns if c not in ("text", table_text)]
-    return (
-        classified.select(
-            *kept,
-            F.when(~empty, F.col("layout")).alias("layout"),
-            *[
-                _by_layout(layouts, lambda x, f=f: headers[x.name][f]).alias(f)
-                for f in HEADER_FIELDS
-            ],
-            F.coalesce(found, no_items()).alias("items"),
-            F.when(empty, F.lit(NO_TEXT)).alias("error"),
-            least.alias("_least"),
-        )
-        .withColumn("items", _named(F.col("items")))
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("total_quantity", total_quantity(F.col("items")))
-        .withColumn("due_missing", F.col("due").isNull())
-        .withColumn("needs_tables", F.col("n_items") < F.col("_least"))
-        .drop("_least")
+    fields = classified.select(
+        *kept,
+        F.when(~empty, F.col("layout")).alias("layout"),
+        *[
+            _by_layout(layouts, lambda x, f=f: headers[x.name][f]).alias(f)
+            for f in HEADER_FIELDS
+        ],
+        _named(F.coalesce(found, no_items())).alias("items"),
+        F.when(empty, F.lit(NO_TEXT)).alias("error"),
+    )
+    return fields.select(
+        "*",
+        F.size("items").cast("long").alias("n_items"),
+        total_quantity(F.col("items")).alias("total_quantity"),
+        F.col("due").isNull().alias("due_missing"),
+        F.coalesce(F.size("items") < least, F.lit(False)).alias("needs_tables"),
     )
 
 

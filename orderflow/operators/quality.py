@@ -16,8 +16,8 @@ MARKS = {
     "bebitalia": "B&B ITALIA",
     "aza": "AZA INTERNATIONAL",
 }
-CODE_TOKEN = r"\b[A-Z]+[0-9]+[A-Z0-9-]*\b"
-QTY_TOKEN = r"\b[0-9]+[.,][0-9]+\b"
+CODE_TOKEN = r"[A-Z]{2,}[0-9]+[A-Z0-9-]*"
+QTY_TOKEN = r"[0-9]+[.,][0-9]+"
 
 
 def document_profile(docs: DataFrame, code: str = CODE_TOKEN, qty: str = QTY_TOKEN) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.plans import order_queries, order_sql
+from orderflow.plans import document_queries, document_sql, order_queries, order_sql
 
-QUERIES = dict(order_queries.QUERIES)
-SQL = dict(order_sql.SQL)
+QUERIES = order_queries.QUERIES | document_queries.QUERIES
+SQL = order_sql.SQL | document_sql.SQL
