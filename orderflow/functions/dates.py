@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import first_match
+from orderflow.functions.text import let, rx
 
 # Date shapes found in order documents (day, month, year).
 ANY_DATE = r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
@@ -17,16 +17,16 @@ LOOSE_SLASH_DATE = r"(\d{1,2}/\d{1,2}/\d{4})"
 
 def day_month_year(text: Column) -> Column:
     """First ``d/m/y`` or ``d-m-y`` in the text as a date; two-digit years are 2000+."""
-    part = lambda i: first_match(text, ANY_DATE, i).try_cast("int")
-    year = part(3)
-    return F.try_make_timestamp(
-        F.when(year < 100, year + 2000).otherwise(year),
-        part(2),
-        part(1),
-        F.lit(0),
-        F.lit(0),
-        F.lit(0),
-    ).cast("date")
+
+    def build(part: Column) -> Column:
+        number = lambda i: F.get(part, F.lit(i)).try_cast("int")
+        century = F.when(F.length(F.get(part, F.lit(2))) < 3, 2000).otherwise(0)
+        zero = F.lit(0)
+        return F.try_make_timestamp(
+            number(2) + century, number(1), number(0), zero, zero, zero
+        ).cast("date")
+
+    return let(F.split(F.regexp_extract(text, rx(ANY_DATE), 0), "[/-]"), build)
 
 
 def iso_day(value: Column) -> Column:

@@ -27,9 +27,23 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags}){pattern}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times inside ``body``.
+
+    Higher-order functions re-evaluate whatever they close over for every
+    element; a one-element transform pins the value as a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def filled(text: Column) -> Column:
+    """The text, or NULL when it is empty; ``nullif`` would evaluate it twice."""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def first_match(text: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """First match of a group, NULL when there is none."""
-    return F.nullif(F.regexp_extract(text, rx(pattern, flags), group), F.lit(""))
+    return filled(F.regexp_extract(text, rx(pattern, flags), group))
 
 
 def all_matches(text: Column, pattern: str, group: int = 0, flags: str = "") -> Column:
@@ -61,15 +75,6 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``.
-
-    Higher-order functions re-evaluate whatever they close over for every
-    element; a one-element transform pins the value as a lambda variable.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def first_of(items: Column) -> Column:
     return F.get(items, F.lit(0))
 

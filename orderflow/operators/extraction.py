@@ -7,8 +7,10 @@ and neither a frequent layout nor a long document creates a hot task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,61 +45,101 @@ def _named(items: Column) -> Column:
     )
 
 
+def _once(df: DataFrame, kept: Sequence[str], fields: Sequence[Column]) -> DataFrame:
+    """Compute the fields one time per row.
+
+    Filters and projections on top of a plain projection are merged into it,
+    which would run the extraction again for every mention of a field. A
+    generated one-row struct is a boundary they do not cross.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*fields))))
+
+
 def extract(
     docs: DataFrame,
     layouts: Sequence[Layout] = DEFAULT_LAYOUTS,
     path: str | None = "path",
     table_text: str | None = None,
+    headers: bool = True,
+    items: bool = True,
 ) -> DataFrame:
     """Layout, header fields and items of every document.
 
     Documents come as (doc_id, text) with optional path and optional table
     text; the latter is read only where a layout found too few items itself.
+    Switch off ``headers`` or ``items`` where only the other part is wanted.
     """
+    fields = _fields(tuple(layouts), path, table_text, headers, items, _gateway())
+    kept = [c for c in docs.columns if c not in ("text", table_text)]
+    found = _once(classify_layout(docs, layouts), kept, fields)
+    if headers:
+        found = found.withColumn("due_missing", F.col("due").isNull())
+    if items:
+        least = _by_layout(layouts, lambda layout: F.lit(layout.min_items))
+        found = found.select(
+            "*",
+            F.size("items").cast("long").alias("n_items"),
+            total_quantity(F.col("items")).alias("total_quantity"),
+            F.coalesce(F.size("items") < least, F.lit(False)).alias("needs_tables"),
+        )
+    return found
+
+
+def _gateway() -> int:
+    """Identity of the running JVM connection that column objects belong to."""
+    return id(SparkContext._gateway)
+
+
+@functools.lru_cache(maxsize=32)
+def _fields(
+    layouts: tuple[Layout, ...],
+    path: str | None,
+    table_text: str | None,
+    headers: bool,
+    items: bool,
+    gateway: int,
+) -> tuple[Column, ...]:
+    """Columns of the extraction. They name their inputs, not a DataFrame, so
+    one set serves every corpus; building it takes thousands of JVM calls."""
     text = F.col("text")
     where = F.col(path) if path else F.lit(None).cast("string")
-    headers = {layout.name: layout.header(text, where) for layout in layouts}
-    classified = classify_layout(docs, layouts)
-    found = _by_layout(layouts, lambda layout: layout.items(text))
-    if table_text:
-        plain = lambda: F.transform(
-            table_items(F.col(table_text)), lambda x: item(x["code"], x["name"], x["qty"])
-        )
-        tables = F.when(
-            F.col("layout").isin([x.name for x in layouts if x.reads_tables])
-            & F.col(table_text).isNotNull(),
-            plain(),
-        )
-        found = first_non_empty(found, tables)
     empty = F.coalesce(F.length("text"), F.lit(0)) == 0
-    least = _by_layout(layouts, lambda layout: F.lit(layout.min_items))
-    kept = [c for c in docs.columns if c not in ("text", table_text)]
-    fields = classified.select(
-        *kept,
+    fields = [
         F.when(~empty, F.col("layout")).alias("layout"),
-        *[
-            _by_layout(layouts, lambda x, f=f: headers[x.name][f]).alias(f)
-            for f in HEADER_FIELDS
-        ],
-        _named(F.coalesce(found, no_items())).alias("items"),
         F.when(empty, F.lit(NO_TEXT)).alias("error"),
+    ]
+    if headers:
+        by_name = {layout.name: layout.header(text, where) for layout in layouts}
+        fields += [
+            _by_layout(layouts, lambda x, f=f: by_name[x.name][f]).alias(f)
+            for f in HEADER_FIELDS
+        ]
+    if items:
+        fields.append(_named(_found_items(layouts, table_text)).alias("items"))
+    return tuple(fields)
+
+
+def _found_items(layouts: Sequence[Layout], table_text: str | None) -> Column:
+    found = _by_layout(layouts, lambda layout: layout.items(F.col("text")))
+    if not table_text:
+        return F.coalesce(found, no_items())
+    from_tables = F.transform(
+        table_items(F.col(table_text)), lambda x: item(x["code"], x["name"], x["qty"])
     )
-    return fields.select(
-        "*",
-        F.size("items").cast("long").alias("n_items"),
-        total_quantity(F.col("items")).alias("total_quantity"),
-        F.col("due").isNull().alias("due_missing"),
-        F.coalesce(F.size("items") < least, F.lit(False)).alias("needs_tables"),
+    readers = [layout.name for layout in layouts if layout.reads_tables]
+    usable = F.col("layout").isin(readers) & F.col(table_text).isNotNull()
+    return F.coalesce(
+        first_non_empty(found, F.when(usable, from_tables)), no_items()
     )
 
 
 def extract_headers(docs: DataFrame, **options) -> DataFrame:
-    return extract(docs, **options).drop("items")
+    return extract(docs, items=False, **options)
 
 
 def extract_items(docs: DataFrame, **options) -> DataFrame:
     """Items as rows: (doc_id, layout, pos, code, name, qty)."""
-    return items_as_rows(extract(docs, **options))
+    return items_as_rows(extract(docs, headers=False, **options))
 
 
 def items_as_rows(extracted: DataFrame) -> DataFrame:

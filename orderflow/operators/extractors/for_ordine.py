@@ -10,9 +10,12 @@ from orderflow.functions.numbers import whole
 from orderflow.functions.text import (
     all_matches,
     contains_any,
+    filled,
     first_match,
+    let,
     lines_of,
     matches,
+    rx,
     squeeze,
     strip,
 )
@@ -62,40 +65,41 @@ SEGMENT = (
 )
 
 
+def _company_line(head: Column) -> Column:
+    def company(line: Column) -> Column:
+        return let(
+            F.upper(line),
+            lambda upper: F.length(line).between(4, 100)
+            & contains_any(upper, COMPANY_WORDS)
+            & ~matches(upper, CONTACT_LINE)
+            & ~matches(upper, TABLE_LINE),
+        )
+
+    return first_line(stripped_lines(head), company)
+
+
+def _company_name(head: Column, name: str) -> Column:
+    """A known name with its legal form, read from the text right behind it."""
+    near = F.regexp_extract(head, rx(f"{name}.{{0,{NAME_CONTEXT - len(name)}}}", "is"), 0)
+    return filled(squeeze(F.regexp_extract(near, rx(name + COMPANY_TAIL, "i"), 0)))
+
+
 def _client(text: Column, path: Column) -> Column:
-    head = text_before(text, HEADER_ENDS, HEADER_LENGTH)
-    by_line = first_line(
-        stripped_lines(head),
-        lambda x: (F.length(x) > 3)
-        & (F.length(x) <= 100)
-        & ~matches(F.upper(x), CONTACT_LINE)
-        & ~matches(F.upper(x), TABLE_LINE)
-        & contains_any(F.upper(x), COMPANY_WORDS),
+    found = let(
+        text_before(text, HEADER_ENDS, HEADER_LENGTH),
+        lambda head: F.coalesce(
+            _company_line(head), *[_company_name(head, n) for n in COMPANY_NAMES]
+        ),
     )
-    by_name = [
-        squeeze(
-            first_match(
-                first_match(head, f"{n}.{{0,{NAME_CONTEXT - len(n)}}}", 0, "is"),
-                n + COMPANY_TAIL,
-                0,
-                "i",
-            )
-        )
-        for n in COMPANY_NAMES
-    ]
-    found = F.coalesce(by_line, *by_name)
-    accepted = F.when(~contains_any(F.upper(found), NOT_A_CLIENT), found)
+    accepted = let(found, lambda c: F.when(~contains_any(F.upper(c), NOT_A_CLIENT), c))
     return F.coalesce(known_client(path, KNOWN_CLIENTS), accepted)
 
 
 def _number(text: Column) -> Column:
     def pick(previous: Column, line: Column, following: Column) -> Column:
-        above = strip(previous)
+        above = let(strip(previous), lambda p: F.when(matches(p, r"^\d+$"), p))
         return F.when(
-            F.contains(line, F.lit(MARK)),
-            F.coalesce(
-                first_match(line, r"/(\d+)"), F.when(matches(above, r"^\d+$"), above)
-            ),
+            F.contains(line, F.lit(MARK)), F.coalesce(first_match(line, r"/(\d+)"), above)
         )
 
     return F.coalesce(
@@ -134,10 +138,7 @@ def items_before_dash(text: Column) -> Column:
         lambda x: item(
             strip(first_match(x, CODE_BEFORE_DASH)),
             F.coalesce(
-                F.nullif(
-                    squeeze(first_match(x, NAME_BEFORE_UNIT), NAME_LENGTH), F.lit("")
-                ),
-                F.lit("N/A"),
+                filled(squeeze(first_match(x, NAME_BEFORE_UNIT), NAME_LENGTH)), F.lit("N/A")
             ),
             whole(first_match(x, r"^\s*(\d+)\s+")),
         ),

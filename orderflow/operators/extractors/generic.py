@@ -55,39 +55,50 @@ PIPE_ITEM = r"\|([A-Z0-9]{2,})\s*\|\s*([A-Za-z\s]+?)\s*\|.*?(\d+(?:[.,]\d+)?)\s*
 MIN_FIELDS, MIN_NAME = 3, 4
 
 
-def _labelled(text: Column, pattern: str, flags: str, reject: str, at_start: bool) -> Column:
+def _labelled(text: Column, pattern: str, flags: str, accept) -> Column:
+    """Name behind a label, unless it is not acceptable."""
     name = strip(first_match(text, pattern, 1, flags))
-    upper = F.upper(name)
-    bad = F.startswith(upper, F.lit(reject)) if at_start else F.contains(upper, F.lit(reject))
-    return F.when(~bad, name)
+    return let(name, lambda n: F.when(accept(n), n))
+
+
+def _not_recipient(name: Column) -> Column:
+    return ~F.contains(F.upper(name), F.lit(RECIPIENT))
 
 
 def _free_line(text: Column) -> Column:
     """First head line that names a company or at least two ordinary words."""
 
     def candidate(line: Column) -> Column:
-        upper = F.upper(line)
-        cut = strip(F.regexp_extract(line, r"^[^|-]*", 0))
-        company = contains_any(upper, COMPANY_WORDS)
-        words = (
-            ~contains_any(upper, HEADER_WORDS)
-            & (F.length(line) > 5)
-            & matches(line, r"\S\s+\S")
-        )
-        usable = (F.length(cut) > 3) & ~F.startswith(F.upper(cut), F.lit(RECIPIENT))
-        return F.when(~matches(line, RULE_LINE) & (company | words) & usable, cut)
+        def judge(upper: Column, cut: Column) -> Column:
+            words = (
+                (F.length(line) > 5)
+                & ~contains_any(upper, HEADER_WORDS)
+                & matches(line, r"\S\s+\S")
+            )
+            usable = (F.length(cut) > 3) & ~F.startswith(F.upper(cut), F.lit(RECIPIENT))
+            fits = usable & (contains_any(upper, COMPANY_WORDS) | words)
+            return F.when(fits & ~matches(line, RULE_LINE), cut)
+
+        before_bar = strip(F.regexp_extract(line, r"^[^|-]*", 0))
+        return let(F.upper(line), lambda u: let(before_bar, lambda cut: judge(u, cut)))
 
     head = F.slice(stripped_lines(text), 1, HEAD_LINES)
     return first_of(F.array_compact(F.transform(head, candidate)))
 
 
 def _client(text: Column) -> Column:
-    heading = _labelled(text, HEADING, "m", "ORDINE", False)
     return F.coalesce(
-        F.when(F.length(heading) > 3, heading),
-        _labelled(text, GREETING, "i", RECIPIENT, False),
-        _labelled(text, DELIVERED_AT, "i", RECIPIENT, False),
-        _labelled(text, ADDRESSED_TO, "i", RECIPIENT, True),
+        _labelled(
+            text,
+            HEADING,
+            "m",
+            lambda n: (F.length(n) > 3) & ~F.contains(F.upper(n), F.lit("ORDINE")),
+        ),
+        _labelled(text, GREETING, "i", _not_recipient),
+        _labelled(text, DELIVERED_AT, "i", _not_recipient),
+        _labelled(
+            text, ADDRESSED_TO, "i", lambda n: ~F.startswith(F.upper(n), F.lit(RECIPIENT))
+        ),
         _free_line(text),
     )
 

@@ -49,15 +49,18 @@ NAME_LENGTH = 80
 
 def _client(text: Column, path: Column) -> Column:
     def company(line: Column) -> Column:
-        upper = F.upper(line)
-        recipient = F.contains(upper, F.lit(RECIPIENT)) & contains_any(upper, RECIPIENT_FORMS)
-        return (
-            (F.length(line) > 3)
-            & (F.length(line) < 100)
-            & ~matches(upper, SKIPPED_LINE)
-            & ~recipient
-            & contains_any(upper, COMPANY_WORDS)
-        )
+        def judge(upper: Column) -> Column:
+            recipient = F.contains(upper, F.lit(RECIPIENT)) & contains_any(
+                upper, RECIPIENT_FORMS
+            )
+            return (
+                F.length(line).between(4, 99)
+                & contains_any(upper, COMPANY_WORDS)
+                & ~matches(upper, SKIPPED_LINE)
+                & ~recipient
+            )
+
+        return let(F.upper(line), judge)
 
     head = stripped_lines(F.substring(text, 1, HEADER_LENGTH))
     return F.coalesce(known_client(path, KNOWN_CLIENTS), first_line(head, company))

@@ -36,9 +36,10 @@ def head_lines(text: Column, n: int) -> Column:
 
 def text_before(text: Column, markers: list[str], limit: int) -> Column:
     """Text before the first marker that occurs, at most ``limit`` characters."""
-    end = F.coalesce(
-        *[F.nullif(F.locate(m, text), F.lit(0)) - 1 for m in markers], F.lit(limit)
-    )
+    end = F.lit(limit)
+    for marker in reversed(markers):
+        at = F.locate(marker, text)
+        end = F.when(at > 0, at - 1).otherwise(end)
     return F.substring(text, F.lit(1), F.least(end, F.lit(limit)))
 
 

@@ -10,7 +10,8 @@ from orderflow.functions.text import all_matches, contains_any, first_of, lines_
 from orderflow.operators import ingest as I
 from orderflow.operators import lines as N
 from orderflow.operators import quality as Y
-from orderflow.operators.extraction import extract, items_as_rows
+from orderflow.operators import extraction as X
+from orderflow.operators.extraction import extract, extract_items
 from orderflow.operators.extractors.common import known_client
 from orderflow.operators.extractors.for_ordine import KNOWN_CLIENTS
 from orderflow.operators.layout import classify_layout
@@ -154,7 +155,7 @@ def html_titles(spark, folder):
 
 
 def _items(spark, folder, layout: str) -> DataFrame:
-    return items_as_rows(extract(render(spark, folder, layout)))
+    return extract_items(render(spark, folder, layout))
 
 
 def _layout_query(layout: str):
@@ -169,7 +170,7 @@ def mixed_extraction(spark, folder) -> DataFrame:
 
 
 def extract_headers(spark, folder):
-    return mixed_extraction(spark, folder).select(
+    return X.extract_headers(render_mixed(spark, folder)).select(
         "doc_id",
         "layout",
         "client",
@@ -181,7 +182,7 @@ def extract_headers(spark, folder):
 
 
 def extract_mixed_items(spark, folder):
-    return items_as_rows(mixed_extraction(spark, folder))
+    return extract_items(render_mixed(spark, folder))
 
 
 def extract_totals(spark, folder):
@@ -300,7 +301,9 @@ def table_fallback(spark, folder):
         F.lit("DIVISIONE CUCINE").alias("text"),
         F.col("text").alias("tables"),
     )
-    return extract(docs, table_text="tables").select("doc_id", "layout", "n_items", "total_quantity")
+    return extract(docs, table_text="tables", headers=False).select(
+        "doc_id", "layout", "n_items", "total_quantity"
+    )
 
 
 QUERIES = {

@@ -204,8 +204,9 @@ def _documents(
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
         .withColumn(
             "body",
-            F.nullif(
-                F.array_join(F.transform("entries", lambda x: x["line"]), "\n"), F.lit("")
+            F.when(
+                F.size("entries") > 0,
+                F.array_join(F.transform("entries", lambda x: x["line"]), "\n"),
             ),
         )
         .select(
