@@ -11,6 +11,12 @@ from orderflow.operators.extraction import NO_TEXT
 PAGES_PER_PART = 1000
 
 
+def suffix_glob(suffix: str) -> str:
+    """Glob for names ending in ``suffix`` in any case."""
+    letters = [f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix]
+    return "*" + "".join(letters)
+
+
 def read_corpus(
     spark: SparkSession, path: str, suffix: str = ".txt", recursive: bool = False
 ) -> DataFrame:
@@ -18,12 +24,9 @@ def read_corpus(
 
     The case-blind glob keeps other files from being opened at all.
     """
-    glob = "*" + "".join(
-        f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix
-    )
     files = (
         spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", suffix_glob(suffix))
         .option("recursiveFileLookup", str(recursive).lower())
         .text(path)
     )
