@@ -25,10 +25,9 @@ def read_corpus(
     The case-blind glob keeps other files from being opened at all.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", suffix_glob(suffix))
+        spark.read.option("pathGlobFilter", suffix_glob(suffix))
         .option("recursiveFileLookup", str(recursive).lower())
-        .text(path)
+        .text(path, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"),
