@@ -21,7 +21,11 @@ from orderflow.plans.rendering import render, render_mixed
 from orderflow.sources import corpus as C
 from orderflow.sources import workorders as W
 
-TEXT = F.col("text")
+
+
+def _text():
+    # Columns need a running session, so none is made at import time.
+    return F.col("text")
 
 
 def _documents(spark, folder) -> DataFrame:
@@ -37,9 +41,9 @@ def doc_lines(spark, folder):
 def doc_head(spark, folder):
     return _documents(spark, folder).select(
         "doc_id",
-        N.head_chars(TEXT, 500).alias("head"),
-        N.text_before(TEXT, ["License", "the"], 1000).alias("before_mark"),
-        F.array_join(N.head_lines(TEXT, 30), "/").alias("head_lines"),
+        N.head_chars(_text(), 500).alias("head"),
+        N.text_before(_text(), ["License", "the"], 1000).alias("before_mark"),
+        F.array_join(N.head_lines(_text(), 30), "/").alias("head_lines"),
     )
 
 
@@ -53,7 +57,7 @@ def doc_first_line(spark, folder):
     def ordinary(x):
         return (F.length(x) > 20) & ~matches(x, r"^(The|Der|La|El) ")
 
-    lines = N.stripped_lines(TEXT)
+    lines = N.stripped_lines(_text())
     return _documents(spark, folder).select(
         "doc_id",
         N.first_line(F.slice(lines, 1, 30), ordinary).alias("first_line"),
@@ -98,7 +102,7 @@ def block_segments(spark, folder):
 
 def doc_islands(spark, folder):
     """Runs of at least three lines that hold a comma."""
-    runs = N.islands(lines_of(TEXT), lambda x: F.contains(x, F.lit(",")), 3)
+    runs = N.islands(lines_of(_text()), lambda x: F.contains(x, F.lit(",")), 3)
     return (
         _documents(spark, folder)
         .select("doc_id", F.posexplode(runs).alias("island", "lines"))
@@ -116,14 +120,14 @@ def doc_until(spark, folder):
     stop = lambda x: contains_any(x, ["License", "license"]) | matches(x, "[0-9]")
     return _documents(spark, folder).select(
         "doc_id",
-        F.size(N.until(lines_of(TEXT), stop)).cast("long").alias("n_lines"),
+        F.size(N.until(lines_of(_text()), stop)).cast("long").alias("n_lines"),
     )
 
 
 def doc_code_segments(spark, folder):
     """Text between one capital word and the next, as rows."""
     segments = F.filter(
-        F.split(TEXT, r"(?<![A-Z])(?=[A-Z]{2,})", -1), lambda p: matches(p, "^[A-Z]{2,}")
+        F.split(_text(), r"(?<![A-Z])(?=[A-Z]{2,})", -1), lambda p: matches(p, "^[A-Z]{2,}")
     )
     return _documents(spark, folder).select(
         "doc_id", F.posexplode(segments).alias("segment", "part")
