@@ -95,6 +95,12 @@ def completions(events: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
+def known_completions(done: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Completions in phases the order has a step for; folding needs no such
+    filter, as it starts from the steps."""
+    return done.join(seeds.select("order_id", "phase"), ["order_id", "phase"], "left_semi")
+
+
 def fold_steps(
     seeds: DataFrame,
     events: DataFrame,
@@ -183,9 +189,7 @@ def last_notes(events: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def phase_rejects(
-    events: DataFrame, seeds: DataFrame, steps: DataFrame
-) -> DataFrame:
+def phase_rejects(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Events, or single indices of them, that change nothing, with a reason.
 
     One join of the raw events with the folded steps on (order, phase); the
@@ -198,19 +202,15 @@ def phase_rejects(
         "started_at",
         "ended_at",
     )
-    starts = (
-        events.where(F.col("action") == START)
-        .groupBy("order_id", "phase")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first_start"))
-    )
-    ends = (
-        events.where(F.col("action") == COMPLETE)
-        .groupBy("order_id", "phase")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first_complete"))
-    )
-    state = state.join(starts, ["order_id", "phase"], "left").join(
-        ends, ["order_id", "phase"], "left"
+    first = events.groupBy("order_id", "phase").agg(
+        *[
+            F.min(
+                F.when(F.col("action") == action, F.struct("ts", "event_id"))
+            ).alias(f"first_{action}")
+            for action in (START, COMPLETE)
+        ]
     )
+    state = state.join(first, ["order_id", "phase"], "left")
     rows = events.select(
         "event_id",
         "order_id",
@@ -256,11 +256,9 @@ def fold_phase_events(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Steps, article completions and rejects of an event log."""
     seeds = seed_steps(articles) if seeds is None else seeds
-    done = completions(events, articles).join(
-        seeds.select("order_id", "phase"), ["order_id", "phase"], "left_semi"
-    )
-    steps = fold_steps(seeds, events, done, mode)
-    return steps, done, phase_rejects(events, seeds, steps)
+    marked = completions(events, articles)
+    steps = fold_steps(seeds, events, marked, mode)
+    return steps, known_completions(marked, seeds), phase_rejects(events, steps)
 
 
 def order_progress(steps: DataFrame) -> DataFrame:

@@ -25,10 +25,12 @@ class State:
         self.lines = W.work_lines(spark, folder)
         self.events = W.work_events(spark, folder)
         self.seeds = P.seed_steps(self.lines)
-        self.done = P.completions(self.events, self.articles).join(
-            self.seeds.select("order_id", "phase"), ["order_id", "phase"], "left_semi"
-        )
-        self.steps = P.fold_steps(self.seeds, self.events, self.done, mode)
+        self.marked = P.completions(self.events, self.articles)
+        self.steps = P.fold_steps(self.seeds, self.events, self.marked, mode)
+
+    @property
+    def done(self) -> DataFrame:
+        return P.known_completions(self.marked, self.seeds)
 
     @property
     def states(self) -> DataFrame:
@@ -117,7 +119,7 @@ def partial_completion(spark, folder):
 
 def phase_rejects(spark, folder):
     s = State(spark, folder)
-    return P.phase_rejects(s.events, s.seeds, s.steps).withColumn(
+    return P.phase_rejects(s.events, s.steps).withColumn(
         "idx", F.col("idx").cast("long")
     )
 

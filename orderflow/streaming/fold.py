@@ -139,8 +139,4 @@ def current_steps(
 ) -> DataFrame:
     """Steps from a fold, by the same rules as from the full event log."""
     events = as_events(fold)
-    seeds = seed_steps(articles)
-    done = completions(events, articles).join(
-        seeds.select("order_id", "phase"), ["order_id", "phase"], "left_semi"
-    )
-    return fold_steps(seeds, events, done, mode)
+    return fold_steps(seed_steps(articles), events, completions(events, articles), mode)
