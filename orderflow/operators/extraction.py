@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.text import first_non_empty, strip
-from orderflow.operators.extractors.common import item, no_items
+from orderflow.operators.extractors.common import company_name, item, no_items
 from orderflow.operators.layout import DEFAULT_LAYOUTS, Layout, classify_layout
 from orderflow.operators.mdtable import table_items
 from orderflow.operators.orders import total_quantity
@@ -110,6 +110,13 @@ def _fields(
     ]
     if headers:
         by_name = {layout.name: layout.header(text, where) for layout in layouts}
+        if table_text:
+            for layout in layouts:
+                if layout.client_from_tables:
+                    found = by_name[layout.name]
+                    found["client"] = F.coalesce(
+                        found["client"], company_name(F.col(table_text))
+                    )
         fields += [
             _by_layout(layouts, lambda x, f=f: by_name[x.name][f]).alias(f)
             for f in HEADER_FIELDS

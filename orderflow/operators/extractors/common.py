@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import contains_any, let
+from orderflow.functions.text import contains_any, let, matches, strip
 
 ITEM_TYPE = "array<struct<code:string,name:string,qty:double>>"
 # Largest plausible quantity and length of a description.
@@ -15,6 +15,9 @@ MAX_QTY = 10_000
 NAME_LENGTH = 150
 # Words that show a description is a table heading.
 HEADING_WORDS = ["descrizione", "prodotto"]
+# Lines that are no company name, and how far a company name is looked for.
+ADDRESS_LINE = r"^(VIA|TEL|FAX|EMAIL|MAIL|PAGE|N\.|DATA|NUMERO|CODICE)"
+COMPANY_LENGTH = 800
 
 
 def item(code: Column, name: Column, qty: Column) -> Column:
@@ -41,6 +44,19 @@ def known_client(path: Column, clients: Sequence[tuple[str, str]]) -> Column:
     return chosen
 
 
+def company_name(text: Column) -> Column:
+    """First company line near the start of a converted text, not an address."""
+    lines = F.transform(F.split(F.substring(text, 1, COMPANY_LENGTH), "\n", -1), strip)
+
+    def named(line: Column) -> Column:
+        legal = (F.contains(line, F.lit("S.r.l")) & matches(line, r"\p{Lu}")) | contains_any(
+            line, ["SpA", "S.p.A"]
+        )
+        return legal & F.length(line).between(4, 99) & ~matches(F.upper(line), ADDRESS_LINE)
+
+    return F.get(F.filter(lines, named), F.lit(0))
+
+
 def first_per_code(primary: Column, secondary: Column | None = None) -> Column:
     """Drop repeated codes, keeping order.
 

@@ -27,7 +27,8 @@ class Layout:
     ``recognise(text, upper)`` gives a boolean column; ``header(text, path)``
     a dict of client, order_no, due and received; ``items(text)`` an array of
     code, name and qty. Texts with fewer than ``min_items`` items call for the
-    table text, which ``reads_tables`` layouts can use.
+    table text, which ``reads_tables`` layouts can use; a missing client of a
+    ``client_from_tables`` layout is looked for there too.
     """
 
     name: str
@@ -36,6 +37,7 @@ class Layout:
     items: Callable[[Column], Column]
     min_items: int = 1
     reads_tables: bool = True
+    client_from_tables: bool = False
 
 
 def _has(text: Column, *words: str) -> Column:
@@ -82,7 +84,14 @@ DEFAULT_LAYOUTS = (
     Layout("OAFA", _is_oafa, oafa.header, oafa.items, min_items=5),
     Layout("FOR_ORDINE_AZA", _is_aza, aza.header, aza.items, reads_tables=False),
     Layout("FOR_ORDINE", _is_for_ordine, for_ordine.header, for_ordine.items),
-    Layout("ORDINE_LS", _is_ordine_ls, ordine_ls.header, ordine_ls.items, reads_tables=False),
+    Layout(
+        "ORDINE_LS",
+        _is_ordine_ls,
+        ordine_ls.header,
+        ordine_ls.items,
+        reads_tables=False,
+        client_from_tables=True,
+    ),
     Layout("GENERIC", _is_anything, generic.header, generic.items, min_items=5),
 )
 

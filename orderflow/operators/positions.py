@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.session import checkpoint_dir, plan_bytes
+from orderflow.session import checkpoint_dir, input_bytes
 
 # An input up to this size cannot hold a group too large for one task.
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
@@ -21,8 +21,8 @@ def with_position(
     group: Sequence[str],
     order: Sequence[Column],
     name: str = "idx",
-    hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_INPUT_BYTES,
+    hot_rows: int | None = None,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 0 in the given total order.
 
@@ -31,9 +31,11 @@ def with_position(
     piece starting where the pieces before it end, so no task ever holds more
     than one piece. Small inputs skip the check. Group keys must not be NULL.
     """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    small_bytes = SMALL_INPUT_BYTES if small_bytes is None else small_bytes
     window = Window.partitionBy(*group).orderBy(*order)
     plain = df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
-    size = plan_bytes(df)
+    size = input_bytes(df)
     if size is not None and size <= small_bytes:
         return plain
 

@@ -47,6 +47,12 @@ def doc_head(spark, folder):
     )
 
 
+def first_documents(spark, folder):
+    """The first eight documents of the rendered corpus, by path."""
+    docs = render_mixed(spark, folder).select("path", "doc_id")
+    return Y.first_documents(docs, 8)
+
+
 def doc_layout(spark, folder):
     return classify_layout(_documents(spark, folder)).select("doc_id", "layout")
 
@@ -313,7 +319,7 @@ def table_fallback(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_lines, doc_head, doc_layout, doc_first_line, doc_profile,
+        doc_lines, doc_head, first_documents, doc_layout, doc_first_line, doc_profile,
         doc_profile_summary, doc_line_marks, block_segments, doc_islands,
         doc_until, doc_code_segments, page_texts, html_titles,
         extract_headers, extract_mixed_items, extract_totals, rendered_layout,

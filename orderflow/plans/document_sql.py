@@ -176,6 +176,7 @@ SELECT doc_id, substring(text, 1, 500) AS head,
          ELSE 1000 END) AS before_mark,
        array_to_string(list_slice(string_split(text, chr(10)), 1, 30), '/') AS head_lines
 FROM documents""",
+    "first_documents": BATCH + "\nSELECT path, doc_id FROM headers ORDER BY path LIMIT 8",
     "doc_layout": _with(LAYOUT) + "\nSELECT doc_id, layout FROM layouts",
     "doc_first_line": _with(LINES, STRIPPED)
     + f""",

@@ -351,6 +351,28 @@ def order_documents(spark, folder):
     )
 
 
+def order_details(spark, folder):
+    """Nested documents whose articles carry their state."""
+    s = State(spark, folder)
+    docs = O.order_documents(
+        s.orders().select("order_id", "client", "estimate_minutes"), s.states, s.steps
+    )
+    state = lambda a: F.concat_ws(
+        ":",
+        a["idx"],
+        a["code"],
+        F.array_join(a["completed_phases"], "+"),
+        F.coalesce(a["next_phase"], F.lit("DONE")),
+    )
+    return docs.select(
+        "order_id",
+        "page",
+        "client",
+        F.array_join(F.transform("articles", state), " ").alias("articles"),
+        F.size("steps").cast("long").alias("n_steps"),
+    )
+
+
 def orders_json(spark, folder):
     """Orders written as JSON requests and read back with defaults."""
     articles = W.work_articles(spark, folder)
@@ -414,7 +436,7 @@ QUERIES = {
         completion_notifications, phase_duration, active_elapsed, step_history,
         phase_performance, archive_stats, archive_report, calendar_month,
         calendar_entries, order_urgency, kanban_board, remaining_minutes,
-        cutting_plan, article_update, order_documents, orders_json,
+        cutting_plan, article_update, order_documents, order_details, orders_json,
         article_phases_inherited, duplicate_orders,
     )
 }

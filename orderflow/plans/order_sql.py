@@ -386,6 +386,17 @@ SELECT s.order_id, coalesce(l.page, 0) AS page, s.client, s.status,
        coalesce(l.articles, '') AS articles, coalesce(m.steps, '') AS steps
 FROM status s LEFT JOIN lists l ON l.order_id = s.order_id
 LEFT JOIN marks2 m ON m.order_id = s.order_id""",
+    "order_details": STATES
+    + """,
+lists AS (
+  SELECT order_id, idx // 1000 AS page,
+         string_agg(idx || ':' || code || ':' || replace(completed_phases, ' ', '+') || ':'
+                    || coalesce(next_phase, 'DONE'), ' ' ORDER BY idx) AS articles
+  FROM states GROUP BY order_id, idx // 1000)
+SELECT o.order_id, coalesce(l.page, 0) AS page, o.client, coalesce(l.articles, '') AS articles,
+       coalesce(p.n_steps, 0) AS n_steps
+FROM wo_orders o LEFT JOIN lists l ON l.order_id = o.order_id
+LEFT JOIN progress p ON p.order_id = o.order_id""",
     "orders_json": _with(ORDERS, ARTICLES)
     + f"""
 SELECT o.order_id, o.client, {day('o.due')} AS due, coalesce(t.n_articles, 0) AS n_articles,

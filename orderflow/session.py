@@ -63,12 +63,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of a DataFrame, or None where unavailable.
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the files and tables a DataFrame reads, None where unknown.
 
-    For a file scan this is the size of the listed files, so it costs no job.
+    Adds up the leaves of the optimized plan: the files are already listed, so
+    this costs no job, and joins do not inflate it as the estimate of the
+    whole plan would.
     """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+        return sum(int(str(size)) for size in sizes)
     except Exception:
         return None

@@ -284,6 +284,17 @@ def test_table_text_is_a_fallback(spark):
     assert rows["c"]["items"] == []
 
 
+def test_company_from_table_text(spark):
+    converted = "Via Roma S.p.A.\nsrl\nBianchi Metalli S.r.l.\nVerdi SpA"
+    docs = spark.createDataFrame(
+        [("a", "ordine LS n. 1", converted), ("b", "nota", converted), ("c", "ordine LS", None)],
+        "doc_id string, text string, tables string",
+    )
+    rows = {r.doc_id: r for r in extract(docs, path=None, table_text="tables").collect()}
+    assert rows["a"].client == "Bianchi Metalli S.r.l."
+    assert rows["b"].client is None and rows["c"].client is None
+
+
 def test_registered_layout(spark):
     own = L.Layout(
         "OWN",
