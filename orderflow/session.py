@@ -18,6 +18,10 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot order even if that costs one more shuffle after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows already partitioned by order stay put in joins on (order, idx) and
+    # (order, phase). Groups too large for that leave the numbering unpartitioned
+    # and are spread by all join keys.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
