@@ -89,7 +89,7 @@ def oafa_text(order="before"):
         else:
             rows += [*name, qty, "Nr", "18/02/26", code, job]
     head = ["Documento", "Spett.le", "Ordine Fornitore", "A  000125", "30/01/2026",
-            "LS Srl", "DECA S.r.l.", "C25-365"]
+            "Cliente Srl", "DECA S.r.l.", "C25-365"]
     return "\n".join(head + rows + ["Note", "Totale"])
 
 
