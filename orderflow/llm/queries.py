@@ -5,6 +5,7 @@ from __future__ import annotations
 from orderflow.llm.licenses import op10_license_scans
 from orderflow.llm.mixing import op7_pfair_mixing
 from orderflow.llm.packing import op9_best_fit_packing
+from orderflow.llm.quality import op4_quality_rules
 from orderflow.llm.token_counts import op1_token_counts
 from orderflow.llm.token_files import op2_token_files
 from orderflow.llm.toxicity import op3_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
