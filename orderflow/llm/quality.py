@@ -26,7 +26,7 @@ from orderflow.llm.common import documents
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
 #: Mean log-ratio, in nats, from which a document is kept.
-THRESHOLD = -0.2
+THRESHOLD = -0.15
 MICRO = 1_000_000
 #: Windows of a text are told apart by their hash's upper bits and numbered in
 #: the lower ones; longer texts take a slower way.

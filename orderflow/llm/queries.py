@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orderflow.llm.licenses import op10_license_scans
 from orderflow.llm.mixing import op7_pfair_mixing
+from orderflow.llm.nearest import op8_nearest_vectors
 from orderflow.llm.packing import op9_best_fit_packing
 from orderflow.llm.quality import op4_quality_rules
 from orderflow.llm.token_counts import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op7_pfair_mixing": op7_pfair_mixing,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
 }
