@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from orderflow.llm.jaccard_join import op5_ngram_jaccard_join
 from orderflow.llm.licenses import op10_license_scans
 from orderflow.llm.mixing import op7_pfair_mixing
 from orderflow.llm.nearest import op8_nearest_vectors
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
