@@ -8,6 +8,7 @@ from orderflow.llm.mixing import op7_pfair_mixing
 from orderflow.llm.nearest import op8_nearest_vectors
 from orderflow.llm.packing import op9_best_fit_packing
 from orderflow.llm.quality import op4_quality_rules
+from orderflow.llm.suffix_dedup import op6_suffix_dedup
 from orderflow.llm.token_counts import op1_token_counts
 from orderflow.llm.token_files import op2_token_files
 from orderflow.llm.toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
