@@ -43,7 +43,9 @@ THRESHOLD = (75, 100)
 #: Bits of the bitmaps of frequent shingles and of candidate documents: 8 MB each.
 BITMAP_BITS = 26
 #: Occurrences in a task that make a shingle frequent, and hashes looked at together.
-FREQUENT, WINDOW = 3, 6_000_000
+FREQUENT, WINDOW = 3, 4_000_000
+#: Bytes of text hashed together.
+SLICE = 3 << 20
 #: Rows of a key held at a time, and rows of a tile's side.
 HELD, TILE = 500_000, 1024
 
@@ -58,7 +60,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = -(-n // (1 << 18)) << 18
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for i, base in enumerate((_BASE, inverse)):
             table = np.full(size, base, np.uint64)
@@ -206,7 +208,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, part], names)
 
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     sets = shingle_sets(part.column("text"), size)
                     digests = [set_digest(s) for s in sets]
                     for s, d in zip(sets, digests, strict=True):
@@ -230,7 +232,7 @@ class _Join:
         def run(batches):
             seen: set = set()
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     ids, sets = part.column("id").to_numpy(), shingle_sets(part.column("text"), size)
                     keys, docs, sizes = [], [], []
                     if len(seen) > WINDOW:
@@ -304,7 +306,7 @@ class _Join:
         def sets(batches):
             for batch in batches:
                 part = batch.filter(pa.array(marked(wanted.value, id_hash(batch.column("id").to_numpy()))))
-                for piece in slices(part, "text"):
+                for piece in slices(part, "text", SLICE):
                     found = shingle_sets(piece.column("text"), size)
                     blobs = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (map(signature, found), found)]
                     yield pa.RecordBatch.from_arrays([piece.column("id"), *blobs], ["id", "sig", "hashes"])
