@@ -150,6 +150,12 @@ def mix(
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *names.values())
 
 
+def in_order(mixed: DataFrame, n: int, parts: int, position: str = "position") -> DataFrame:
+    """Deal the n rows of ``mix`` to consecutive parts by position, each part sorted."""
+    part = F.floor(F.col(position) * parts / max(1, n)).cast("int")
+    return mixed.repartitionById(parts, part).sortWithinPartitions(position)
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source")
     return mix(docs)

@@ -251,12 +251,14 @@ def _intervals(rows: dict, length: int):
 
 
 class _Dedup:
-    def __init__(self, docs: DataFrame, key: str, text: str, length: int):
+    def __init__(self, docs: DataFrame, key: str, text: str, length: int, carry: tuple[str, ...] = ()):
         self.spark, self.length = docs.sparkSession, length
         self.scratch = Scratch(self.spark, "suffixes")
         value = F.coalesce(docs[text].cast("string"), F.lit(""))
         # A row is known by its id and a hash of its text: rows equal in both fare alike.
-        self.texts = docs.select(docs[key].cast("long").alias("id"), value.alias("text"), F.xxhash64(value).alias("hash"))
+        more = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+        self.texts = docs.select(docs[key].cast("long").alias("id"), value.alias("text"), F.xxhash64(value).alias("hash"), *more)
+        self.carry = [f"_c{i}" for i in range(len(carry))]
         self.long = self.texts.filter(F.octet_length("text") >= length)
 
     def repeated(self) -> np.ndarray:
@@ -304,7 +306,7 @@ class _Dedup:
                             names,
                         )
 
-        return self.long.mapInArrow(run, "bucket long, span long, id long, hash long, start long, bytes binary")
+        return self.long.select("id", "text", "hash").mapInArrow(run, "bucket long, span long, id long, hash long, start long, bytes binary")
 
     def covered(self, spans: DataFrame) -> DataFrame:
         length = self.length
@@ -344,8 +346,9 @@ class _Dedup:
     def result(self, with_text: bool) -> DataFrame:
         covered = self.covered(self.spans(self.repeated()))
         lists = covered.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("cut")).withColumnsRenamed({"id": "cut_id", "hash": "cut_hash"})
-        rows = self.texts.join(lists, self.texts.id.eqNullSafe(F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left").select("id", "hash", "text", "cut")
-        last = "kept" if with_text else "kept_sha256"
+        rows = self.texts.join(lists, self.texts.id.eqNullSafe(F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left").select("id", "text", "cut", *self.carry)
+        last, carry = ("kept" if with_text else "kept_sha256"), self.carry
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
         def run(batches):
             for batch in batches:
@@ -367,9 +370,11 @@ class _Dedup:
                         for c, v in zip(columns, (b - a, removed, n, value), strict=True):
                             c.append(v)
                     arrays = [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), *arrays], ["id", "hash", "n_bytes", "n_removed", "n_spans", last])
+                    extra = [part.column(c) for c in carry]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), *arrays, *extra], ["id", "n_bytes", "n_removed", "n_spans", last, *carry])
 
-        return rows.mapInArrow(run, f"id long, hash long, n_bytes long, n_removed long, n_spans long, {last} string")
+        more = "".join(f", {c} {kinds[c]}" for c in carry)
+        return rows.mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, {last} string{more}")
 
 
 def _merged(cut: list[dict]) -> list[tuple[int, int]]:
@@ -382,14 +387,16 @@ def _merged(cut: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and the kept text (or its SHA-256) of each row.
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", with_text: bool = True, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, the kept text (or its SHA-256) and the columns in ``carry``.
 
     A kept text drops the halves of characters that a removed string cuts; the
     SHA-256 is over the remaining bytes as they are.
     """
-    found = _Dedup(docs, key, text, length).result(with_text)
-    return found.drop("hash").withColumnRenamed("id", key)
+    found = _Dedup(docs, key, text, length, carry).result(with_text)
+    return found.withColumnsRenamed({"id": key} | {f"_c{i}": c for i, c in enumerate(carry)})
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

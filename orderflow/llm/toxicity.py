@@ -151,21 +151,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(rows, sample.column("n").to_numpy(), sample.column("positive").to_numpy(), prior)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """key, held_out, score and predicted of each row."""
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, held_out, score and predicted of each row, and the columns in ``carry``."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label))
-    kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(docs[key], docs[text].cast("string").alias("text"), held_out(docs[key]).alias("held_out"))
+    more = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+    narrow = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"), held_out(docs[key]).alias("held_out"), *more)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                s = score(part.column("text"), model.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [key, "held_out", "score", "predicted"]
-                )
-
-    return narrow.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+            for part in slices(batch, "_text"):
+                s = score(part.column("_text"), model.value)
+                own = [part.column("_key"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+                extra = [part.column(f"_c{i}") for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*own, *extra], ["_key", "held_out", "score", "predicted", *(f"_c{i}" for i in range(len(carry)))])
+
+    kinds = [f"_key {docs.schema[key].dataType.simpleString()}", "held_out boolean", "score double", "predicted int"]
+    kinds += [f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    found = narrow.mapInArrow(run, ", ".join(kinds))
+    return found.withColumnsRenamed({"_key": key} | {f"_c{i}": c for i, c in enumerate(carry)})
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
