@@ -36,6 +36,8 @@ from orderflow.llm.common import mix, reachable
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 6, 2.0, 96, 11
 SALTS = 8
 QUERY_BLOCK = 10_000
+#: Points hashed into a tile, about, over all tables.
+TILE_ROWS = 16_384
 #: Candidates gathered before they are reranked.
 BUFFER = 500_000
 #: How far a product from a matrix product may be off (vectors of length 1).
@@ -143,8 +145,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     dim, largest = found["dim"], found["norm"]
     points, asked = points.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    tiles = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     options = hashes or {}
+    # Each tile returns k rows for a query, so tiles follow the rows, not the cluster.
+    tiles = -(-found["n"] * options.get("tables", TABLES) // TILE_ROWS)
 
     def hash_points(batches):
         h = Hashes(dim, **options)
