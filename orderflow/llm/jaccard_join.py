@@ -43,9 +43,11 @@ THRESHOLD = (75, 100)
 #: Bits of the bitmaps of frequent shingles and of candidate documents: 8 MB each.
 BITMAP_BITS = 26
 #: Occurrences in a task that make a shingle frequent, and hashes looked at together.
-FREQUENT, WINDOW = 3, 4_000_000
+FREQUENT, WINDOW = 3, 2_000_000
 #: Bytes of text hashed together.
-SLICE = 3 << 20
+SLICE = 1 << 20
+#: Pairs whose sets are looked at together.
+PAIRS = 256
 #: Rows of a key held at a time, and rows of a tile's side.
 HELD, TILE = 500_000, 1024
 
@@ -329,10 +331,12 @@ class _Join:
 
         def intersect(batches):
             for batch in batches:
-                sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes_a", "hashes_b")]
-                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
-                n = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(_reaches(common, n, threshold)))
+                for a in range(0, batch.num_rows, PAIRS):
+                    part = batch.slice(a, PAIRS)
+                    sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(c)] for c in ("hashes_a", "hashes_b")]
+                    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
+                    n = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64)
+                    yield part.select(["a", "b"]).filter(pa.array(_reaches(common, n, threshold)))
 
         full = likely.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
         found = self.scratch.keep(full.mapInArrow(intersect, "a long, b long").distinct(), f"{name}-links")

@@ -49,7 +49,7 @@ def encode_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
     left = tokenizer.encode(text[at : at + size], add_special_tokens=False)
     while at + size < len(text):
         stop = at + size
-        start = max(at, stop - wide)
+        start = max(at + 1, stop - wide)
         # Stable places in the overlap; the end of a chunk may cut a piece, so
         # the last of them serves as the place to begin the right chunk.
         places = stable_boundaries(text, start, stop)
@@ -67,7 +67,7 @@ def encode_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
                 skip = int(np.searchsorted(yours, cut))
                 at, size, left, wide = begin, chunk, right, overlap
                 continue
-        if start > at:
+        if start > at + 1:
             wide *= 2
         else:  # no boundary in the whole chunk: a longer chunk
             size *= 2

@@ -52,7 +52,9 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int | None,
     """Write the corpus below the scratch folder; returns the manifest."""
     spark, folder = docs.sparkSession, f"{scratch.folder}/parts"
     narrow = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((input_bytes(docs) or 0) / PART_BYTES))
+    size = input_bytes(docs) or 0
+    known = size if size < 1 << 60 else 0  # Spark gives tables of unknown size a huge one
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(known / PART_BYTES))
     dealt = narrow.repartitionByRange(n, "key").sortWithinPartitions("key")
 
     def run(batches):
