@@ -44,8 +44,8 @@ _ASCII_WORDS[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _ASCII_WORDS[65:91] += 32
 
 
-def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; text and word of each distinct pair, by text; words in each text, repeats included."""
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words; text and word of each distinct pair, by text."""
     data, at = text_bytes(texts)
     plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(_ASCII_WORDS[data].tobytes()))
     lists = pc.ascii_split_whitespace(plain)
@@ -56,9 +56,8 @@ def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, n
     pair = np.repeat(np.arange(len(texts)), size) * max(1, len(words)) + word
     if empty is not None:
         pair = pair[word != empty]
-    n = np.bincount(pair // max(1, len(words)), minlength=len(texts))
     pair = np.unique(pair)
-    return words, pair // max(1, len(words)), pair % max(1, len(words)), n
+    return words, pair // max(1, len(words)), pair % max(1, len(words))
 
 
 def _hash(strings: pa.Array, kind: int) -> np.ndarray:
@@ -73,11 +72,11 @@ def word_features(words: pa.Array) -> np.ndarray:
     return np.stack(columns, 1) if len(words) else np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
 
 
-def fit(rows: list[np.ndarray], sizes: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float, float]:
-    """Weights of features, of log(1 + words) and the bias, by the non-negative risk estimator."""
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of features and the bias, by the non-negative risk estimator."""
     weights = np.zeros(1 << BITS, np.float32)
     if not positive.any():
-        return weights, 0.0, -np.inf
+        return weights, -np.inf
     lengths = np.array([len(r) for r in rows])
     flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     n_p, n_u = positive.sum(), max(1, (~positive).sum())
@@ -87,30 +86,30 @@ def fit(rows: list[np.ndarray], sizes: np.ndarray, positive: np.ndarray, prior:
     use = ((have_p >= MIN_POSITIVES) & (more >= MIN_DEVIATIONS))[flat]
     doc = doc[use]
     kept, column = np.unique(flat[use], return_inverse=True)
-    scale = np.log1p(sizes)
-    scale = scale - scale.mean()
-    w, b, c = np.zeros(len(kept)), np.log(prior / (1 - prior)), 0.0
-    m, v = np.zeros(len(kept) + 2), np.zeros(len(kept) + 2)
+    w, b = np.zeros(len(kept)), np.log(prior / (1 - prior))
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, w[column], len(rows)) + c * scale + b
+        z = np.bincount(doc, w[column], len(rows)) + b
         up = 1 / (1 + np.exp(-z))  # derivative of the loss against label -, and 1 - up against label +
         against = np.logaddexp(0, z)
         rest = against[~positive].sum() / n_u - prior * against[positive].sum() / n_p
         g_rest = np.where(positive, -prior * up / n_p, up / n_u)
         g = g_rest + np.where(positive, -prior * (1 - up) / n_p, 0) if rest >= 0 else -g_rest
-        full = np.concatenate([np.bincount(column, g[doc], len(kept)) + (DECAY * w if rest >= 0 else 0), [g @ scale, g.sum()]])
+        full = np.concatenate([np.bincount(column, g[doc], len(kept)) + (DECAY * w if rest >= 0 else 0), [g.sum()]])
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, c, b = w - move[:-2], c - move[-2], b - move[-1]
+        w, b = w - move[:-1], b - move[-1]
     weights[kept] = w
-    return weights, float(c), float(b - c * np.log1p(sizes).mean())
+    return weights, float(b)
 
 
 def score(texts: pa.Array, model) -> np.ndarray:
-    weights, c, b = model
-    words, doc, word, n = distinct_words(texts)
+    weights, b = model
+    if not np.isfinite(b):  # nothing was learnt
+        return np.zeros(len(texts))
+    words, doc, word = distinct_words(texts)
     by_word = weights[word_features(words)].sum(1, dtype=np.float64)
-    z = np.bincount(doc, by_word[word], len(texts)) + c * np.log1p(n) + b
+    z = np.bincount(doc, by_word[word], len(texts)) + b
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -127,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = labels.filter(~held_out(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("mark"))
     n_marked, n_positive = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("mark") > 0).cast("long")), F.lit(0))).first()
     if not n_positive:
-        return fit([], np.zeros(0), np.zeros(0, bool), 0.5)
+        return fit([], np.zeros(0, bool), 0.5)
     texts = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).filter(F.col("key").isNotNull() & ~held_out(F.col("key")))
     n_texts = texts.count()
     chosen = marks.filter((F.col("mark") > 0) & _below(F.col("key"), min(1.0, MAX_POSITIVE / n_positive))).select("key")
@@ -137,18 +136,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words, doc, word, n = distinct_words(part.column("text"))
+                words, doc, word = distinct_words(part.column("text"))
                 features = word_features(words)[word]
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = [np.unique(features[a:b]).astype(np.int32) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(n), part.column("positive")], ["features", "n", "positive"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), part.column("positive")], ["features", "positive"])
 
-    sample = known.unionAll(others).mapInArrow(run, "features array<int>, n long, positive boolean").toArrow()
+    sample = known.unionAll(others).mapInArrow(run, "features array<int>, positive boolean").toArrow()
     column = sample.column("features").combine_chunks()
     flat, at = column.values.to_numpy(), column.offsets.to_numpy()
     rows = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
     prior = min(max(n_positive / n_marked, 1e-4), 1 - 1e-4)
-    return fit(rows, sample.column("n").to_numpy(), sample.column("positive").to_numpy(), prior)
+    return fit(rows, sample.column("positive").to_numpy(), prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
