@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import LOOSE_SLASH_DATE, SLASH_DATE, day_month_year
 from orderflow.functions.numbers import truncated
 from orderflow.functions.text import first_match, let, matches, rx, strip
-from orderflow.operators.extractors.common import NAME_LENGTH, item, plausible
+from orderflow.operators.extractors.common import item, plausible
 from orderflow.operators.lines import stripped_lines
 
 # Marks and limits of this layout.
-CLIENT = r"AZA\s+INTERNATIONAL[^\n]{0,40}"
+CLIENT = r"AZA\s+INTERNATIONAL[^\n]*"
 NUMBER_DATED = r"(\d+)(?:/|-)?AC\s+del"
 NUMBER_PLAIN = r"(\d+)/AC"
 DUE = rf"DATA\s+CONSEGNA.*?{SLASH_DATE}"
@@ -24,7 +24,7 @@ CURRENCY = "[€Ç]"
 
 def header(text: Column, path: Column) -> dict[str, Column]:
     return {
-        "client": strip(first_match(F.substring(text, 1, 600), CLIENT, 0)),
+        "client": strip(first_match(text, CLIENT, 0)),
         "order_no": F.coalesce(
             first_match(text, NUMBER_DATED, 1, "i"), first_match(text, NUMBER_PLAIN)
         ),
@@ -49,23 +49,19 @@ def _line_item(line: Column) -> Column:
             code_at,
             lambda at: item(
                 F.get(tokens, at),
-                F.substring(
-                    strip(
-                        F.regexp_replace(
-                            F.array_join(
-                                F.slice(
-                                    tokens,
-                                    F.lit(NAME_FROM + 1),
-                                    F.greatest(F.coalesce(at, F.lit(0)) - NAME_FROM, F.lit(0)),
-                                ),
-                                " ",
+                strip(
+                    F.regexp_replace(
+                        F.array_join(
+                            F.slice(
+                                tokens,
+                                F.lit(NAME_FROM + 1),
+                                F.greatest(F.coalesce(at, F.lit(0)) - NAME_FROM, F.lit(0)),
                             ),
-                            CURRENCY,
-                            "",
-                        )
-                    ),
-                    1,
-                    NAME_LENGTH,
+                            " ",
+                        ),
+                        CURRENCY,
+                        "",
+                    )
                 ),
                 F.when(
                     (F.size(tokens) >= MIN_TOKENS) & (at > NAME_FROM),

@@ -14,7 +14,7 @@ from orderflow.functions.text import (
     let,
     squeeze,
 )
-from orderflow.operators.extractors.common import NAME_LENGTH, first_per_code, item
+from orderflow.operators.extractors.common import first_per_code, item
 
 # Client and shapes of this layout.
 CLIENT = "B&B ITALIA S.p.A."
@@ -52,7 +52,7 @@ def items(text: Column) -> Column:
         all_matches(text, ITEM),
         lambda x: item(
             first_match(x, ITEM, 1),
-            squeeze(F.coalesce(first_match(x, ITEM, 2), F.lit("")), NAME_LENGTH),
+            squeeze(F.coalesce(first_match(x, ITEM, 2), F.lit(""))),
             truncated(first_match(x, ITEM, 3)),
         ),
     )

@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 from orderflow.functions.text import contains_any, let, matches, strip
 
 ITEM_TYPE = "array<struct<code:string,name:string,qty:double>>"
-# Largest plausible quantity and length of a description.
-MAX_QTY = 10_000
-NAME_LENGTH = 150
 # Words that show a description is a table heading.
 HEADING_WORDS = ["descrizione", "prodotto"]
-# Lines that are no company name, and how far a company name is looked for.
+# Lines that are no company name.
 ADDRESS_LINE = r"^(VIA|TEL|FAX|EMAIL|MAIL|PAGE|N\.|DATA|NUMERO|CODICE)"
-COMPANY_LENGTH = 800
 
 
 def item(code: Column, name: Column, qty: Column) -> Column:
@@ -28,8 +24,9 @@ def no_items() -> Column:
     return F.array().cast(ITEM_TYPE)
 
 
-def plausible(qty: Column) -> Column:
-    return (qty > 0) & (qty <= MAX_QTY)
+def plausible(qty: Column, most: float | None = None) -> Column:
+    """A positive quantity; ``most`` sets an upper bound, which is off by default."""
+    return (qty > 0) & (qty <= most) if most else qty > 0
 
 
 def no_heading(name: Column) -> Column:
@@ -45,8 +42,8 @@ def known_client(path: Column, clients: Sequence[tuple[str, str]]) -> Column:
 
 
 def company_name(text: Column) -> Column:
-    """First company line near the start of a converted text, not an address."""
-    lines = F.transform(F.split(F.substring(text, 1, COMPANY_LENGTH), "\n", -1), strip)
+    """First company line of a converted text, not an address."""
+    lines = F.transform(F.split(text, "\n", -1), strip)
 
     def named(line: Column) -> Column:
         legal = (F.contains(line, F.lit("S.r.l")) & matches(line, r"\p{Lu}")) | contains_any(

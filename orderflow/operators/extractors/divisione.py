@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import ANY_DATE, day_month_year
 from orderflow.functions.numbers import whole
 from orderflow.functions.text import BLANK, all_matches, first_match, matches, strip
-from orderflow.operators.extractors.common import NAME_LENGTH, item
+from orderflow.operators.extractors.common import item
 
 # Client, labels and line shapes of this layout.
 CLIENT = "DIVISIONE CUCINE"
@@ -26,7 +26,7 @@ def header(text: Column, path: Column) -> dict[str, Column]:
     dates = all_matches(first_match(text, DUE_LINE, 1, "im"), ANY_DATE)
     due = F.coalesce(F.get(dates, F.lit(1)), F.get(dates, F.lit(0)), text)
     return {
-        "client": F.when(matches(F.substring(text, 1, 500), CLIENT_MARK, "i"), CLIENT),
+        "client": F.when(matches(text, CLIENT_MARK, "i"), CLIENT),
         "order_no": F.replace(first_match(text, NUMBER, 1, "i"), F.lit(" "), F.lit("")),
         "due": day_month_year(due),
         "received": day_month_year(first_match(text, RECEIVED, 1, "i")),
@@ -39,7 +39,7 @@ def items(text: Column) -> Column:
         all_matches(text, ITEM, 0, "m"),
         lambda x: item(
             part(x, 1),
-            F.substring(strip(F.coalesce(part(x, 3), F.lit(""))), 1, NAME_LENGTH),
+            strip(F.coalesce(part(x, 3), F.lit(""))),
             whole(part(x, 2)),
         ),
     )

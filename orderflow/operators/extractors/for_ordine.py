@@ -20,7 +20,6 @@ from orderflow.functions.text import (
     strip,
 )
 from orderflow.operators.extractors.common import (
-    NAME_LENGTH,
     first_per_code,
     item,
     known_client,
@@ -36,7 +35,7 @@ KNOWN_CLIENTS = [
     ("0000445", "Sozzi Arredamenti S.p.A."),
     ("0000537", "Sozzi Arredamenti S.p.A."),
 ]
-HEADER_ENDS, HEADER_LENGTH = ["Spett", "ORDINE"], 1000
+HEADER_ENDS = ["Spett", "ORDINE"]
 CONTACT_LINE = r"^(VIA|TEL|FAX|EMAIL|MAIL|HTTP|WWW|IBAN|BIC|REG|RAE|CAP|PAGINA|P\.|I\.V)"
 TABLE_LINE = r"^(NR\.|CODICE|IMPORTO|NUMERO|DATA|PZ|QUANTITA|VOSTRO|VOSTRI|CONDIZIONI)"
 COMPANY_WORDS = [
@@ -86,7 +85,7 @@ def _company_name(head: Column, name: str) -> Column:
 
 def _client(text: Column, path: Column) -> Column:
     found = let(
-        text_before(text, HEADER_ENDS, HEADER_LENGTH),
+        text_before(text, HEADER_ENDS),
         lambda head: F.coalesce(
             _company_line(head), *[_company_name(head, n) for n in COMPANY_NAMES]
         ),
@@ -124,7 +123,7 @@ def items_after_unit(text: Column) -> Column:
         all_matches(text, SEGMENT, 2),
         lambda code, rest: item(
             code,
-            squeeze(first_match(rest, QTY_AND_NAME, 2), NAME_LENGTH),
+            squeeze(first_match(rest, QTY_AND_NAME, 2)),
             whole(first_match(rest, QTY_AND_NAME, 1)),
         ),
     )
@@ -138,7 +137,7 @@ def items_before_dash(text: Column) -> Column:
         lambda x: item(
             strip(first_match(x, CODE_BEFORE_DASH)),
             F.coalesce(
-                filled(squeeze(first_match(x, NAME_BEFORE_UNIT), NAME_LENGTH)), F.lit("N/A")
+                filled(squeeze(first_match(x, NAME_BEFORE_UNIT))), F.lit("N/A")
             ),
             whole(first_match(x, r"^\s*(\d+)\s+")),
         ),

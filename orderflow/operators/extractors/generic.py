@@ -30,7 +30,6 @@ HEADER_WORDS = [
     "ORDINE", "DATA", "TELEFONO", "FAX", "NOTE", "CONSEGNA", "VIA", "CIVATE", "PAGINA",
     "DESPATCH",
 ]
-HEAD_LINES = 30
 RULE_LINE = r"^[\s#|-]*$"
 NUMBERS = [
     r"(?:##\s*)?ORDINE\s+FORNITORE\s*\n?\s*(\d+/[A-Z]+)",
@@ -66,7 +65,7 @@ def _not_recipient(name: Column) -> Column:
 
 
 def _free_line(text: Column) -> Column:
-    """First head line that names a company or at least two ordinary words."""
+    """First line that names a company or at least two ordinary words."""
 
     def candidate(line: Column) -> Column:
         def judge(upper: Column, cut: Column) -> Column:
@@ -82,8 +81,7 @@ def _free_line(text: Column) -> Column:
         before_bar = strip(F.regexp_extract(line, r"^[^|-]*", 0))
         return let(F.upper(line), lambda u: let(before_bar, lambda cut: judge(u, cut)))
 
-    head = F.slice(stripped_lines(text), 1, HEAD_LINES)
-    return first_of(F.array_compact(F.transform(head, candidate)))
+    return first_of(F.array_compact(F.transform(stripped_lines(text), candidate)))
 
 
 def _client(text: Column) -> Column:

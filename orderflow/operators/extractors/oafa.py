@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import ANY_DATE, LONG_YEAR_DATE, day_month_year
 from orderflow.functions.numbers import decimal_comma
 from orderflow.functions.text import all_matches, first_match, first_of, let, matches
-from orderflow.operators.extractors.common import item, no_items
+from orderflow.operators.extractors.common import item
 from orderflow.operators.lines import (
     blocks,
     blocks_ending,
@@ -22,13 +22,13 @@ CLIENT_MARK, DEFAULT_CLIENT = "DECA", "DECA S.r.l."
 CLIENT = r"DECA\s+S\.?r\.?l\.?"
 NUMBER = r"A\s*(\d{3,})"
 ANY_CODE_LINE = r"^\d{2}[A-Z]{2,}[A-Z0-9\-]+$"
-ITEM_CODE_LINE = r"^25[A-Z]{2}[A-Z0-9\-]{0,10}$"
+ITEM_CODE_LINE = r"^25[A-Z]{2}[A-Z0-9\-]*$"
 DATE_LINE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"
 DATE_SPAN = 4
 RECEIVED_LINE = r"^(?=[^\n]*(?:[Dd]ata|[Dd]ocumento))[^\n]*?" + f"({ANY_DATE})"
 QTY_LINE = r"^\d+[.,]\d+$"
 JOB_LINE = r"^[A-Z]\d{2}-\d+(-\d+)?$"
-NAME_FROM, NAME_LENGTH, MIN_NAME, MIN_CODES = 2, 200, 3, 5
+NAME_FROM, MIN_NAME = 2, 3
 
 
 def header(text: Column, path: Column) -> dict[str, Column]:
@@ -55,7 +55,7 @@ def header(text: Column, path: Column) -> dict[str, Column]:
 
 def _name(lines: Column) -> Column:
     kept = F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit("|")))
-    return F.substring(F.array_join(kept, " "), 1, NAME_LENGTH)
+    return F.array_join(kept, " ")
 
 
 def _item_before(block: Column) -> Column:
@@ -108,7 +108,7 @@ def _item_after(block: Column) -> Column:
 
 
 def items(text: Column, code_position: str = "before") -> Column:
-    """Items of a text with at least five code lines; none otherwise.
+    """Items of a text, one for each code line with a name and a quantity.
 
     ``before`` pairs a code with what follows it; ``after`` with what
     precedes it, as in prints where the code closes its article.
@@ -117,13 +117,7 @@ def items(text: Column, code_position: str = "before") -> Column:
         (blocks, _item_before) if code_position == "before" else (blocks_ending, _item_after)
     )
     found = cut(stripped_lines(text), lambda x: matches(x, ITEM_CODE_LINE))
-    return let(
-        found,
-        lambda b: F.when(
-            F.size(b) >= MIN_CODES,
-            F.filter(
-                F.transform(b, read),
-                lambda x: x["qty"].isNotNull() & (F.length(x["name"]) >= MIN_NAME),
-            ),
-        ).otherwise(no_items()),
+    return F.filter(
+        F.transform(found, read),
+        lambda x: x["qty"].isNotNull() & (F.length(x["name"]) >= MIN_NAME),
     )

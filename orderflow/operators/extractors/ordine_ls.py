@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import FULL_DATE, LONG_YEAR_DATE, SLASH_DATE, day_month_year
 from orderflow.functions.numbers import whole
 from orderflow.functions.text import (
+    BLANK,
     all_matches,
     contains_any,
     first_match,
@@ -26,7 +27,6 @@ KNOWN_CLIENTS = [
     ("Ordine LS N°172", "Abieffe Trading S.r.l"),
     ("Ordine LS N°217", "Abieffe Trading S.r.l"),
 ]
-HEADER_LENGTH = 400
 SKIPPED_LINE = r"^(VIA|TEL|FAX|EMAIL|MAIL|PAGINA|N\.|DATA|DEL|ORDINE|SPETT|Nº|N║|NUMERO|CODICE)"
 COMPANY_WORDS = [
     "S.R.L", "SRL", "S.P.A", "SPA", "TRADING", "ABIEFFE", "OFFICINE", "TECNOAPP", "INC",
@@ -41,10 +41,9 @@ RECEIVED_MARK = r"[Dd]el\s+\d{1,2}\s+.*?\d{4}"
 PRICED = r"([A-Z0-9]{6,})\s+(.+?)\s+([A-Z0-9]{6,})\s+(\d+)\s+[\d,\.]+\s+[CÇ]?"
 COUNTED = r"([A-Z0-9\.\-]{8,})\s+[A-Z0-9\s/]+\s+NR\s+(\d+)"
 REVISED = r"([A-Z0-9\-]{8,})\s+(.+?)\s+([A-Z0-9]{3,})\s+([A-Z])\s+(\d+)"
-NAMED = r"([A-Z0-9]{8,})\s+([A-Z\s]+)"
+NAMED = rf"([A-Z0-9]{{8,}}){BLANK}+((?:[A-Z]|{BLANK})+)"
 TWO_LINED = r"([A-Z0-9]{8,})\s+([A-Z0-9\s/-]+?)\s+NR\s+(\d+)"
 CAPITALS = r"^([A-Z][A-Z\s]+)"
-NAME_LENGTH = 80
 
 
 def _client(text: Column, path: Column) -> Column:
@@ -62,7 +61,7 @@ def _client(text: Column, path: Column) -> Column:
 
         return let(F.upper(line), judge)
 
-    head = stripped_lines(F.substring(text, 1, HEADER_LENGTH))
+    head = stripped_lines(text)
     return F.coalesce(known_client(path, KNOWN_CLIENTS), first_line(head, company))
 
 
@@ -82,7 +81,7 @@ def header(text: Column, path: Column) -> dict[str, Column]:
 
 
 def _name(text: Column) -> Column:
-    return F.substring(strip(text), 1, NAME_LENGTH)
+    return strip(text)
 
 
 def _valid(items: Column) -> Column:
@@ -103,14 +102,14 @@ def _by_pattern(text: Column, pattern: str, qty_group: int, name_group: int) ->
 
 
 def _named(text: Column) -> Column:
-    """Only the first code with a capital name; its quantity is 1."""
+    """Codes with a capital name on their line; the quantity is 1."""
     found = F.transform(
         all_matches(text, NAMED),
         lambda x: item(
             first_match(x, NAMED, 1), _name(first_match(x, NAMED, 2)), F.lit(1.0)
         ),
     )
-    return F.slice(F.filter(found, lambda x: F.length(x["name"]) > 3), 1, 1)
+    return F.filter(found, lambda x: F.length(x["name"]) > 3)
 
 
 def _two_lined(text: Column) -> Column:

@@ -12,7 +12,6 @@ from orderflow.schemas import RECEIVED, UNKNOWN_CLIENT
 # Messages of the batch report.
 INSUFFICIENT = "Dati insufficienti per creare ordine"
 NOTE_PREFIX = "Estratto da: "
-ERROR_LENGTH = 100
 
 
 def _filled(name: str) -> Column:
@@ -39,7 +38,7 @@ def split_ingest(extracted: DataFrame, rule: str = "accept") -> tuple[DataFrame,
     """Accepted documents, and rejected ones with a reason."""
     ok = acceptance_rules()[rule]
     rejected = extracted.where(~ok).withColumn(
-        "reason", F.substring(F.coalesce("error", F.lit(INSUFFICIENT)), 1, ERROR_LENGTH)
+        "reason", F.coalesce("error", F.lit(INSUFFICIENT))
     )
     return extracted.where(ok), rejected
 

@@ -34,13 +34,13 @@ def head_lines(text: Column, n: int) -> Column:
     return F.slice(lines_of(text), 1, n)
 
 
-def text_before(text: Column, markers: list[str], limit: int) -> Column:
-    """Text before the first marker that occurs, at most ``limit`` characters."""
-    end = F.lit(limit)
+def text_before(text: Column, markers: list[str], limit: int | None = None) -> Column:
+    """Text before the first marker that occurs, else all; ``limit`` cuts it if given."""
+    end = F.lit(limit) if limit else F.length(text)
     for marker in reversed(markers):
         at = F.locate(marker, text)
         end = F.when(at > 0, at - 1).otherwise(end)
-    return F.substring(text, F.lit(1), F.least(end, F.lit(limit)))
+    return F.substring(text, F.lit(1), F.least(end, F.lit(limit)) if limit else end)
 
 
 def first_line(lines: Column, keep: Predicate) -> Column:

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.text import contains_any, strip
 from orderflow.schemas import DEFAULT_PHASES, ORDER_REQUEST, RECEIVED
 
-# Nested lists are cut into pages of this many entries, so that no single
-# row has to hold an unbounded list. Ordinary orders fit one page.
-PAGE_SIZE = 1000
+UNKNOWN_ORDER = "unknown order"
 
 _NO_ARTICLES = "array<struct<name:string,code:string,qty:double,required_phases:array<string>>>"
 
@@ -114,6 +112,12 @@ def update_articles(articles: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def known_updates(updates: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Updates of orders that exist, and the others with a reason."""
+    known = updates.join(orders.select("order_id"), "order_id", "left_semi")
+    return known, missing_orders(updates, orders).withColumn("reason", F.lit(UNKNOWN_ORDER))
+
+
 def missing_orders(rows: DataFrame, orders: DataFrame) -> DataFrame:
     """Rows that name an order which does not exist."""
     return rows.join(orders.select("order_id"), "order_id", "left_anti")
@@ -152,33 +156,31 @@ def nested_steps(steps: DataFrame) -> DataFrame:
 
 
 def nested_articles(
-    articles: DataFrame, fields: list[str], page_size: int = PAGE_SIZE
+    articles: DataFrame, fields: list[str], page_size: int | None = None
 ) -> DataFrame:
-    """Articles as lists of at most ``page_size`` entries per (order, page).
+    """Articles of each order as one list in order.
 
-    Page 0 is the whole list of any order up to the page size; longer orders
-    go on in further pages, complete and in order.
+    With ``page_size`` the lists are cut into pages of that many entries, with
+    a column ``page``, for readers that cannot take a long order as one row.
     """
-    return (
-        articles.groupBy(
-            "order_id", F.floor(F.col("idx") / page_size).cast("long").alias("page")
-        )
-        .agg(F.array_sort(F.collect_list(F.struct("idx", *fields))).alias("articles"))
-    )
+    keys = ["order_id"]
+    if page_size:
+        keys.append(F.floor(F.col("idx") / page_size).cast("long").alias("page"))
+    entries = F.collect_list(F.struct("idx", *fields))
+    return articles.groupBy(*keys).agg(F.array_sort(entries).alias("articles"))
 
 
 def order_documents(
-    orders: DataFrame, articles: DataFrame, steps: DataFrame, page_size: int = PAGE_SIZE
+    orders: DataFrame, articles: DataFrame, steps: DataFrame
 ) -> DataFrame:
     """Orders as nested documents with articles and steps (empty lists if none)."""
     fields = [c for c in articles.columns if c not in ("order_id", "idx")]
-    pages = nested_articles(articles, fields, page_size)
+    lists = nested_articles(articles, fields)
     joined = orders.join(nested_steps(steps), "order_id", "left").join(
-        pages, "order_id", "left"
+        lists, "order_id", "left"
     )
     return joined.select(
         *[c for c in orders.columns],
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce("articles", F.array()).alias("articles"),
         F.coalesce("steps", F.array()).alias("steps"),
     )

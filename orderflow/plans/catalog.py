@@ -11,5 +11,6 @@ SQL = order_sql.SQL | document_sql.SQL
 SQL |= {
     "stream_step_fold": order_sql.SQL["step_fold"],
     "stream_step_fold_stateful": order_sql.SQL["step_fold"],
+    "stream_late_events": order_sql.SQL["step_fold"],
     "stream_notifications": order_sql.SQL["completion_notifications"],
 }

@@ -66,7 +66,7 @@ def doc_first_line(spark, folder):
     lines = N.stripped_lines(_text())
     return _documents(spark, folder).select(
         "doc_id",
-        N.first_line(F.slice(lines, 1, 30), ordinary).alias("first_line"),
+        N.first_line(lines, ordinary).alias("first_line"),
         N.first_neighbour(lines, lambda p, x, n: F.when(ordinary(x) & p.isNotNull(), p)).alias(
             "previous"
         ),
@@ -274,7 +274,7 @@ def reconcile(spark, folder):
             "left",
         )
         .select(
-            F.concat(F.col("order_id").cast("string"), F.lit("-0")).alias("doc_id"),
+            F.col("order_id").cast("string").alias("doc_id"),
             F.coalesce("articles", F.lit(0)).alias("articles"),
             F.coalesce("quantity", F.lit(0.0)).cast("long").alias("quantity"),
         )

@@ -57,15 +57,15 @@ profile AS (
 
 RENDERED = f"""
 art AS (
-  SELECT a.*, p_name AS name, idx // 1000 AS page, idx % 1000 AS n, order_id % 8 AS turn,
-         order_id || '-' || (idx // 1000) AS doc_id, {_pad('part_key', 8)} AS p8
+  SELECT a.*, p_name AS name, idx AS n, order_id % 8 AS turn,
+         CAST(order_id AS VARCHAR) AS doc_id, {_pad('part_key', 8)} AS p8
   FROM wo_articles a LEFT JOIN part ON p_partkey = part_key),
 docs AS (
   SELECT o.order_id, o.received, o.due, o.order_id % 8 AS turn,
          coalesce(p.n_art, 0) AS n_art,
-         o.order_id || '-' || coalesce(p.page, 0) AS doc_id
+         CAST(o.order_id AS VARCHAR) AS doc_id
   FROM wo_orders o
-  LEFT JOIN (SELECT order_id, page, count(*) AS n_art FROM art GROUP BY order_id, page) p
+  LEFT JOIN (SELECT order_id, count(*) AS n_art FROM art GROUP BY order_id) p
     ON p.order_id = o.order_id)"""
 
 
@@ -96,9 +96,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, part_key ORDER BY odd, n
       FROM (SELECT *, idx % 2 AS odd FROM {source})) WHERE odd = 0 OR nth = 1"""
     if layout == "OAFA":
         return f"""
-SELECT doc_id, 'OAFA' AS layout, n AS pos, '25CC' || lpad(CAST(part_key % 100000000 AS VARCHAR), 8, '0')
-         AS code, upper(name) || ' S235JR' AS name, qty
-FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS many FROM {source}) WHERE many >= 5"""
+SELECT doc_id, 'OAFA' AS layout, n AS pos, '25CC' || p8 AS code, upper(name) || ' S235JR' AS name, qty
+FROM {source}"""
     if layout == "ORDINE_LS":
         return f"""
 SELECT doc_id, 'ORDINE_LS' AS layout, n AS pos,
@@ -106,7 +105,7 @@ SELECT doc_id, 'ORDINE_LS' AS layout, n AS pos,
          || p8 AS code,
        CASE order_id % 4 WHEN 1 THEN '3LAM.' || p8 WHEN 3 THEN upper(name) ELSE name END AS name,
        CASE WHEN order_id % 4 = 3 THEN 1.0 ELSE qty END AS qty
-FROM {source} WHERE order_id % 4 <> 3 OR n = 0"""
+FROM {source}"""
     return f"""
 SELECT doc_id, 'GENERIC' AS layout, n AS pos, 'GX' || p8 AS code, name, qty FROM {source}"""
 
@@ -186,7 +185,7 @@ marked AS (
   FROM stripped WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 firsts AS (
   SELECT doc_id, min(line_no) FILTER (ordinary) AS at,
-         arg_min(line, line_no) FILTER (ordinary AND line_no < 30) AS first_line,
+         arg_min(line, line_no) FILTER (ordinary) AS first_line,
          arg_min(previous, line_no) FILTER (ordinary AND previous IS NOT NULL) AS previous,
          arg_min(following, line_no) FILTER (ordinary AND following IS NOT NULL) AS following
   FROM marked GROUP BY doc_id),
@@ -243,9 +242,9 @@ FROM doc_lines d GROUP BY d.doc_id""",
 SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS segment, unnest(w) AS word
 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z]{2,}') AS w FROM documents)""",
     "page_texts": """
-SELECT conv_id AS doc_id, turn // 1000 AS part,
+SELECT conv_id AS doc_id,
        coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '') AS text
-FROM conversations GROUP BY conv_id, turn // 1000""",
+FROM conversations GROUP BY conv_id""",
     "html_titles": """
 SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''),
                          nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '')) AS title
@@ -297,7 +296,7 @@ FROM layouts GROUP BY layout""",
     "reconcile": BATCH
     + """,
 expected AS (
-  SELECT o.order_id || '-0' AS doc_id, coalesce(t.n_articles, 0) AS articles,
+  SELECT CAST(o.order_id AS VARCHAR) AS doc_id, coalesce(t.n_articles, 0) AS articles,
          CAST(coalesce(t.total_quantity, 0) AS BIGINT) AS quantity
   FROM wo_orders o LEFT JOIN totals t ON t.order_id = o.order_id),
 compared AS (

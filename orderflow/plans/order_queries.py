@@ -178,13 +178,12 @@ def station_queue_piega_code(spark, folder):
 
 
 def station_articles(spark, folder):
-    """Waiting articles of one station as nested pages per order."""
+    """Waiting articles of one station as a list per order."""
     s = State(spark, folder)
     waiting = Q.waiting_articles(s.states, s.steps, "PIEGA")
-    pages = O.nested_articles(waiting, ["code", "qty"])
-    return pages.select(
+    lists = O.nested_articles(waiting, ["code", "qty"])
+    return lists.select(
         "order_id",
-        "page",
         F.array_join(
             F.transform("articles", lambda a: F.concat_ws(":", a["idx"], a["code"])), " "
         ).alias("articles"),
@@ -324,6 +323,16 @@ def article_update(spark, folder):
     return O.article_totals(O.update_articles(articles, versions))
 
 
+def article_update_rejects(spark, folder):
+    """Updates that name an order which does not exist: keys of suppliers' parts."""
+    orders = W.work_orders(spark, folder, client=False)
+    updates = W.work_articles(spark, folder).where(F.col("idx") == 0).select(
+        F.when(F.col("order_id") % 3 == 0, -F.col("order_id") - 1).otherwise(F.col("order_id")).alias("order_id"),
+        "idx", "code", "qty", F.lit(1).alias("version"),
+    )
+    return O.known_updates(updates, orders)[1].select("order_id", "code", "qty", "reason")
+
+
 def order_documents(spark, folder):
     s = State(spark, folder)
     docs = O.order_documents(
@@ -333,7 +342,6 @@ def order_documents(spark, folder):
     )
     return docs.select(
         "order_id",
-        "page",
         "client",
         "status",
         F.array_join(
@@ -366,7 +374,6 @@ def order_details(spark, folder):
     )
     return docs.select(
         "order_id",
-        "page",
         "client",
         F.array_join(F.transform("articles", state), " ").alias("articles"),
         F.size("steps").cast("long").alias("n_steps"),
@@ -376,15 +383,14 @@ def order_details(spark, folder):
 def orders_json(spark, folder):
     """Orders written as JSON requests and read back with defaults."""
     articles = W.work_articles(spark, folder)
-    pages = O.nested_articles(articles, ["code", "qty", "required_phases"])
-    requests = W.work_orders(spark, folder).join(pages, "order_id", "left").select(
+    lists = O.nested_articles(articles, ["code", "qty", "required_phases"])
+    requests = W.work_orders(spark, folder).join(lists, "order_id", "left").select(
         F.col("order_id").cast("string").alias("order_id"),
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.col("client").alias("cliente"),
         F.date_format("due", "yyyy-MM-dd'T'HH:mm:ss").alias("data_consegna"),
         "articles",
     )
-    text = requests.select("page", F.to_json(F.struct("*")).alias("json"))
+    text = requests.select(F.to_json(F.struct("*")).alias("json"))
     back = O.orders_from_json(text)
     return back.select(
         F.col("order_id").cast("long").alias("order_id"),
@@ -436,7 +442,7 @@ QUERIES = {
         completion_notifications, phase_duration, active_elapsed, step_history,
         phase_performance, archive_stats, archive_report, calendar_month,
         calendar_entries, order_urgency, kanban_board, remaining_minutes,
-        cutting_plan, article_update, order_documents, order_details, orders_json,
+        cutting_plan, article_update, article_update_rejects, order_documents, order_details, orders_json,
         article_phases_inherited, duplicate_orders,
     )
 }

@@ -15,7 +15,8 @@ ARTICLES = """
 wo_articles AS (
   SELECT l_orderkey AS order_id,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-           l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS idx,
+           l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_returnflag,
+           l_linestatus) - 1 AS idx,
          'P' || l_partkey AS code, l_quantity AS qty, l_partkey AS part_key,
          l_returnflag <> 'N' AS piega, l_linestatus = 'O' AS saldatura
   FROM lineitem),
@@ -245,9 +246,9 @@ FROM article_phase p LEFT JOIN nexts n ON n.order_id = p.order_id AND n.idx = p.
     "station_queue_piega_code": STATES_CODE + _queue("PIEGA", code=True),
     "station_articles": STATES
     + """
-SELECT order_id, idx // 1000 AS page,
+SELECT order_id,
        string_agg(idx || ':' || code, ' ' ORDER BY idx) AS articles, sum(qty) AS pieces
-FROM states WHERE next_phase = 'PIEGA' GROUP BY order_id, idx // 1000""",
+FROM states WHERE next_phase = 'PIEGA' GROUP BY order_id""",
     "station_summary": STATES
     + """
 SELECT next_phase AS phase, count(DISTINCT order_id) AS n_orders,
@@ -372,28 +373,32 @@ FROM (SELECT order_id, idx,
             FROM wo_articles)
       WHERE order_id % 2 = 0 OR NOT many OR idx > 0)
 GROUP BY order_id""",
+    "article_update_rejects": _with(ARTICLES)
+    + """
+SELECT -order_id - 1 AS order_id, code, qty, 'unknown order' AS reason
+FROM wo_articles WHERE idx = 0 AND order_id % 3 = 0""",
     "order_documents": FOLD
     + """,
 lists AS (
-  SELECT order_id, idx // 1000 AS page,
+  SELECT order_id,
          string_agg(idx || ':' || code, ' ' ORDER BY idx) AS articles
-  FROM wo_articles GROUP BY order_id, idx // 1000),
+  FROM wo_articles GROUP BY order_id),
 marks2 AS (
   SELECT order_id, string_agg(phase || CASE WHEN ended_at IS NULL THEN ':-' ELSE ':x' END,
                               ' ' ORDER BY phase) AS steps
   FROM steps GROUP BY order_id)
-SELECT s.order_id, coalesce(l.page, 0) AS page, s.client, s.status,
+SELECT s.order_id, s.client, s.status,
        coalesce(l.articles, '') AS articles, coalesce(m.steps, '') AS steps
 FROM status s LEFT JOIN lists l ON l.order_id = s.order_id
 LEFT JOIN marks2 m ON m.order_id = s.order_id""",
     "order_details": STATES
     + """,
 lists AS (
-  SELECT order_id, idx // 1000 AS page,
+  SELECT order_id,
          string_agg(idx || ':' || code || ':' || replace(completed_phases, ' ', '+') || ':'
                     || coalesce(next_phase, 'DONE'), ' ' ORDER BY idx) AS articles
-  FROM states GROUP BY order_id, idx // 1000)
-SELECT o.order_id, coalesce(l.page, 0) AS page, o.client, coalesce(l.articles, '') AS articles,
+  FROM states GROUP BY order_id)
+SELECT o.order_id, o.client, coalesce(l.articles, '') AS articles,
        coalesce(p.n_steps, 0) AS n_steps
 FROM wo_orders o LEFT JOIN lists l ON l.order_id = o.order_id
 LEFT JOIN progress p ON p.order_id = o.order_id""",

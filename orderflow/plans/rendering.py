@@ -2,8 +2,7 @@
 
 No order documents come with the tables, so each layout has a print form here:
 texts rendered from known articles are extracted again and compared with the
-articles. A document holds at most ``PAGE`` articles; longer orders go on in
-further documents, so no order becomes one unbounded text.
+articles. An order is one document, whatever its length.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 
 from orderflow.sources import workorders as W
 
-PAGE = 1000
-
 LAYOUTS = [
     "DIVISIONE", "PO_BEBITALIA", "FOR_ORDINE_AZA", "FOR_ORDINE", "OAFA", "ORDINE_LS",
     "GENERIC",
@@ -65,7 +62,7 @@ def _upper() -> Column:
 
 
 def _number() -> Column:
-    return (F.col("idx") % PAGE + 1).cast("string")
+    return (F.col("idx") + 1).cast("string")
 
 
 def _divisione_head() -> Column:
@@ -126,8 +123,7 @@ def _oafa_head() -> Column:
 
 def _oafa_line() -> Column:
     return _text(
-        "25CC", F.lpad((F.col("part_key") % 100_000_000).cast("string"), 8, "0"),
-        "\nC25-365-3\n", _upper(), " S235JR\n", _qty(), ",00\n", _day("due", "dd/MM/yy"), "\nNr",
+        "25CC", _part(), "\nC25-365-3\n", _upper(), " S235JR\n", _qty(), ",00\n", _day("due", "dd/MM/yy"), "\nNr",
     )
 
 
@@ -186,7 +182,6 @@ def _documents(
 ) -> DataFrame:
     articles = W.work_articles(spark, folder, names=True).drop("required_phases")
     orders = W.work_orders(spark, folder, client=False).select("order_id", "received", "due")
-    page = F.floor(F.coalesce(F.col("idx"), F.lit(0)) / PAGE).cast("long")
     # The numbering left articles partitioned by order; the join and the
     # grouping both reuse that, so only the orders move.
     return (
@@ -195,12 +190,11 @@ def _documents(
             "order_id",
             "received",
             "due",
-            page.alias("page"),
             F.when(
                 F.col("idx").isNotNull(), F.struct(F.col("idx"), line.alias("line"))
             ).alias("entry"),
         )
-        .groupBy("order_id", "page", "received", "due")
+        .groupBy("order_id", "received", "due")
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
         .withColumn(
             "body",
@@ -210,7 +204,7 @@ def _documents(
             ),
         )
         .select(
-            _text(_order(), "-", F.col("page").cast("string")).alias("doc_id"),
+            _order().alias("doc_id"),
             _text("/orders/", kind, "_", _order(7), ".pdf").alias("path"),
             F.concat_ws("\n", head, "body", foot).alias("text"),
         )
@@ -248,7 +242,7 @@ def render_mixed(spark: SparkSession, folder: str) -> DataFrame:
         choose(lambda n: F.lit(PRINTS[n].foot)),
         F.coalesce(choose(F.lit), F.lit("NOTE")),
     )
-    order = F.split_part("doc_id", F.lit("-"), F.lit(1)).cast("long")
+    order = F.col("doc_id").cast("long")
     broken = F.when(order % (2 * BROKEN + 2) == BROKEN, F.lit("")).otherwise(
         F.lit("appunto\nsenza dati")
     )

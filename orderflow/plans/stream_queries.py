@@ -9,20 +9,19 @@ from pyspark.sql import functions as F
 
 from orderflow.functions.dates import iso_time
 from orderflow.plans.order_queries import _steps
-from orderflow.session import checkpoint_dir
+from orderflow.session import checkpoint_dir, is_folder
 from orderflow.sources import workorders as W
 from orderflow.streaming.fold import current_steps, read_fold, write_fold
 from orderflow.streaming.notifications import stream_notifications as notify
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = W.table(spark, folder, "events").schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(folder)
-    )
-    return W.phase_events(raw)
+    """The event table as a stream, be it one file or a folder of part files."""
+    reader = spark.readStream.schema(W.table(spark, folder, "events").schema)
+    path = f"{folder}/events.parquet"
+    if is_folder(spark, path):
+        return W.phase_events(reader.parquet(path))
+    return W.phase_events(reader.option("pathGlobFilter", "events.parquet").parquet(folder))
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -48,6 +47,23 @@ def stream_step_fold_stateful(spark, folder):
     return _stream_steps(spark, folder, stateful=True)
 
 
+def stream_late_events(spark, folder):
+    """Events that arrive latest first, a file in a batch: every one of them late."""
+    base = _new_folder(spark)
+    events = W.table(spark, folder, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    for i in (2, 1, 0):
+        since, until = F.col("ts") >= F.lit(first + i * third), F.col("ts") < F.lit(first + (i + 1) * third)
+        part = {2: since, 1: since & until, 0: until | F.col("ts").isNull()}[i]
+        events.where(part).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    late = W.phase_events(stream.parquet(f"{base}/in"))
+    write_fold(late, f"{base}/fold", f"{base}/state", stateful=True).awaitTermination()
+    fold = read_fold(spark, f"{base}/fold")
+    return _steps(current_steps(fold, W.work_articles(spark, folder)))
+
+
 def stream_notifications(spark, folder):
     base = _new_folder(spark)
     query = notify(
@@ -69,5 +85,7 @@ def stream_notifications(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_step_fold, stream_step_fold_stateful, stream_notifications)
+    for f in (
+        stream_step_fold, stream_step_fold_stateful, stream_late_events, stream_notifications,
+    )
 }

@@ -67,6 +67,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark reads is a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Size of the files and tables a DataFrame reads, None where unknown.
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from orderflow.operators.extraction import NO_TEXT
 
-# A file longer than this many pages is assembled in several parts.
-PAGES_PER_PART = 1000
-
 
 def suffix_glob(suffix: str) -> str:
     """Glob for names ending in ``suffix`` in any case."""
@@ -20,7 +17,7 @@ def suffix_glob(suffix: str) -> str:
 def read_corpus(
     spark: SparkSession, path: str, suffix: str = ".txt", recursive: bool = False
 ) -> DataFrame:
-    """One row per file whose name ends in ``suffix`` in any case.
+    """One row per file whose name ends in ``suffix`` in any case; its path is its id.
 
     The case-blind glob keeps other files from being opened at all.
     """
@@ -31,23 +28,24 @@ def read_corpus(
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("doc_id"),
+        F.col("_metadata.file_path").alias("doc_id"),
         F.col("value").alias("text"),
     )
 
 
 def assemble_pages(
-    pages: DataFrame, separator: str = "", pages_per_part: int = PAGES_PER_PART
+    pages: DataFrame, separator: str = "", pages_per_part: int | None = None
 ) -> DataFrame:
     """Page texts (doc_id, page_no, text) joined per document, blank pages dropped.
 
-    A part holds at most ``pages_per_part`` page numbers, so an endless file
-    becomes several rows instead of one value no task could hold; ordinary
-    files are one part, numbered 0.
+    A file is one row. ``pages_per_part`` cuts it into parts of so many pages,
+    with a column ``part``, where a file may be too long for one value.
     """
-    part = F.floor(F.col("page_no") / pages_per_part).cast("long")
+    keys = ["doc_id"]
+    if pages_per_part:
+        keys.append(F.floor(F.col("page_no") / pages_per_part).cast("long").alias("part"))
     return (
-        pages.groupBy("doc_id", part.alias("part"))
+        pages.groupBy(*keys)
         .agg(
             F.array_sort(
                 F.collect_list(F.when(F.col("text") != "", F.struct("page_no", "text")))
@@ -55,7 +53,7 @@ def assemble_pages(
         )
         .select(
             "doc_id",
-            "part",
+            *(["part"] if pages_per_part else []),
             F.array_join(
                 F.transform("_pages", lambda p: p["text"]), separator
             ).alias("text"),
@@ -75,14 +73,17 @@ def write_orders(orders: DataFrame, path: str, partition: str = "status") -> Non
     orders.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def write_report(results: DataFrame, errors: DataFrame, path: str) -> None:
-    """Result and error lines of a batch as JSON files."""
-    results.write.mode("overwrite").json(f"{path}/results")
-    errors.write.mode("overwrite").json(f"{path}/errors")
+def write_report(results: DataFrame, errors: DataFrame, path: str, batch: str) -> None:
+    """Result and error lines of a batch as JSON files, in a folder of the batch.
+
+    Writing a batch again replaces its own folder and no other.
+    """
+    results.write.mode("overwrite").json(f"{path}/results/batch={batch}")
+    errors.write.mode("overwrite").json(f"{path}/errors/batch={batch}")
 
 
-def write_extraction(extracted: DataFrame, path: str) -> None:
-    extracted.write.mode("overwrite").json(path)
+def write_extraction(extracted: DataFrame, path: str, batch: str) -> None:
+    extracted.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def read_orders_json(spark: SparkSession, path: str) -> DataFrame:

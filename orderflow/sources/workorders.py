@@ -55,6 +55,8 @@ def work_articles(spark: SparkSession, folder: str, names: bool = False) -> Data
         "l_shipdate",
         "l_quantity",
         "l_extendedprice",
+        "l_returnflag",
+        "l_linestatus",
         article_phases(F.col("l_returnflag"), F.col("l_linestatus")).alias(
             "required_phases"
         ),
@@ -75,6 +77,8 @@ def work_articles(spark: SparkSession, folder: str, names: bool = False) -> Data
             "l_shipdate",
             "l_quantity",
             "l_extendedprice",
+            "l_returnflag",
+            "l_linestatus",
         )
     ]
     placed = with_position(lines, ["order_id"], order)

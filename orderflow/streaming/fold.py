@@ -19,7 +19,6 @@ from orderflow.operators.phases import completions, fold_steps, seed_steps
 from orderflow.schemas import COMPLETE, COMPLETE_PARTIAL, START
 
 KEY = ["order_id", "phase", "idx"]
-WATERMARK = "1 day"
 
 
 def _marks(events: DataFrame) -> DataFrame:
@@ -28,11 +27,11 @@ def _marks(events: DataFrame) -> DataFrame:
 
     indices = F.when(F.col("action") == COMPLETE_PARTIAL, F.col("article_indices"))
     return events.select(
+        "event_id",
         "order_id",
         "phase",
         F.explode_outer(indices).alias("idx"),
-        when(START, "ts").alias("start_ts"),
-        when(START, "operator").alias("operator"),
+        F.when(F.col("action") == START, F.struct("ts", "event_id", "operator")).alias("start"),
         when(COMPLETE, "ts").alias("complete_ts"),
         when(COMPLETE_PARTIAL, "ts").alias("done_ts"),
     )
@@ -40,21 +39,21 @@ def _marks(events: DataFrame) -> DataFrame:
 
 def _fold(marks: DataFrame) -> DataFrame:
     return marks.groupBy(*KEY).agg(
-        F.min("start_ts").alias("start_ts"),
-        F.min_by("operator", "start_ts").alias("operator"),
+        # Equal times go to the lower event id, as in the batch fold.
+        F.min("start").alias("start"),
         F.min("complete_ts").alias("complete_ts"),
         F.min("done_ts").alias("done_ts"),
     )
 
 
-def fold_stream(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def fold_stream(events: DataFrame) -> DataFrame:
     """Running fold of a stream, for update mode.
 
-    Repeated deliveries of an event are dropped within the watermark; later
-    repeats cannot change a minimum anyway.
+    Repeated deliveries cannot change a minimum, and without a watermark no
+    event is too late. The state grows with the steps ever seen; a job that
+    runs for long takes the form without state.
     """
-    once = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return _fold(_marks(once))
+    return _fold(_marks(events))
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
@@ -88,7 +87,6 @@ def write_fold(
     path: str,
     checkpoint: str,
     stateful: bool = False,
-    watermark: str = WATERMARK,
     every: str | None = None,
 ) -> StreamingQuery:
     """Write folded rows of a phase-event stream to the log under ``path``."""
@@ -98,7 +96,7 @@ def write_fold(
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     if stateful:
-        return _run(fold_stream(events, watermark), write, checkpoint, "update", every)
+        return _run(fold_stream(events), write, checkpoint, "update", every)
     return _run(events, write, checkpoint, "append", every)
 
 
@@ -114,22 +112,22 @@ def as_events(fold: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(action).alias("action"),
                 F.col(column).alias("ts"),
+                (F.col("start.event_id") if action == START else F.lit(0)).cast("long").alias("event_id"),
                 (F.array("idx") if action == COMPLETE_PARTIAL else F.lit(None)).cast(
                     "array<int>"
                 ).alias("article_indices"),
             )
             for action, column in (
-                (START, "start_ts"),
+                (START, "start.ts"),
                 (COMPLETE, "complete_ts"),
                 (COMPLETE_PARTIAL, "done_ts"),
             )
         ]
     )
     return fold.select(
-        F.lit(0).cast("long").alias("event_id"),
         "order_id",
         "phase",
-        "operator",
+        F.col("start.operator").alias("operator"),
         F.inline(F.filter(kinds, lambda k: k["ts"].isNotNull())),
     )
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orderflow.operators.phases import completion_notifications
+from orderflow.session import path_exists
 from orderflow.streaming.fold import _run, current_steps, fold_batch, read_fold
 
 
 def _notified_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Orders notified by other batches; a repeated batch ignores its own rows."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return None
+    rows = spark.read.parquet(path)
     return rows.where(F.col("batch") < batch_id).select("order_id")
 
 

@@ -25,7 +25,7 @@ def stream_corpus(
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("doc_id"),
+        F.col("_metadata.file_path").alias("doc_id"),
         F.col("value").alias("text"),
     )
 

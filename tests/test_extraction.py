@@ -212,7 +212,8 @@ def test_ls_shapes(result, spark):
     assert got == {
         "counted": [("3LAMSO3546.01", "3LAMSO3546.01", 2.0)],
         "revised": [("SR5-05530-004", "Band. PR.600=300", 2.0)],
-        "named": [("HG1103101", "INTERF ACCIA SISTEMA\nHG", 1.0)],
+        "named": [
+            ("HG1103101", "INTERF ACCIA SISTEMA", 1.0), ("HG1103102", "ALTRO NOME", 1.0)],
         "two": [("ABCD12345", "LAMERA INOX", 4.0)],
         "none": [],
     }

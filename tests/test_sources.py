@@ -25,10 +25,18 @@ def test_read_corpus(spark, tmp_path):
     (tmp_path / "c.csv").write_text("no")
     (tmp_path / "sub" / "d.txt").write_text("")
     docs = C.read_corpus(spark, str(tmp_path))
-    assert sorted(r.doc_id for r in docs.collect()) == ["a.txt", "b.TXT"]
+    assert sorted(r.doc_id.rpartition("/")[2] for r in docs.collect()) == ["a.txt", "b.TXT"]
     deep = C.read_corpus(spark, str(tmp_path), recursive=True)
-    assert {r.doc_id: r.text for r in deep.collect()}["b.TXT"] == ORDER_TEXT
-    assert Y.first_documents(docs, 1).first().doc_id == "a.txt"
+    assert {r.doc_id.rpartition("/")[2]: r.text for r in deep.collect()}["b.TXT"] == ORDER_TEXT
+    assert Y.first_documents(docs, 1).first().doc_id.endswith("/a.txt")
+
+
+def test_equal_names_are_two_documents(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.txt").write_text(ORDER_TEXT)
+    found = extract(C.read_corpus(spark, str(tmp_path), recursive=True))
+    assert I.orders_from_documents(found).select("order_id").distinct().count() == 2
 
 
 def test_assemble_pages(spark):
@@ -68,12 +76,13 @@ def test_ingest(spark, tmp_path):
     orders = I.orders_from_documents(accepted, as_of="2026-01-01").first()
     assert orders.due == dt.date(2026, 1, 1) and orders.order_no == "300000946"
     assert orders.note == "Estratto da: /p/ok.pdf" and orders.total_quantity == 5.0
-    C.write_report(*I.batch_results(found), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "errors")).count() == 2
+    for batch in ("1", "2", "2"):  # a batch written again replaces itself
+        C.write_report(*I.batch_results(found), str(tmp_path / "report"), batch)
+    assert spark.read.json(str(tmp_path / "report" / "errors")).count() == 4
     C.write_orders(I.orders_from_documents(accepted), str(tmp_path / "orders"))
     C.write_orders(I.orders_from_documents(accepted), str(tmp_path / "orders"))
     assert spark.read.parquet(str(tmp_path / "orders")).count() == 2
-    C.write_extraction(found, str(tmp_path / "x"))
+    C.write_extraction(found, str(tmp_path / "x"), "1")
     assert spark.read.json(str(tmp_path / "x")).count() == 3
     assert [r.doc_id for r in I.skip_processed(docs, docs.where("doc_id = 'ok'")).collect()].count("ok") == 0
     assert extract_headers(docs).where("order_no is not null").count() == 1
