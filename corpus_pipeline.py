@@ -43,15 +43,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that occur again; n_chars is counted anew.
+    """Texts without the strings that occur again; n_chars of cut texts is counted anew.
 
-    A document of which nothing is left goes.
+    A document of which nothing is left goes; a null text becomes empty.
     """
     reachable(spark)
-    found = remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
-    cut = F.col("n_removed") > 0
-    text, size = F.when(cut, F.col("kept")).otherwise(F.col("text")), F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.filter("n_removed = 0 OR kept <> ''").select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    found = remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.filter("n_removed = 0 OR kept <> ''").select("doc_id", F.col("kept").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

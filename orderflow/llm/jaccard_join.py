@@ -13,12 +13,15 @@ threshold. All links between different sets are honoured:
    tiles by size band.
 3. *Leaders.* Each posting is paired with the first of its tile: a pair for a
    posting, also where thousands of near copies share every shingle. Verified
-   pairs give first components.
-4. *The rest.* Only keys whose postings lie in several components can hide a
-   link that matters. Their tiles are compared across components, sizes
-   permitting.
-5. *Verification.* Hashed bitmap signatures bound the overlap from above by
-   bit counts; what passes is decided by intersecting the sorted arrays.
+   pairs give first components. Only keys whose postings lie in several
+   components can hide a link that matters; in these the document that shares
+   most shingles with others leads next (the original among edited copies), then
+   one by hash.
+4. *The rest.* What is still open is compared tile by tile across components,
+   sizes permitting; hashed bitmap signatures bound the overlap from above by
+   bit counts, and only pairs that can reach the threshold leave the tile.
+5. *Verification.* All pairs are decided by intersecting the sorted arrays,
+   after the bit counts.
 
 Copies of a set within a task are posted once; all copies get the class of
 their set. Null texts, and texts without words, have an empty set and link with
@@ -46,8 +49,8 @@ BITMAP_BITS = 26
 FREQUENT, WINDOW = 3, 2_000_000
 #: Bytes of text hashed together.
 SLICE = 1 << 20
-#: Pairs whose sets are looked at together.
-PAIRS = 256
+#: Documents compared with their leader by one task, about.
+FAN = 2_000
 #: Rows of a key held at a time, and rows of a tile's side.
 HELD, TILE = 500_000, 1024
 
@@ -271,8 +274,8 @@ class _Join:
             some = count > 1
             if state and state[0] == key[0]:
                 some |= key == key[0]
-            arrays = [key[some], ids[some], n[some], lead[some]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "id", "n", "lead"]), (key[-1], band[-1], lead[-1])
+            arrays = [key[some], ids[some], n[some], lead[some], count[some]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "id", "n", "lead", "m"]), (key[-1], band[-1], lead[-1])
 
         def run(batches):
             held, state = None, None
@@ -291,104 +294,111 @@ class _Join:
             if held is not None and len(held[0]):
                 yield rows(*held, state)[0]
 
-        return self.scratch.keep(dealt.mapInArrow(run, "key long, id long, n int, lead long"), "led")
+        return self.scratch.keep(dealt.mapInArrow(run, "key long, id long, n int, lead long, m long"), "led")
 
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those pairs (a, b) whose documents link."""
-        pairs = self.scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{name}-pairs")
-        size, threshold = self.size, self.threshold
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def wanted(self, ids: DataFrame) -> DataFrame:
+        """id and text of documents with these ids, and of some others (a bitmap of fixed size)."""
 
         def hashed(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(id_hash(batch.column("id").to_numpy()).view(np.int64))], ["h"])
 
-        wanted = self.spark.sparkContext.broadcast(bitmap(ids.mapInArrow(hashed, "h long"), "h"))
+        shared = self.spark.sparkContext.broadcast(bitmap(ids.select("id").mapInArrow(hashed, "h long"), "h"))
 
-        def sets(batches):
+        def run(batches):
             for batch in batches:
-                part = batch.filter(pa.array(marked(wanted.value, id_hash(batch.column("id").to_numpy()))))
-                for piece in slices(part, "text", SLICE):
-                    found = shingle_sets(piece.column("text"), size)
-                    blobs = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (map(signature, found), found)]
-                    yield pa.RecordBatch.from_arrays([piece.column("id"), *blobs], ["id", "sig", "hashes"])
+                yield batch.filter(pa.array(marked(shared.value, id_hash(batch.column("id").to_numpy()))))
 
-        held = self.scratch.keep(self.texts.filter("id IS NOT NULL").mapInArrow(sets, "id long, sig binary, hashes binary"), f"{name}-sets")
-        size_of = F.length("hashes") / 8
+        return self.texts.filter("id IS NOT NULL").mapInArrow(run, "id long, text string")
 
-        def side(s: str, column: str) -> DataFrame:
-            return held.select(F.col("id").alias(s), F.col(column).alias(f"{column}_{s}"), size_of.cast("long").alias(f"n_{s}"))
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those pairs (a, b) whose documents link; a leads, and its set is met before those of all its b."""
+        pairs = self.scratch.keep(pairs.select("a", "b").filter("a <> b").distinct(), f"{name}-pairs")
+        fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
+        # A leader of very many goes to several tasks, each with a part of them.
+        led = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), F.col("b").alias("id"))
+        leads = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("a").alias("id"))
+        rows = led.union(leads)
+        rows = rows.join(self.wanted(rows.select("id").distinct()), "id").withColumn("member", F.col("id") != F.col("a"))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select("a", "part", "member", "id", "text").repartition(n, "a", "part").sortWithinPartitions("a", "part", "member", "id")
+        size, threshold = self.size, self.threshold
 
-        def bound(batches):
+        def run(batches):
+            lead, own, bits = None, None, None
             for batch in batches:
-                sig = [[np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("sig_a", "sig_b")]
-                n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-                most = np.array([overlap_bound(*x) for x in zip(*sig, *n, strict=True)], np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(_reaches(most, n[0] + n[1], threshold)))
+                for piece in slices(batch, "text", SLICE):
+                    out = []
+                    columns = [piece.column(c).to_pylist() for c in ("a", "id")]
+                    for a, i, s in zip(*columns, shingle_sets(piece.column("text"), size), strict=True):
+                        if a == i:  # a text of the leader; of several with its id the first leads
+                            if lead != a:
+                                lead, own, bits = a, s, signature(s)
+                        elif lead == a and _compatible(len(own), len(s), threshold) and len(s):
+                            total = len(own) + len(s)
+                            if _reaches(overlap_bound(bits, signature(s), len(own), len(s)), total, threshold) and _reaches(
+                                len(np.intersect1d(own, s, assume_unique=True)), total, threshold
+                            ):
+                                out.append((a, i))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+        found = self.scratch.keep(dealt.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
+        self.scratch.drop(f"{name}-pairs")
+        return found
 
-        signed = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b")
-        likely = self.scratch.keep(signed.mapInArrow(bound, "a long, b long").distinct(), f"{name}-likely")
+    def opened(self, rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Postings of keys that lie in several components, with the component."""
+        label = F.coalesce(F.col("label"), F.col("id"))
+        own = rows.select("key", "id", "n", "m").join(labels, rows.id == labels.node, "left").select("key", "id", "n", "m", label.alias("label"))
+        own = self.scratch.keep(own, f"{name}-all")
+        keys = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        found = self.scratch.keep(own.join(keys, "key"), name)
+        self.scratch.drop(f"{name}-all")
+        return found
 
-        def intersect(batches):
+    def under(self, rows: DataFrame, weight: Column) -> DataFrame:
+        """Pairs of each posting with the document of most weight of its key, across components."""
+        weights = rows.groupBy("id").agg(weight.alias("w"))
+        top = rows.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", "id", "n", "label")).alias("top"))
+        num, den = self.threshold
+        small, large = F.least("n", "top.n"), F.greatest("n", "top.n")
+        pairs = rows.join(top, "key").filter((F.col("label") != F.col("top.label")) & (den * small >= num * large))
+        return pairs.select(F.col("top.id").alias("a"), F.col("id").alias("b"))
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of open postings in different components that sizes and bit counts permit."""
+        size, threshold = self.size, self.threshold
+
+        def signed(batches):
             for batch in batches:
-                for a in range(0, batch.num_rows, PAIRS):
-                    part = batch.slice(a, PAIRS)
-                    sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(c)] for c in ("hashes_a", "hashes_b")]
-                    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
-                    n = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64)
-                    yield part.select(["a", "b"]).filter(pa.array(_reaches(common, n, threshold)))
-
-        full = likely.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
-        found = self.scratch.keep(full.mapInArrow(intersect, "a long, b long").distinct(), f"{name}-links")
-        for t in ("pairs", "sets", "likely"):
-            self.scratch.drop(f"{name}-{t}")
-        return found
+                for piece in slices(batch, "text", SLICE):
+                    sigs = pa.array([signature(s).tobytes() for s in shingle_sets(piece.column("text"), size)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([piece.column("id"), sigs], ["id", "sig"])
 
-    def across(self, led: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of postings of a key in different components, sizes permitting."""
-        label = F.coalesce(F.col("label"), F.col("id"))
-        own = led.select("key", "id", "n").join(labels, led.id == labels.node, "left").select("key", "id", "n", label.alias("label"))
-        own = self.scratch.keep(own, "own")
-        open_keys = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        sigs = self.wanted(rows.select("id").distinct()).mapInArrow(signed, "id long, sig binary").groupBy("id").agg(F.min_by("sig", F.length("sig")).alias("sig"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = own.join(open_keys, "key").repartition(n, "key").sortWithinPartitions("key", "n", "id")
-        threshold = self.threshold
-
-        def tiles(ids, n, label):
-            """Each tile of the group against itself and those after it, while sizes permit."""
-            for i in range(0, len(ids), TILE):
-                a = slice(i, i + TILE)
-                for j in range(i, len(ids), TILE):
-                    if not _compatible(n[a][-1], n[j], threshold):
-                        break
-                    b = slice(j, j + TILE)
-                    fits = _compatible(n[a][:, None], n[b][None, :], threshold) & (label[a][:, None] != label[b][None, :])
-                    x, y = np.nonzero(fits)
-                    if i == j:
-                        x, y = x[x < y], y[x < y]
-                    yield np.c_[ids[a][x], ids[b][y]]
+        dealt = rows.join(sigs, "id").select("key", "id", "n", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "n", "id")
 
         def run(batches):
-            held, out, size = None, [], 0
-            stream = (b for b in batches if b.num_rows)
-            for batch in stream:
-                now = [batch.column(c).to_numpy() for c in ("key", "id", "n", "label")]
+            held, out, count = None, [], 0
+            for batch in batches:
+                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "label", "sig")]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                cut = int(np.searchsorted(held[0], held[0][-1]))
+                cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
                 done, held = [x[:cut] for x in held], [x[cut:] for x in held]
-                for pairs in _groups(done, tiles):
-                    out.append(pairs)
-                    size += len(pairs)
-                    if size > HELD:
-                        yield _pairs(out)
-                        out, size = [], 0
-            if held is not None:
-                for pairs in _groups(held, tiles):
+                for pairs in _groups(done, threshold):
                     out.append(pairs)
-                    size += len(pairs)
-                    if size > HELD:
+                    count += len(pairs)
+                    if count > HELD:
                         yield _pairs(out)
-                        out, size = [], 0
+                        out, count = [], 0
+            for pairs in _groups(held, threshold) if held is not None else ():
+                out.append(pairs)
+                count += len(pairs)
+                if count > HELD:
+                    yield _pairs(out)
+                    out, count = [], 0
             if out:
                 yield _pairs(out)
 
@@ -397,15 +407,21 @@ class _Join:
     def result(self) -> DataFrame:
         sets, frequent = self.sets()
         led = self.led(self.postings(frequent))
-        first = self.verified(led.select(F.col("id").alias("a"), F.col("lead").alias("b")), "first")
-        labels = components(first, self.scratch, "early", rounds=3)
-        rest = self.verified(self.across(led, labels), "rest")
+        first = self.verified(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
+        links, rows = first, led
+        for name, weight in (("shared", F.sum("m")), ("hashed", F.xxhash64(F.first("id"), F.lit(5)))):
+            labels = components(links, self.scratch, f"early-{name}", rounds=3)
+            rows = self.opened(rows, labels, name)
+            links = self.scratch.keep(links.union(self.verified(self.under(rows, weight), f"by-{name}")), f"links-{name}")
+        labels = components(links, self.scratch, "early-rest", rounds=3)
+        rows = self.opened(rows, labels, "open")
+        links = links.union(self.verified(self.across(rows), "rest"))
         # Documents of one set form a class; its smallest id stands for it.
         known = sets.filter("id IS NOT NULL AND n > 0")
         classes = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
         member = self.scratch.keep(known.join(classes, ["d1", "d2", "n"]).select("id", "rep"), "member")
         same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        final = components(first.union(rest).union(same), self.scratch, "final")
+        final = components(links.union(same), self.scratch, "final")
         return sets.join(final, sets.id == final.node, "left").select("id", "n", F.coalesce("label", "id").alias("component_id"))
 
 
@@ -414,12 +430,41 @@ def _reaches(common: np.ndarray, sizes: np.ndarray, threshold) -> np.ndarray:
     return den * common >= num * (sizes - common)
 
 
-def _groups(columns, tiles):
+def _words(sigs: list[bytes], size: int) -> np.ndarray:
+    """Signatures folded to ``size`` bytes, a row for each."""
+    return np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sigs]).view(np.uint64)
+
+
+def _tiles(ids, n, label, sig, threshold):
+    """Each tile of a key against itself and those after it, while sizes permit."""
+    width = np.array([len(x) for x in sig])
+    for i in range(0, len(ids), TILE):
+        a = slice(i, i + TILE)
+        for j in range(i, len(ids), TILE):
+            if not _compatible(n[a][-1], n[j], threshold):
+                break
+            b = slice(j, j + TILE)
+            fits = _compatible(n[a][:, None], n[b][None, :], threshold) & (label[a][:, None] != label[b][None, :])
+            if i == j:
+                fits = np.triu(fits, 1)
+            x, y = np.nonzero(fits)
+            size = int(min(width[a].min(), width[b].min()))
+            first, second = _words(sig[a], size), _words(sig[b], size)
+            for c in range(0, len(x), HELD):
+                p, q = x[c : c + HELD], y[c : c + HELD]
+                only_a = np.bitwise_count(first[p] & ~second[q]).sum(1, dtype=np.int64)
+                only_b = np.bitwise_count(second[q] & ~first[p]).sum(1, dtype=np.int64)
+                most = np.minimum(n[a][p] - only_a, n[b][q] - only_b)
+                may = _reaches(most, n[a][p].astype(np.int64) + n[b][q], threshold)
+                yield np.c_[ids[a][p[may]], ids[b][q[may]]]
+
+
+def _groups(columns, threshold):
     key, *rest = columns
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b - a > 1:
-            yield from tiles(*(x[a:b] for x in rest))
+            yield from _tiles(*(x[a:b] for x in rest), threshold)
 
 
 def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:

@@ -37,6 +37,8 @@ BEGINNINGS = (4, 5, 6)
 #: A feature counts if that many positives of the fit have it, and by so many
 #: standard deviations more than unlabelled texts do.
 MIN_POSITIVES, MIN_DEVIATIONS = 5, 4.0
+#: Bytes of text handled together.
+SLICE = 2 << 20
 STEPS, RATE, DECAY = 150, 0.05, 2e-3
 
 _ASCII_WORDS = np.arange(256, dtype=np.uint8)
@@ -135,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words, doc, word = distinct_words(part.column("text"))
                 features = word_features(words)[word]
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
@@ -153,21 +155,23 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, held_out, score and predicted of each row, and the columns in ``carry``."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label))
-    more = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+    # The text itself is not sent twice.
+    names = ["_text" if c == text else f"_c{i}" for i, c in enumerate(carry)]
+    more = [F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True) if n != "_text"]
     narrow = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"), held_out(docs[key]).alias("held_out"), *more)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 s = score(part.column("_text"), model.value)
                 own = [part.column("_key"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
-                extra = [part.column(f"_c{i}") for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*own, *extra], ["_key", "held_out", "score", "predicted", *(f"_c{i}" for i in range(len(carry)))])
+                extra = [part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*own, *extra], ["_key", "held_out", "score", "predicted", *names])
 
     kinds = [f"_key {docs.schema[key].dataType.simpleString()}", "held_out boolean", "score double", "predicted int"]
-    kinds += [f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    kinds += [f"{n} {narrow.schema[n].dataType.simpleString()}" for n in names]
     found = narrow.mapInArrow(run, ", ".join(kinds))
-    return found.withColumnsRenamed({"_key": key} | {f"_c{i}": c for i, c in enumerate(carry)})
+    return found.withColumnsRenamed({"_key": key} | dict(zip(names, carry, strict=True)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
