@@ -14,9 +14,7 @@ Completion rules (``mode``):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.functions.dates import duration_text, seconds_between
@@ -24,7 +22,6 @@ from orderflow.schemas import (
     COMPLETE,
     COMPLETE_PARTIAL,
     COMPLETED_MESSAGE,
-    PHASES,
     RECEIVED,
     SHIPPED,
     START,
@@ -38,25 +35,29 @@ def _check(mode: str) -> None:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
 
 
-def seed_steps(articles: DataFrame, phases: Sequence[str] = PHASES) -> DataFrame:
+def seed_steps(articles: DataFrame) -> DataFrame:
     """One step per (order, phase) that any article of the order requires.
 
-    One counter per phase in a single grouping, combined before the shuffle.
+    Phases are data: whatever name a list holds gets a step. ``seq`` is the
+    first place the phase has in any list. Counts combine before the shuffle;
+    an entry without a phase counts the articles themselves.
     """
-    counters = [
-        F.count_if(F.array_contains("required_phases", p)).alias(p) for p in phases
-    ]
-    counted = articles.groupBy("order_id").agg(
-        F.count("*").alias("n_articles"), *counters
-    )
-    entries = F.array(
-        *[F.struct(F.lit(p).alias("phase"), F.col(p).alias("n_required")) for p in phases]
+    none = F.array(F.lit(None).cast("string"))
+    phases = F.array_distinct(F.coalesce("required_phases", F.array().cast("array<string>")))
+    counted = (
+        articles.select("order_id", F.posexplode(F.concat(none, phases)).alias("seq", "phase"))
+        .groupBy("order_id", "phase")
+        .agg(F.count("*").alias("n_required"), F.min("seq").alias("seq"))
     )
+    own = F.max(F.when(F.col("phase").isNull(), F.col("n_required")))
+    # As many rows as an order has phases.
     return counted.select(
         "order_id",
-        "n_articles",
-        F.inline(F.filter(entries, lambda e: e["n_required"] > 0)),
-    )
+        own.over(Window.partitionBy("order_id")).alias("n_articles"),
+        "phase",
+        "n_required",
+        "seq",
+    ).where(F.col("phase").isNotNull())
 
 
 def seed_order_steps(orders: DataFrame) -> DataFrame:
@@ -144,6 +145,7 @@ def fold_steps(
         .select(
             "order_id",
             "phase",
+            *(["seq"] if "seq" in seeds.columns else []),
             "n_articles",
             "n_required",
             F.coalesce("n_done", F.lit(0)).alias("n_done"),
@@ -262,8 +264,13 @@ def fold_phase_events(
 
 
 def order_progress(steps: DataFrame) -> DataFrame:
-    """Completed and total steps, percent, and status of every order with steps."""
+    """Completed and total steps, percent, and status of every order with steps.
+
+    Completed phases come in step order (``seq``, then name).
+    """
     ended = F.col("ended_at").isNotNull()
+    seq = F.col("seq") if "seq" in steps.columns else F.lit(0)
+    entry = F.struct(seq.alias("seq"), F.col("phase").alias("phase"))
     return (
         steps.groupBy("order_id")
         .agg(
@@ -271,9 +278,9 @@ def order_progress(steps: DataFrame) -> DataFrame:
             F.count("ended_at").alias("n_completed"),
             F.max("ended_at").alias("last_end"),
             # At most one entry per phase of the order.
-            F.array_sort(F.collect_list(F.when(ended, F.col("phase")))).alias(
-                "completed_phases"
-            ),
+            F.transform(
+                F.array_sort(F.collect_list(F.when(ended, entry))), lambda x: x["phase"]
+            ).alias("completed_phases"),
         )
         .withColumn("all_completed", F.col("n_completed") == F.col("n_steps"))
         .withColumn("status", F.when(F.col("all_completed"), SHIPPED).otherwise(RECEIVED))

@@ -61,6 +61,31 @@ def order_summary(spark, folder):
     )
 
 
+def _listed_orders(spark, folder) -> DataFrame:
+    """Orders with phase lists of their own, in an order and with names of their own."""
+    return W.work_orders(spark, folder, client=False).withColumn(
+        "required_phases",
+        F.when(F.col("order_id") % 2 == 0, F.split(F.lit("SALDATURA PULIZIA LASER"), " "))
+        .otherwise(F.split(F.lit("VERNICIATURA LASER"), " ")),
+    )
+
+
+def seed_order_steps(spark, folder):
+    return P.seed_order_steps(_listed_orders(spark, folder)).withColumn(
+        "seq", F.col("seq").cast("long")
+    )
+
+
+def phase_order(spark, folder):
+    """Completed phases of orders whose first two steps have ended, in step order."""
+    orders = _listed_orders(spark, folder)
+    steps = P.seed_order_steps(orders).join(orders.select("order_id", "received"), "order_id")
+    ended = steps.withColumn("ended_at", F.when(F.col("seq") < 2, F.col("received")))
+    return P.order_progress(ended).select(
+        "order_id", "percent", F.array_join("completed_phases", " ").alias("completed_phases")
+    )
+
+
 def orders_by_client(spark, folder):
     return O.filter_orders(W.work_orders(spark, folder), client="Customer#000000007").select(
         "order_id", "client", iso_day(F.col("due")).alias("due")
@@ -411,7 +436,9 @@ def article_phases_inherited(spark, folder):
         F.when(F.size("required_phases") > 1, F.col("required_phases")),
     )
     orders = P.seed_steps(W.work_lines(spark, folder)).groupBy("order_id").agg(
-        F.array_sort(F.collect_list("phase")).alias("required_phases")
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("seq", "phase"))), lambda x: x["phase"]
+        ).alias("required_phases")
     )
     return Q.inherit_phases(bare, orders).select(
         "order_id", "idx", F.array_join("required_phases", " ").alias("required_phases")
@@ -433,7 +460,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         order_summary, orders_by_client, orders_containing, order_lookup,
-        order_total_quantity, seed_steps, step_fold, step_fold_code,
+        order_total_quantity, seed_steps, seed_order_steps, phase_order, step_fold, step_fold_code,
         partial_completion, phase_rejects, events_without_order,
         article_next_phase_contract, article_next_phase_code, phase_badges,
         station_queue_laser, station_queue_piega, station_queue_saldatura,

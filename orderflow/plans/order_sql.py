@@ -373,6 +373,19 @@ FROM (SELECT order_id, idx,
             FROM wo_articles)
       WHERE order_id % 2 = 0 OR NOT many OR idx > 0)
 GROUP BY order_id""",
+    "seed_order_steps": _with(ORDERS)
+    + """,
+lists AS (
+  SELECT order_id, CASE WHEN order_id % 2 = 0 THEN ['SALDATURA', 'PULIZIA', 'LASER']
+                        ELSE ['VERNICIATURA', 'LASER'] END AS l FROM wo_orders)
+SELECT order_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS seq, unnest(l) AS phase
+FROM lists""",
+    "phase_order": _with(ORDERS)
+    + """
+SELECT order_id, CAST(CASE WHEN order_id % 2 = 0 THEN 66 ELSE 100 END AS BIGINT) AS percent,
+       CASE WHEN order_id % 2 = 0 THEN 'SALDATURA PULIZIA' ELSE 'VERNICIATURA LASER' END
+         AS completed_phases
+FROM wo_orders""",
     "article_update_rejects": _with(ARTICLES)
     + """
 SELECT -order_id - 1 AS order_id, code, qty, 'unknown order' AS reason
