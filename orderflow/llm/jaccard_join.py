@@ -165,10 +165,6 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def id_hash(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1))
-
-
 def prefix(s: np.ndarray, frequent: np.ndarray, threshold=THRESHOLD) -> np.ndarray:
     """The first n - ceil(t * n) + 1 shingles in the common order: frequent ones last."""
     n, (num, den) = len(s), threshold
@@ -296,20 +292,23 @@ class _Join:
 
         return self.scratch.keep(dealt.mapInArrow(run, "key long, id long, n int, lead long, m long"), "led")
 
-    def wanted(self, ids: DataFrame) -> DataFrame:
-        """id and text of documents with these ids, and of some others (a bitmap of fixed size)."""
+    def marks(self, ids: DataFrame):
+        """A bitmap of fixed size of these ids, for the tasks."""
+        return self.spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h")), "h"))
 
-        def hashed(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(id_hash(batch.column("id").to_numpy()).view(np.int64))], ["h"])
+    @property
+    def hashed(self) -> DataFrame:
+        return self.texts.filter("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h"))
 
-        shared = self.spark.sparkContext.broadcast(bitmap(ids.select("id").mapInArrow(hashed, "h long"), "h"))
+    def wanted(self, ids: DataFrame) -> DataFrame:
+        """id and text of documents with these ids, and of some others (where the bitmap errs)."""
+        shared = self.marks(ids)
 
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array(marked(shared.value, id_hash(batch.column("id").to_numpy()))))
+                yield _marked_rows(batch, shared.value)
 
-        return self.texts.filter("id IS NOT NULL").mapInArrow(run, "id long, text string")
+        return self.hashed.mapInArrow(run, "id long, text string")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs (a, b) whose documents link; a leads, and its set is met before those of all its b."""
@@ -368,15 +367,15 @@ class _Join:
 
     def across(self, rows: DataFrame) -> DataFrame:
         """Pairs of open postings in different components that sizes and bit counts permit."""
-        size, threshold = self.size, self.threshold
+        size, threshold, shared = self.size, self.threshold, self.marks(rows.select("id").distinct())
 
         def signed(batches):
             for batch in batches:
-                for piece in slices(batch, "text", SLICE):
+                for piece in slices(_marked_rows(batch, shared.value), "text", SLICE):
                     sigs = pa.array([signature(s).tobytes() for s in shingle_sets(piece.column("text"), size)], pa.binary())
                     yield pa.RecordBatch.from_arrays([piece.column("id"), sigs], ["id", "sig"])
 
-        sigs = self.wanted(rows.select("id").distinct()).mapInArrow(signed, "id long, sig binary").groupBy("id").agg(F.min_by("sig", F.length("sig")).alias("sig"))
+        sigs = self.hashed.mapInArrow(signed, "id long, sig binary").groupBy("id").agg(F.min_by("sig", F.length("sig")).alias("sig"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.join(sigs, "id").select("key", "id", "n", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "n", "id")
 
@@ -430,6 +429,11 @@ def _reaches(common: np.ndarray, sizes: np.ndarray, threshold) -> np.ndarray:
     return den * common >= num * (sizes - common)
 
 
+def _marked_rows(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    h = batch.column("h").to_numpy().view(np.uint64)
+    return batch.select(["id", "text"]).filter(pa.array(marked(bits, h)))
+
+
 def _words(sigs: list[bytes], size: int) -> np.ndarray:
     """Signatures folded to ``size`` bytes, a row for each."""
     return np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sigs]).view(np.uint64)
