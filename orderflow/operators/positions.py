@@ -44,8 +44,8 @@ def with_position(
     if not total:
         return plain
 
-    # At most total / hot_rows keys, so the list is safe to broadcast.
-    hot_keys = F.broadcast(sizes.select(*group))
+    # Spark broadcasts these small tables below its own size threshold only.
+    hot_keys = sizes.select(*group)
     cold = df.join(hot_keys, list(group), "left_anti").withColumn(
         name, (F.row_number().over(window) - 1).cast("long")
     )
@@ -72,9 +72,8 @@ def with_position(
         .drop("count")
     )
     within = Window.partitionBy(*group, "_piece").orderBy(*order)
-    # One row per (hot group, piece): at most keys + pieces rows.
     numbered = (
-        placed.join(F.broadcast(starts), [*group, "_piece"])
+        placed.join(starts, [*group, "_piece"])
         .withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
         .drop("_piece", "_start")
     )

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 # One reducer should get about this much shuffled data.
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+# More partitions than this cost the driver more than they save a reducer.
+MAX_PARTITIONS = 50_000
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 _SETTINGS = {
     # Driver timestamps are zone-free; a fixed zone keeps casts reproducible.
@@ -35,11 +38,11 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
         spark.conf.set(key, value)
     if input_bytes:
         base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        wanted = math.ceil(input_bytes / TARGET_PARTITION_BYTES)
+        wanted = min(math.ceil(input_bytes / TARGET_PARTITION_BYTES), MAX_PARTITIONS)
         if wanted > base:
-            spark.conf.set(
-                "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted)
-            )
+            spark.conf.set(_INITIAL, str(wanted))
+        else:  # what an earlier, larger query set does not stay
+            spark.conf.unset(_INITIAL)
     return spark
 
 

@@ -194,6 +194,12 @@ def test_first_steps(spark):
     assert sorted(r.step_id for r in O.first_steps(df).collect()) == [1, 3]
 
 
+def test_long_orders_are_whole(spark):
+    df = spark.range(1500).selectExpr("1L AS order_id", "id AS idx", "concat('c', id) AS code")
+    row = O.nested_articles(df, ["code"]).collect()
+    assert len(row) == 1 and [a.idx for a in row[0].articles] == list(range(1500))
+
+
 def test_nested_articles_are_paged(spark):
     rows = [(1, i, f"c{i}", 1.0, ["LASER"]) for i in range(25)]
     df = spark.createDataFrame(rows, ARTICLE)
