@@ -324,21 +324,19 @@ class _Join:
         size, threshold = self.size, self.threshold
 
         def run(batches):
-            lead, own, bits = None, None, None
+            lead, own = None, []  # the leader and the set and signature of each of its texts
             for batch in batches:
                 for piece in slices(batch, "text", SLICE):
                     out = []
                     columns = [piece.column(c).to_pylist() for c in ("a", "id")]
                     for a, i, s in zip(*columns, shingle_sets(piece.column("text"), size), strict=True):
-                        if a == i:  # a text of the leader; of several with its id the first leads
-                            if lead != a:
-                                lead, own, bits = a, s, signature(s)
-                        elif lead == a and _compatible(len(own), len(s), threshold) and len(s):
-                            total = len(own) + len(s)
-                            if _reaches(overlap_bound(bits, signature(s), len(own), len(s)), total, threshold) and _reaches(
-                                len(np.intersect1d(own, s, assume_unique=True)), total, threshold
-                            ):
-                                out.append((a, i))
+                        if a == i:
+                            own = own if lead == a else []
+                            lead = a
+                            if len(s):
+                                own.append((s, signature(s)))
+                        elif lead == a and len(s) and any(_linked(x, bits, s, threshold) for x, bits in own):
+                            out.append((a, i))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -429,6 +427,14 @@ def _reaches(common: np.ndarray, sizes: np.ndarray, threshold) -> np.ndarray:
     return den * common >= num * (sizes - common)
 
 
+def _linked(a: np.ndarray, bits: np.ndarray, b: np.ndarray, threshold) -> bool:
+    """Sizes, then bit counts, then the intersection itself."""
+    total = len(a) + len(b)
+    if not _compatible(len(a), len(b), threshold) or not _reaches(overlap_bound(bits, signature(b), len(a), len(b)), total, threshold):
+        return False
+    return bool(_reaches(len(np.intersect1d(a, b, assume_unique=True)), total, threshold))
+
+
 def _marked_rows(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     h = batch.column("h").to_numpy().view(np.uint64)
     return batch.select(["id", "text"]).filter(pa.array(marked(bits, h)))

@@ -109,6 +109,15 @@ def test_jaccard_components(spark, rng, monkeypatch):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_rows_of_one_id(spark, rng):
+    """Rows that share an id count as one document: each of their texts may link."""
+    reachable(spark)
+    one, two = prose(rng, 60, 9000), prose(rng, 60, 9000)
+    rows = [(1, one), (1, two), (5, two + " x"), (6, one + " y"), (7, prose(rng, 60, 9000)), (7, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1}
+
+
 def kept_of(values, length):
     seen = collections.Counter(v[i : i + length] for v in values for i in range(len(v) - length + 1))
     out = []
