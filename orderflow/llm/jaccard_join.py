@@ -15,8 +15,7 @@ threshold. All links between different sets are honoured:
    posting, also where thousands of near copies share every shingle. Verified
    pairs give first components. Only keys whose postings lie in several
    components can hide a link that matters; in these the document that shares
-   most shingles with others leads next (the original among edited copies), then
-   one by hash.
+   most shingles with others leads next (the original among edited copies).
 4. *The rest.* What is still open is compared tile by tile across components,
    sizes permitting; hashed bitmap signatures bound the overlap from above by
    bit counts, and only pairs that can reach the threshold leave the tile.
@@ -51,8 +50,9 @@ FREQUENT, WINDOW = 3, 2_000_000
 SLICE = 1 << 20
 #: Documents compared with their leader by one task, about.
 FAN = 2_000
-#: Rows of a key held at a time, and rows of a tile's side.
-HELD, TILE = 500_000, 1024
+#: Rows of a key held at a time, rows of a tile's side, and bits of a tile's
+#: signatures for each shingle: the more, the nearer the bound to the overlap.
+HELD, TILE, TILE_SPREAD = 500_000, 1024, 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -122,10 +122,10 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of twice the set's size or more, bits from the low bits of the hashes."""
+def signature(s: np.ndarray, spread: int = 2) -> np.ndarray:
+    """A bitmap of ``spread`` times the set's size or more, bits from the low bits of the hashes."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < spread * len(s):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -370,7 +370,7 @@ class _Join:
         def signed(batches):
             for batch in batches:
                 for piece in slices(_marked_rows(batch, shared.value), "text", SLICE):
-                    sigs = pa.array([signature(s).tobytes() for s in shingle_sets(piece.column("text"), size)], pa.binary())
+                    sigs = pa.array([signature(s, TILE_SPREAD).tobytes() for s in shingle_sets(piece.column("text"), size)], pa.binary())
                     yield pa.RecordBatch.from_arrays([piece.column("id"), sigs], ["id", "sig"])
 
         sigs = self.hashed.mapInArrow(signed, "id long, sig binary").groupBy("id").agg(F.min_by("sig", F.length("sig")).alias("sig"))
@@ -405,12 +405,10 @@ class _Join:
         sets, frequent = self.sets()
         led = self.led(self.postings(frequent))
         first = self.verified(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
-        links, rows = first, led
-        for name, weight in (("shared", F.sum("m")), ("hashed", F.xxhash64(F.first("id"), F.lit(5)))):
-            labels = components(links, self.scratch, f"early-{name}", rounds=3)
-            rows = self.opened(rows, labels, name)
-            links = self.scratch.keep(links.union(self.verified(self.under(rows, weight), f"by-{name}")), f"links-{name}")
-        labels = components(links, self.scratch, "early-rest", rounds=3)
+        labels = components(first, self.scratch, "early-first", rounds=2)
+        rows = self.opened(led, labels, "shared")
+        links = self.scratch.keep(first.union(self.verified(self.under(rows, F.sum("m")), "by-shared")), "links")
+        labels = components(links, self.scratch, "early-shared", rounds=2)
         rows = self.opened(rows, labels, "open")
         links = links.union(self.verified(self.across(rows), "rest"))
         # Documents of one set form a class; its smallest id stands for it.
