@@ -1,39 +1,50 @@
 """Mixing sources to target weights by a proportionate-fair schedule of blocks.
 
 Each source's rows, in the order of a hash of their key, form blocks. In a
-schedule of one block a slot, block k of a source with share a / A (of all
-slots) is released at slot floor(k * A / a) and due at ceil((k + 1) * A / a).
-Earliest deadline first keeps every source, at every slot, less than one block
-from its share. The schedule repeats after A slots, so only one period is
-computed, of ``period`` slots; rows find their slot by arithmetic.
+schedule of one block a slot, block k of a source with weight w (of a sum of 1)
+is released at slot floor(k / w) and due at ceil((k + 1) / w). Earliest deadline
+first keeps every source, at every slot, less than one block from its weight.
+Weights are exact: floats count as the fractions they are.
 
-When a source runs out, the shares of the others are scaled up and a new phase
+When a source runs out, the weights of the others are scaled up and a new phase
 begins: no row is dropped. Sources without a target follow after the others,
 in proportion to their rows.
 
 Null sources are a source of their own and null keys rows like others; empty
 tables give no rows; equal rows get places of their own. DataFrame operations
-only. The driver holds the counts of at most ``MAX_SOURCES`` sources and one
-period for each phase.
+only. The driver holds a few numbers for each source and ``SLOTS`` slots at a
+time; the places of the blocks are a table that rows are joined with.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import documents
+from orderflow.llm.common import Scratch, documents
 
 BLOCK_ROWS = 16
-PERIOD = 1000
-MAX_SOURCES = 1000
+#: Slots that the driver holds at a time.
+SLOTS = 1 << 18
 #: Rows of a source that one task numbers at a time, about.
 BUCKET_ROWS = 100_000
 
 
+def exact_shares(weights: dict) -> dict:
+    """Whole numbers in the very proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
 def whole_shares(weights: dict, period: int) -> dict:
     """Shares of a period in whole slots, one at least, by largest remainder."""
     period = max(period, len(weights))
@@ -46,51 +57,63 @@ def whole_shares(weights: dict, period: int) -> dict:
     return shares
 
 
-def one_period(shares: dict) -> dict[object, list[int]]:
-    """The slots of each source in a period: earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    slots: dict[object, list[int]] = {s: [] for s in shares}
-    order = {s: i for i, s in enumerate(sorted(shares, key=lambda s: (s is None, str(s))))}
-    waiting = [(0, order[s], s) for s in shares]  # by release
-    heapq.heapify(waiting)
+def earliest_deadline_first(shares: dict) -> Iterator:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
+    total = sum(shares.values())
+    names = sorted(shares, key=lambda s: (s is None, str(s)))
+    share, done = [shares[s] for s in names], [0] * len(names)
+    waiting = [(0, i) for i in range(len(names))]  # by release
     ready: list = []  # by deadline
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
-            _, i, s = heapq.heappop(waiting)
-            done = len(slots[s])
-            heapq.heappush(ready, (-(-(done + 1) * period // shares[s]), i, s))
-        _, i, s = heapq.heappop(ready)
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // share[i]), i))
+        _, i = heapq.heappop(ready)
+        yield names[i]
+        done[i] += 1
+        heapq.heappush(waiting, (done[i] * total // share[i], i))
+
+
+def one_period(shares: dict) -> dict[object, list[int]]:
+    """The slots of each source in as many slots as there are shares."""
+    slots: dict[object, list[int]] = {s: [] for s in shares}
+    for t, s in enumerate(itertools.islice(earliest_deadline_first(shares), sum(shares.values()))):
         slots[s].append(t)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // shares[s], i, s))
     return slots
 
 
-def schedule(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, base slot, share, period, slots) for each phase and source."""
-    left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        alive = {s: weights.get(s) or 0 for s in left if left[s]}
-        if not any(alive.values()):
-            alive = {s: left[s] for s in alive}
-        alive = {s: w for s, w in alive.items() if w > 0}
-        shares = whole_shares(alive, period)
-        length, slots = sum(shares.values()), one_period(shares)
-        # The phase ends where a source would need a block that it has not.
-        end = min(left[s] // a * length + slots[s][left[s] % a] for s, a in shares.items())
-        for s, a in shares.items():
-            n = end // length * a + sum(t < end % length for t in slots[s])
-            if n:
-                out.append((s, done[s], done[s] + n, base, a, length, slots[s]))
-                done[s] += n
-                left[s] -= n
-        base += end
-    return out
-
-
-def block_slot(row: tuple, block: int) -> int:
-    _, first, _, base, share, period, slots = row
-    return base + (block - first) // share * period + slots[(block - first) % share]
+def schedule(blocks: dict, weights: dict, period: int | None = None) -> Iterator[tuple]:
+    """(source, block) of each slot."""
+    left, done = dict(blocks), dict.fromkeys(blocks, 0)
+    while alive := [s for s in left if left[s]]:
+        goal = {s: weights[s] for s in alive if (weights.get(s) or 0) > 0} or {s: left[s] for s in alive}
+        for s in earliest_deadline_first(whole_shares(goal, period) if period else exact_shares(goal)):
+            if not left[s]:  # the phase ends where a source would need a block that it has not
+                break
+            yield s, done[s]
+            done[s] += 1
+            left[s] -= 1
+
+
+def _places(spark: SparkSession, plan: Iterator[tuple], numbers: dict, counts: dict, block_rows: int) -> DataFrame:
+    """_s (number of the source), _nth (block), _when (slot) and _start (position of its first row) of all blocks."""
+    kinds, scratch, chunk = "_s int, _nth long, _when long, _start long", None, None
+    rows = np.array(list(counts.values()), np.int64)
+    slot, start = 0, 0
+    while held := list(itertools.islice(plan, SLOTS)):
+        if chunk is not None:
+            scratch = scratch or Scratch(spark, "mixing")
+            scratch.keep(chunk, f"places/{slot}")
+        s, nth = np.array([numbers[x] for x, _ in held], np.int32), np.array([k for _, k in held], np.int64)
+        # Only the last block of a source may be short.
+        ends = start + np.cumsum(np.minimum(block_rows, rows[s] - nth * block_rows))
+        columns = [s, nth, slot + np.arange(len(s)), np.r_[start, ends[:-1]]]
+        chunk = spark.createDataFrame(pa.table([pa.array(x) for x in columns], ["_s", "_nth", "_when", "_start"]), kinds)
+        slot, start = slot + len(s), int(ends[-1])
+    if scratch is None:
+        return spark.createDataFrame([], kinds) if chunk is None else chunk
+    scratch.keep(chunk, f"places/{slot}")
+    return spark.read.schema(kinds).parquet(f"{scratch.folder}/places/*")
 
 
 def _order(key: Column) -> Column:
@@ -98,25 +121,23 @@ def _order(key: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, key: str = "doc_id", source: str = "source"
+    docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, key: str = "doc_id", source: str = "source"
 ) -> DataFrame:
     """All rows with block, slot and position (0-based place in the mixture).
 
     ``weights``: target weight of each source; if none, the square root of its
-    rows. The new columns are added to all columns of the input, under other
-    names (with leading underscores) if the input has such columns.
+    rows. ``period``: if given, weights are rounded to whole slots of a schedule
+    that repeats after so many. The new columns are added to all columns of the
+    input, under other names (with leading underscores) if the input has such
+    columns.
     """
     spark = docs.sparkSession
-    found = docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts = {r["s"]: r["n"] for r in found}
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).collect()}
+    numbers = {s: i for i, s in enumerate(counts)}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = schedule(blocks, {s: math.sqrt(n) for s, n in counts.items()} if weights is None else weights, period)
-    # Only the last block of a source may be short; rows after it move up.
-    ends = sorted((block_slot(p, p[2] - 1), blocks[p[0]] * block_rows - counts[p[0]]) for p in plan if p[2] == blocks[p[0]])
-    kind = docs.schema[source].dataType.simpleString()
-    phases = spark.createDataFrame(plan, f"_s {kind}, _first long, _end long, _base long, _share long, _period long, _slots array<long>")
+    places = _places(spark, plan, numbers, counts, block_rows)
+    sources = spark.createDataFrame(list(numbers.items()), f"_name {docs.schema[source].dataType.simpleString()}, _number int")
 
     names = {}
     for n in ("block", "slot", "position"):
@@ -127,27 +148,18 @@ def mix(
     # after the rows of the ranges before it, so no source is gathered.
     digits = max(1, math.ceil(math.log(max(1, max(counts.values(), default=1) / BUCKET_ROWS), 16)) + 1)
     rows = docs.withColumn("_md5", _order(F.col(f"`{key}`"))).withColumn("_range", F.substring("_md5", 1, digits))
-    sizes = rows.groupBy(F.col(f"`{source}`").alias("_s"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_s", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = rows.groupBy(F.col(f"`{source}`").alias("_of"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_of").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_of", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = starts.join(sources, F.col("_of").eqNullSafe(F.col("_name"))).drop("_name")
     within = Window.partitionBy(f"`{source}`", "_range").orderBy("_md5", f"`{key}`")
     rows = rows.withColumn("_in", F.row_number().over(within) - 1)
-    rows = rows.join(starts, F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s")
-    rows = rows.withColumn("_rank", F.col("_before") + F.col("_in"))
-    rows = rows.withColumn(names["block"], F.floor(F.col("_rank") / block_rows))
-    block = F.col(names["block"])
-    # At most MAX_SOURCES rows a phase and one period's slots: a bounded broadcast.
-    rows = rows.join(F.broadcast(phases), F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (block >= F.col("_first")) & (block < F.col("_end")))
-    past = block - F.col("_first")
-    slot = F.col("_base") + F.floor(past / F.col("_share")) * F.col("_period") + F.element_at("_slots", (past % F.col("_share") + 1).cast("int"))
-    rows = rows.withColumn(names["slot"], slot.cast("long"))
-    short = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in ends if n])
-    moved = F.lit(0)
-    if any(n for _, n in ends):
-        moved = F.aggregate(short, F.lit(0), lambda a, x: a + F.when(x["t"] < F.col(names["slot"]), x["n"]).otherwise(0))
-    place = F.col(names["slot"]) * block_rows + F.col("_rank") % block_rows - moved
-    rows = rows.withColumn(names["position"], place.cast("long"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *names.values())
+    rows = rows.join(starts, F.col(f"`{source}`").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_r")))
+    rows = rows.withColumn("_rank", F.col("_before") + F.col("_in")).withColumn("_at", F.floor(F.col("_rank") / block_rows))
+    rows = rows.join(places, (F.col("_number") == F.col("_s")) & (F.col("_at") == F.col("_nth")))
+    place = F.col("_start") + F.col("_rank") % block_rows
+    added = {names["block"]: F.col("_nth"), names["slot"]: F.col("_when"), names["position"]: place.cast("long")}
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[x.alias(name) for name, x in added.items()])
 
 
 def in_order(mixed: DataFrame, n: int, parts: int, position: str = "position") -> DataFrame:

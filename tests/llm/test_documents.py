@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -204,6 +206,35 @@ def test_mixing(spark, rng):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def target_lag(slots, weights):
+    """The most that any source is ever off its target, in blocks."""
+    total, worst, done = sum(map(Fraction, weights.values())), 0, dict.fromkeys(weights, 0)
+    for t, s in enumerate(slots, 1):
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - t * Fraction(w) / total) for x, w in weights.items()))
+    return worst
+
+
+def test_mixture_keeps_to_the_target_weights():
+    # Far longer than a period of 1000 slots, and weights that no 1000 slots can hold.
+    for weights in ({"a": 0.7123, "b": 0.2001, "c": 0.0876}, {"hot": 157.8, **{f"m{i}": 40.0 for i in range(20)}, **{f"t{i}": 0.9 for i in range(30)}}):
+        slots = itertools.islice(mixing.schedule(dict.fromkeys(weights, 10**6), weights), 8000)
+        assert target_lag([s for s, _ in slots], weights) < 1
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    counts = {f"s{i}": 17 + i % 3 for i in range(1200)} | {"hot": 4000}
+    docs = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)], "doc_id long, source string")
+    monkeypatch.setattr(mixing, "SLOTS", 700)  # several tables of places
+    got = mixing.mix(docs).toPandas().sort_values("position")
+    assert list(got.position) == list(range(sum(counts.values()))) and got.groupby("source").size().to_dict() == counts
+    blocks = got.drop_duplicates("slot")
+    assert list(blocks.slot) == list(range(len(blocks))) and got.groupby("slot").source.nunique().max() == 1
+    left, order = {s: -(-n // 16) for s, n in counts.items()}, blocks.source.tolist()
+    first_out = next(i for i, s in enumerate(order) if left.update({s: left[s] - 1}) or not left[s])
+    assert target_lag(order[:first_out], {s: math.sqrt(n) for s, n in counts.items()}) < 1
+
+
 def test_expressions():
     parse, evaluate = licenses.parse, licenses.evaluate
     assert parse("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
