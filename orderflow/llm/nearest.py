@@ -3,13 +3,17 @@
 Largest inner product becomes nearest point once vectors are scaled by the
 largest norm M and get one more coordinate sqrt(1 - |x|^2): a query, scaled to
 length 1 with 0 there, is nearest to what has the largest product with it.
+Vectors are put in ranges of norm (a factor of two), each with its own M and
+cells, so a long vector does not crowd the others; a query visits all ranges. A
+range of at most ``WHOLE`` vectors is one cell that every query visits.
 
 Each of ``TABLES`` tables hashes points by ``FUNCTIONS`` p-stable (Gaussian)
 functions floor((a.x + b) / WIDTH) to a cell. A query visits its own cell and
 those that differ by one step in any functions, in the order of estimated
 success (the summed squares of its distances to the borders crossed), the first
 ``PROBES`` of each table. Candidates of all tables are reranked by the exact
-product in double precision and merged; there is no cap on them.
+product in double precision and merged; there is no cap on them. A query that
+found fewer than k although there are more is compared with all vectors.
 
 Cells are dealt to tiles; a salt from the vector's id spreads a crowded cell
 over ``SALTS`` tiles. A query goes once to each tile, with the cells it probes
@@ -19,7 +23,7 @@ block, so a task holds one block and its best so far.
 Null, empty and zero vectors, vectors with null or non-finite components or
 with another dimension than the most frequent one, and rows without an id take
 no part. Of repeated rows of an id each is a candidate, but the result holds an
-id once for a query. A query with fewer candidates gets what there is.
+id once for a query. A query with fewer than k candidates gets them all.
 """
 
 from __future__ import annotations
@@ -31,15 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import mix, reachable
+from orderflow.llm.common import Scratch, mix, reachable
 
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 6, 2.0, 96, 11
 SALTS = 8
+#: Bins of norm for a factor of two.
+BINS = 8
 QUERY_BLOCK = 10_000
 #: Points hashed into a tile, about, over all tables.
 TILE_ROWS = 16_384
 #: Candidates gathered before they are reranked.
 BUFFER = 500_000
+#: Vectors of a norm range that are not worth hashing, at most.
+WHOLE = 1000
+#: Numbers in the vectors of the pairs compared at once, about.
+PAIR_NUMBERS = 1 << 24
 #: How far a product from a matrix product may be off (vectors of length 1).
 SLACK = 1e-9
 
@@ -51,7 +61,18 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     df = df.filter(F.col("id").isNotNull() & (F.size(v) > 0))
     df = df.filter(F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
     df = df.withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)))
-    return df.filter("norm > 0")
+    return df.filter("norm > 0").withColumn("bin", F.floor(F.log2("norm") * BINS))
+
+
+def norm_ranges(bins: list[tuple]) -> list[tuple]:
+    """(highest bin, largest norm, whether one cell) of ranges of ``BINS`` bins, longest first, from (bin, largest norm, vectors)."""
+    out: list[tuple] = []
+    for b, norm, n in sorted(bins, reverse=True):
+        if out and out[-1][0] - b < BINS:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((b, norm, n))
+    return [(b, norm, n <= WHOLE) for b, norm, n in out]
 
 
 class Hashes:
@@ -70,20 +91,31 @@ class Hashes:
         low = np.floor(at)
         return low.astype(np.int64), at - low
 
-    def code(self, table: int, cells: np.ndarray) -> np.ndarray:
-        h = np.full(cells.shape[:-1], table + 1, np.uint64)
+    def code(self, table: int, cells: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
+        """Codes of cells of norm ranges."""
+        h = np.full(cells.shape[:-1], table + 1, np.uint64) + np.asarray(part, np.uint64) * np.uint64(self.tables)
         for k in range(self.functions):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + cells[..., k].astype(np.uint64))
         return h
 
-    def probed(self, table: int, points: np.ndarray) -> np.ndarray:
-        """Codes of the cells each query visits, in order of estimated success."""
+    def of_points(self, table: int, v: np.ndarray, bins: np.ndarray, ranges: list[tuple]) -> np.ndarray:
+        """Codes of the cells that vectors lie in."""
+        part = np.searchsorted([-r[0] for r in ranges], -bins, side="right") - 1
+        scaled = v / np.array([r[1] for r in ranges])[part, None]
+        rest = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(1)))
+        cells = self.cells(table, np.c_[scaled, rest])[0]
+        cells[np.array([r[2] for r in ranges])[part]] = 0
+        return self.code(table, cells, part)
+
+    def probed(self, table: int, points: np.ndarray, ranges: list[tuple]) -> np.ndarray:
+        """Codes of the cells each query visits: of each range, in order of estimated success."""
         low, past = self.cells(table, points)
         cost = past**2 @ (self.steps == -1).T + (1 - past) ** 2 @ (self.steps == 1).T
         n = min(self.probes, len(self.steps))
         first = np.argpartition(cost, n - 1, axis=1)[:, :n]
         first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, 1), axis=1, kind="stable"), 1)
-        return self.code(table, low[:, None, :] + self.steps[first])
+        cells, one = low[:, None, :] + self.steps[first], np.zeros((len(points), 1, self.functions), np.int64)
+        return np.concatenate([self.code(table, one if r[2] else cells, part) for part, r in enumerate(ranges)], 1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -138,26 +170,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     """
     spark = reachable(vectors.sparkSession)
     points, asked = usable(vectors, key, column), usable(queries, key, column)
-    found = points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy(F.desc("n"), "dim").first()
     kinds = "query_id long, rank int, vec_id long, score double"
-    if found is None:
+    groups = points.groupBy(F.size("v").alias("dim"), "bin").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
+    if not groups:
         return spark.createDataFrame([], kinds)
-    dim, largest = found["dim"], found["norm"]
+    of_dim: dict[int, int] = {}
+    for r in groups:
+        of_dim[r["dim"]] = of_dim.get(r["dim"], 0) + r["n"]
+    dim = min(of_dim, key=lambda d: (-of_dim[d], d))
+    ranges, n_points = norm_ranges([(r["bin"], r["norm"], r["n"]) for r in groups if r["dim"] == dim]), of_dim[dim]
+    largest = ranges[0][1]
     points, asked = points.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     options = hashes or {}
     # Each tile returns k rows for a query, so tiles follow the rows, not the cluster.
-    tiles = -(-found["n"] * options.get("tables", TABLES) // TILE_ROWS)
+    tiles = -(-n_points * options.get("tables", TABLES) // TILE_ROWS)
 
     def hash_points(batches):
         h = Hashes(dim, **options)
         for batch in batches:
-            ids, v = batch.column("id").to_numpy(), _matrix(batch.column("v"), dim) / largest
-            rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))
-            full = np.c_[v, rest]
+            ids, v, bins = batch.column("id").to_numpy(), _matrix(batch.column("v"), dim), batch.column("bin").to_numpy()
             salt = mix(ids.astype(np.uint64)) % np.uint64(SALTS)
             for t in range(h.tables):
-                code = h.code(t, h.cells(t, full)[0])
+                code = h.of_points(t, v, bins, ranges)
                 one = pa.array([None] * len(ids), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_tile(code, salt, tiles)), pa.array(code.view(np.int64)), one, batch.column("id"), batch.column("v")], ["tile", "cell", "cells", "id", "v"]
@@ -166,11 +201,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     def hash_queries(batches):
         h = Hashes(dim, **options)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            step = max(1, 256 // len(ranges))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 v = _matrix(part.column("v"), dim)
                 v = np.c_[v / np.linalg.norm(v, axis=1, keepdims=True), np.zeros(len(v))]
-                codes = np.concatenate([h.probed(t, v) for t in range(h.tables)], 1)
+                codes = np.concatenate([h.probed(t, v, ranges) for t in range(h.tables)], 1)
                 # Once to each tile, with what it visits there.
                 all_tiles = np.stack([_tile(codes, s, tiles) for s in range(SALTS)], 2).reshape(len(v), -1)
                 row = np.repeat(np.arange(len(v)), all_tiles.shape[1])
@@ -184,11 +220,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
                 )
 
     columns = "tile int, cell long, cells array<long>, id long, v array<double>"
-    hashed = points.select("id", "v").mapInArrow(hash_points, columns)
-    hashed = hashed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probes = asked.select("id", "v").mapInArrow(hash_queries, columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = probes.unionByName(hashed).repartition(tiles, "tile", "block").sortWithinPartitions("tile", "block", F.col("cell").asc_nulls_first(), "id")
-
     def search(batches):
         at, best, visits, held = None, None, {}, []
 
@@ -230,13 +261,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
                     best, visits = start()
                     held = []
                 if (who := visits.get(int(cell[a]))) is not None:
-                    best.add(who, part.column("id").to_numpy(), _matrix(part.column("v"), dim), largest)
+                    rows = max(1, PAIR_NUMBERS // (dim * len(who)))
+                    for c in range(0, b - a, rows):
+                        few = part.slice(c, rows)
+                        best.add(who, few.column("id").to_numpy(), _matrix(few.column("v"), dim), largest)
         if best is not None:
             yield from end()
 
-    ranked = dealt.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return ranked.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best_of(probes: DataFrame, hashed: DataFrame, tiles: int, blocks: int) -> DataFrame:
+        hashed = hashed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        probes = probes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        dealt = probes.unionByName(hashed).repartition(tiles, "tile", "block").sortWithinPartitions("tile", "block", F.col("cell").asc_nulls_first(), "id")
+        ranked = dealt.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return ranked.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    hashed = points.select("id", "v", "bin").mapInArrow(hash_points, columns)
+    probes = asked.select("id", "v").mapInArrow(hash_queries, columns)
+    found = Scratch(spark, "nearest").keep(best_of(probes, hashed, tiles, blocks), "found")
+    # Queries short of what there is are compared with all vectors, dealt by hash.
+    known = [r["id"] for r in points.select("id").distinct().limit(k + 1).collect()]
+    due = F.lit(k) if len(known) > k else F.lit(len(known)) - F.col("id").isin(known).cast("int")
+    counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    short = asked.select("id").distinct().join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) < due).select("id")
+    late = asked.join(short, "id", "left_semi")
+    n_late = late.count()
+    if not n_late:
+        return found
+    tiles = -(-n_points // TILE_ROWS)
+    one, none = F.lit(0).cast("long"), F.lit(None)
+    probes = late.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), none.cast("long").alias("cell"), F.array(one).alias("cells"), "id", "v")
+    dealt = F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int").alias("tile")
+    all_points = points.select(dealt, one.alias("cell"), none.cast("array<long>").alias("cells"), "id", "v")
+    whole = best_of(probes, all_points, tiles, -(-n_late // QUERY_BLOCK))
+    return found.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(whole)
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
