@@ -370,12 +370,14 @@ class _Join:
         def signed(batches):
             for batch in batches:
                 for piece in slices(_marked_rows(batch, shared.value), "text", SLICE):
-                    sigs = pa.array([signature(s, TILE_SPREAD).tobytes() for s in shingle_sets(piece.column("text"), size)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([piece.column("id"), sigs], ["id", "sig"])
+                    sets = shingle_sets(piece.column("text"), size)
+                    sigs = pa.array([signature(s, TILE_SPREAD).tobytes() for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([len(s) for s in sets], pa.int32()), sigs], ["id", "n", "sig"])
 
-        sigs = self.hashed.mapInArrow(signed, "id long, sig binary").groupBy("id").agg(F.min_by("sig", F.length("sig")).alias("sig"))
+        # Of an id with several texts, a posting meets the signatures of all that have its size, its own among them.
+        sigs = self.hashed.mapInArrow(signed, "id long, n int, sig binary").distinct()
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.join(sigs, "id").select("key", "id", "n", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "n", "id")
+        dealt = rows.join(sigs, ["id", "n"]).select("key", "id", "n", "label", "sig").repartition(n, "key").sortWithinPartitions("key", "n", "id")
 
         def run(batches):
             held, out, count = None, [], 0

@@ -120,6 +120,17 @@ def test_jaccard_rows_of_one_id(spark, rng):
     assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1}
 
 
+def test_open_postings_of_one_id(spark, rng):
+    """Without leaders: bit counts never prune a link of any text of an id."""
+    reachable(spark)
+    one, two, three = (prose(rng, 60, 9000) for _ in range(3))
+    rows = [(1, "a few words of no use"), (1, two), (2, one), (2, three), (5, two + " x"), (6, one + " y"), (8, three + " z")]
+    join = jaccard_join._Join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", jaccard_join.WORDS, jaccard_join.THRESHOLD)
+    postings = join.postings(join.sets()[1])
+    pairs = {tuple(r) for r in join.across(postings.withColumn("label", postings.id)).collect()}
+    assert pairs == {(1, 5), (2, 6), (2, 8)}
+
+
 def kept_of(values, length):
     seen = collections.Counter(v[i : i + length] for v in values for i in range(len(v) - length + 1))
     out = []
