@@ -7,11 +7,12 @@ every document at or above the threshold is kept. Ratios are whole numbers of
 micro-units, so sums do not depend on the order of addition and the verdict of
 a document is the same on every run.
 
-Trusted documents are those labelled of good quality, at most about
-``MAX_TRUSTED`` chosen by a hash of their id; raw counts cover every document.
+Trusted documents are all those labelled of good quality; raw counts cover
+every document.
 
 DataFrame functions only, no Python on the executors. Both passes read texts
-once and keep no group: counts and sums are combined before the shuffle. Null
+once and keep no group: counts and sums are combined before the shuffle. Texts
+are shuffled once, to mark the trusted, unless Spark broadcasts their ids. Null
 texts have no words, fail the base rule and are not kept; repeated rows are
 judged each for itself. A text without n-grams scores 0.
 """
@@ -21,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import documents
+from orderflow.llm.common import Scratch, documents
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 20_000
 #: Mean log-ratio, in nats, from which a document is kept.
 THRESHOLD = -0.15
 MICRO = 1_000_000
@@ -113,11 +113,11 @@ def _grams(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, ratio (micro-units) of trusted to raw; ``trusted`` holds ids, boundedly many."""
+    """bucket, ratio (micro-units) of trusted to raw; ``trusted`` holds ids."""
     ids = trusted.select(F.col(key).alias("_id"), F.lit(1).cast("long").alias("_trusted")).distinct()
-    texts = docs.select(F.col(f"`{key}`").alias("_key"), words_of(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("_words"))
-    # At most about MAX_TRUSTED ids: a bounded broadcast.
-    marked = texts.join(F.broadcast(ids), F.col("_key") == F.col("_id"), "left").withColumn("_mark", F.coalesce("_trusted", F.lit(0).cast("long")))
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    marked = texts.join(ids, F.col("_key") == F.col("_id"), "left").withColumn("_mark", F.coalesce("_trusted", F.lit(0).cast("long")))
+    marked = marked.select("_mark", words_of(F.coalesce("_text", F.lit(""))).alias("_words"))
     counts = _grams(marked, "_mark").filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_mark").alias("good"))
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     full = full.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
@@ -126,7 +126,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
 
 def score_documents(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, base columns, llr (mean log-ratio) and kept for each row."""
-    counts = log_ratios(docs, trusted, key, text)
+    # Kept, so that texts are counted (and shuffled) once.
+    counts = Scratch(docs.sparkSession, "quality").keep(log_ratios(docs, trusted, key, text), "counts")
     totals = counts.agg(F.sum("raw").alias("r"), F.sum("good").alias("g")).first()
     ratio = F.log((F.col("good") + 1) / F.lit(float(totals["g"] + BUCKETS))) - F.log((F.col("raw") + 1) / F.lit(float(totals["r"] + BUCKETS)))
     table = counts.select(F.col("bucket").alias("_b"), F.round(ratio * MICRO).cast("long").alias("_ratio"))
@@ -145,10 +146,8 @@ def score_documents(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", te
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """Ids labelled good, about ``MAX_TRUSTED`` at most, by a hash of the id."""
-    good = labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(key)
-    share = min(1.0, MAX_TRUSTED / max(1, good.count()))
-    return good.filter(F.pmod(F.xxhash64(key, F.lit(4)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """Ids labelled good."""
+    return labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(key)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

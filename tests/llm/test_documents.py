@@ -72,6 +72,14 @@ def test_quality_base_and_verdict(spark, rng, monkeypatch):
     assert quality.score_documents(docs.limit(0), trusted).count() == 0
 
 
+def test_all_good_labels_count(spark):
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 1, 0) AS quality").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 1 AS quality"))
+    trusted = quality.trusted_ids(labels)
+    assert trusted.count() == 25_000
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "'one two' AS text")
+    assert quality.log_ratios(docs, trusted).agg({"raw": "sum", "good": "sum"}).first()[:] == (150_000, 75_000)
+
+
 def components_of(texts):
     sets = []
     for t in texts:
