@@ -2,7 +2,9 @@
 
 A document's set are the distinct hashes (64 bits) of its shingles of five
 words; two documents link when the Jaccard similarity of their sets reaches the
-threshold. All links between different sets are honoured:
+threshold. Only components are computed: every link counts for them, but links
+within what is already one component are not looked for, so neither pairs nor
+the number of links can be had. Links are found in these steps:
 
 1. *Order.* Any order of shingles will do for prefix filtering, as long as all
    documents share it: here frequent ones last, then by hash. Frequent are
