@@ -8,6 +8,7 @@ from orderflow.llm.mixing import op7_pfair_mixing
 from orderflow.llm.nearest import op8_nearest_vectors
 from orderflow.llm.packing import op9_best_fit_packing
 from orderflow.llm.quality import op4_quality_rules
+from orderflow.llm.substrings import op13_substring_dedup
 from orderflow.llm.suffix_dedup import op6_suffix_dedup
 from orderflow.llm.token_counts import op1_token_counts
 from orderflow.llm.token_files import op2_token_files
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 SQL: dict[str, str] = {}
