@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from orderflow.llm import phrases
 from orderflow.llm.jaccard_join import op5_ngram_jaccard_join
 from orderflow.llm.licenses import op10_license_scans
 from orderflow.llm.mixing import op7_pfair_mixing
 from orderflow.llm.nearest import op8_nearest_vectors
 from orderflow.llm.packing import op9_best_fit_packing
+from orderflow.llm.phrases import op12_phrase_collocations
 from orderflow.llm.quality import op4_quality_rules
 from orderflow.llm.substrings import op13_substring_dedup
 from orderflow.llm.suffix_dedup import op6_suffix_dedup
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_phrase_collocations": phrases.SQL}
