@@ -158,7 +158,7 @@ class _Levels:
                     n += 1
 
         kinds = "slice long, id long, text string, n_words long, kept_sha256 string"
-        return self.scratch.keep(self.docs.mapInArrow(run, kinds), "split")
+        return self.scratch.keep(self.docs.mapInArrow(run, kinds), "split", "zstd")
 
     def asked(self, texts: pa.Array, ids: np.ndarray, maps: list[np.ndarray]):
         """Surviving windows of a slice: distinct hashes, their smallest id, and for each window its place, hash number and document."""
