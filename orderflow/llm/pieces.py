@@ -8,8 +8,9 @@ wherever that split surely has a boundary, and the parts encoded apart:
 * around a newline between two such characters;
 * after a run of letters, before an ASCII symbol: letters match as one run.
 
-Texts repeat most of their pieces, so the encoder keeps what it has seen (up to
-a bound). Runs of Latin letters are a single unit of the split; they go to the
+Texts repeat most of their pieces, so the encoder keeps what it has seen, up to
+``PIECE_BYTES``. Texts are split in slices of ``SLICE`` bytes, as the arrays of a
+split take many times the bytes of its text. Runs of Latin letters are a single unit of the split; they go to the
 library's merge model directly, all other pieces through its whole encoder. Any
 tokenizer of another kind is applied to whole texts.
 """
@@ -37,17 +38,24 @@ _CLOSED = r"[\pL\pM\pN\pP\pS]\z"
 _LETTERS_FIRST = rf"\A(?P<head>[{_LETTERS}]+)(?P<tail>[!-/:-@\[-`{{-~](?s:.*))\z"
 #: The split of the supported byte-level and word-end kinds (fixed values).
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces and ids remembered by a worker before it starts anew.
-MAX_PIECES = 1_500_000
+#: Bytes of pieces and ids remembered by a worker before it starts anew, about,
+#: and bytes of text split at a time.
+PIECE_BYTES, SLICE = 40 << 20, 1 << 20
+#: What a remembered piece takes besides its letters and ids, about.
+_ENTRY = 150
 
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[tuple, "PieceEncoder"] = {}
 
 
-def encoder(path: str) -> "PieceEncoder":
-    """One encoder for each tokenizer file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> "PieceEncoder":
+    """The encoder of a tokenizer file; a Python worker holds one at a time.
+
+    With ``plain`` special strings inside texts are ordinary text.
+    """
+    if (path, plain) not in _encoders:
+        _encoders.clear()
+        _encoders[path, plain] = PieceEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -93,11 +101,12 @@ def _kind(path: str) -> str:
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.kind = _kind(path)
         self._letters = _byte_letters()
         self._clear()
@@ -107,26 +116,35 @@ class PieceEncoder:
         self._start = np.zeros(1024, np.int64)
         self._length = np.zeros(1024, np.int64)
         self._ids = np.zeros(8192, np.uint32)
-        self._end = 0
+        self._end = self._bytes = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (one entry more than texts), and all ids.
 
         Null is empty. Special strings inside texts are taken as the library
-        takes them by default.
+        takes them by default, unless the encoder is a plain one.
         """
         texts = pc.fill_null(texts, "")
+        block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        found = [self._encode(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        if not found:
+            return np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        lengths = np.concatenate([np.diff(at) for at, _ in found])
+        return np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([ids for _, ids in found])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "whole":
             found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             lengths = np.array([len(x.ids) for x in found], np.int64)
             ids = np.fromiter((i for x in found for i in x.ids), np.uint32, int(lengths.sum()))
             return np.concatenate([[0], np.cumsum(lengths)]), ids
-        if len(self._at) > MAX_PIECES:
+        if self._bytes > PIECE_BYTES:
             self._clear()
         lists = pc.split_pattern(texts, " ")
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(lists.flatten())
-        words, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         ends = np.cumsum(n_words)
         first = np.zeros(len(word), bool)
         first[ends - n_words] = True
@@ -141,9 +159,9 @@ class PieceEncoder:
         heads = pc.dictionary_encode(pc.if_else(cut.is_valid(), pc.struct_field(cut, "head"), words))
         tails = pc.dictionary_encode(pc.if_else(cut.is_valid(), pc.struct_field(cut, "tail"), ""))
         h, t = heads.dictionary.to_pylist(), tails.dictionary.to_pylist()
-        head = heads.indices.to_numpy(zero_copy_only=False).astype(np.int64)[word[starts]]
-        tail = tails.indices.to_numpy(zero_copy_only=False).astype(np.int64)[word[starts]]
-        codes = np.empty(2 * len(starts), np.int64)
+        head = heads.indices.to_numpy(zero_copy_only=False)[word[starts]]
+        tail = tails.indices.to_numpy(zero_copy_only=False)[word[starts]]
+        codes = np.empty(2 * len(starts), np.int32)
         codes[0::2] = 2 * head + first[starts]
         codes[1::2] = 2 * len(h) + tail
         n, extra = 2 * len(h) + len(t), {"": 0}
@@ -195,6 +213,7 @@ class PieceEncoder:
         self._length[n : n + len(new)] = lengths
         self._start[n : n + len(new)] = first + np.cumsum(lengths) - lengths
         self._end = first + total
+        self._bytes += sum(map(len, new)) + 4 * total + _ENTRY * len(new)
         self._at.update(zip(new, range(n, n + len(new)), strict=True))
 
     def _cut(self, piece: str) -> list[str]:

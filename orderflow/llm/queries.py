@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orderflow.llm import phrases
+from orderflow.llm.alignment import op11_token_alignment
 from orderflow.llm.jaccard_join import op5_ngram_jaccard_join
 from orderflow.llm.licenses import op10_license_scans
 from orderflow.llm.mixing import op7_pfair_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
+    "op11_token_alignment": op11_token_alignment,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }
