@@ -14,9 +14,10 @@ Everything is counted for each language.
    may be frequent as well and were not counted: another pass counts the phrases
    whose parts are frequent and that no earlier pass counted, and so on until a
    pass finds none. Phrases have four words at most, so the passes are few.
-4. *Names.* One more pass reads the words of the frequent phrases, which the
-   counts know as 64-bit hashes only. Cuts, scores, phrases inside longer ones
-   and ranks are joins and aggregations.
+4. *Names.* The counts know phrases as 64-bit hashes only. Documents of the sample
+   name nearly all frequent ones; one more pass names those that the sample has
+   not. Cuts, scores, phrases inside longer ones and ranks are joins and
+   aggregations.
 
 False marks of the bitmaps are counted too, and dropped by their count. Slices
 of texts send a hash once, with its count (``packed``), so frequent words are
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow.llm.common import Scratch, documents, mix, slices, spread
+from orderflow.llm.jaccard_join import bitmap, marked
 from orderflow.llm.packed import binary, bucket_bits, bucket_cuts, gathered, is_marked, marks, unpacked, words_of
 
 MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
@@ -40,14 +42,16 @@ MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 INSIDE = 80
 #: One document in so many is in the sample.
 RATE = 8
-#: Bytes of text handled together, and hashes a task remembers having named.
-SLICE, NAMED = 2 << 20, 4_000_000
+#: Bytes of text handled together.
+SLICE = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[9, 32]] = True
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
+#: The same, as a pattern of words.
+_WORD = r"[^ \t.,;:!?\n\x0B\f\r]+"
 
 
 class _Grams:
@@ -105,6 +109,9 @@ class _Miner:
         self.scratch = Scratch(self.spark, "phrases")
         self.maps: list = []  # bitmaps whose extensions have been counted
 
+    def sample(self) -> DataFrame:
+        return self.docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(self.rate)) == 0)
+
     def propose(self) -> None:
         """Mine the sample: all phrases in one go, at the lowered count."""
         bits, least = self.bits, self.lowered
@@ -126,8 +133,7 @@ class _Miner:
             got = [marks(often, bits)] if len(often) else []
             return pa.table({"bucket": table.column("bucket")[: len(got)], "marks": pa.array(got, pa.binary())})
 
-        sample = self.docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(self.rate)) == 0).select("text", "code")
-        sent = sample.mapInArrow(send, "bucket int, hashes binary")
+        sent = self.sample().select("text", "code").mapInArrow(send, "bucket int, hashes binary")
         self._share(gathered(sent.groupBy("bucket").applyInArrow(merge, "bucket int, marks binary"), bits))
 
     def _share(self, bits: np.ndarray) -> None:
@@ -173,7 +179,7 @@ class _Miner:
         return self.scratch.keep(sent.groupBy("bucket").applyInArrow(merge, kinds), f"found-{pass_}")
 
     def frequent(self) -> DataFrame:
-        """hash and n of all frequent words and phrases, when no border is left."""
+        """bucket, hashes and counts of all frequent words and phrases, when no border is left."""
         self.propose()
         found, new = self.count(), None
         while True:
@@ -185,51 +191,67 @@ class _Miner:
             self._share(gathered(found.select("bucket", "marks"), self.bits))
             new = self.count()
             found = found.union(new)
-
-        def rows(batches):
-            for batch in batches:
-                for h, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["hash", "n"])
-
         self.all = self.spark.sparkContext.broadcast(gathered(found.select("bucket", "marks"), self.bits))
-        return found.select("hashes", "counts").mapInArrow(rows, "hash long, n long")
+        return found.select("bucket", "hashes", "counts")
 
-    def named(self) -> DataFrame:
-        """hash, words, lang and phrase of what is marked as frequent; with no hash, the words of a language."""
-        shared = self.all
+    def _names(self, docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+        """Words, language and string of frequent phrases of these documents, in packed rows."""
+        bits, shared = self.bits, self.all
+        wanted = None if only is None else self.spark.sparkContext.broadcast(only)
 
         def run(batches):
-            named = np.zeros(0, np.uint64)
             for part, grams in _grams(batches):
-                lang = part.column("lang")
-                rows = [pa.array([None] * part.num_rows, pa.int64()), pa.array(np.diff(grams.first).astype(np.int64)), lang, pa.array([None] * part.num_rows, pa.string())]
-                yield pa.RecordBatch.from_arrays(rows, ["hash", "words", "lang", "phrase"])
+                found = []
                 for k in range(1, MOST_WORDS + 1):
                     at = np.flatnonzero(grams.valid[k - 1])
                     h = grams.hashes[k - 1][at]
                     has = is_marked(shared.value, h)
+                    if wanted is not None:
+                        has[has] = marked(wanted.value, h[has])
                     h, one = np.unique(h[has], return_index=True)
                     at = at[has][one]
-                    place = np.minimum(np.searchsorted(named, h), max(0, len(named) - 1))
-                    new = named[place] != h if len(named) else np.ones(len(h), bool)
-                    h, at = h[new], at[new]
-                    if len(h):
-                        named = np.union1d(named if len(named) < NAMED else named[:0], h)
-                        rows = [pa.array(h.view(np.int64)), pa.array(np.full(len(h), k)), lang.take(pa.array(grams.doc[at])), grams.strings(k, at)]
-                        yield pa.RecordBatch.from_arrays(rows, ["hash", "words", "lang", "phrase"])
+                    found.append((h, np.full(len(h), k, np.uint8), part.column("lang").take(pa.array(grams.doc[at])), grams.strings(k, at)))
+                hashes, size, *strings = zip(*found, strict=True)
+                order = np.argsort(np.concatenate(hashes), kind="stable")
+                h = np.concatenate(hashes)[order]
+                if len(h):
+                    bucket, cuts = bucket_cuts(h, bits)
+                    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays(x).take(pa.array(order))) for x in strings]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), binary(h, cuts), binary(np.concatenate(size)[order], cuts), *lists], ["bucket", "hashes", "sizes", "langs", "phrases"])
+
+        kinds = "bucket int, hashes binary, sizes binary, langs array<string>, phrases array<string>"
+        return docs.select("text", "lang", "code").mapInArrow(run, kinds)
+
+    def named(self, frequent: DataFrame) -> DataFrame:
+        """lang, k, phrase and f of all frequent words and phrases."""
+
+        def join(names: pa.Table, counts: pa.Table) -> pa.Table:
+            h, n = unpacked(counts.column("hashes"), np.uint64), unpacked(counts.column("counts"), np.int64)
+            known, one = np.unique(unpacked(names.column("hashes"), np.uint64), return_index=True)
+            place = np.searchsorted(known, h)
+            has = known[np.minimum(place, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+            at = pa.array(one[np.where(has, place, 0)] if len(one) else np.zeros(len(h), np.int64), mask=~has)
+            size = unpacked(names.column("sizes"), np.uint8).astype(np.int32)
+            strings = [names.column(c).combine_chunks().flatten().take(at) for c in ("langs", "phrases")]
+            return pa.table([pa.array(h.view(np.int64)), pa.array(n), pa.array(size).take(at), *strings], ["hash", "f", "k", "lang", "phrase"])
+
+        def met(names: DataFrame) -> DataFrame:
+            return names.groupBy("bucket").cogroup(frequent.groupBy("bucket")).applyInArrow(join, "hash long, f long, k int, lang string, phrase string")
 
-        return self.scratch.keep(self.docs.select("text", "lang", "code").mapInArrow(run, "hash long, words long, lang string, phrase string"), "named")
+        first = self.scratch.keep(met(self._names(self.sample())), "named")
+        left, columns = first.filter("phrase IS NULL").select("hash"), ["lang", "k", "phrase", "f"]
+        first = first.filter("phrase IS NOT NULL").select(*columns)
+        if left.isEmpty():
+            return first
+        rest = met(self._names(self.docs, bitmap(left, "hash"))).filter("phrase IS NOT NULL")
+        return self.scratch.keep(first.union(rest.join(left, "hash", "left_semi").select(*columns)), "counts")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, rate: int = RATE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of words and phrases with f >= min_count, and (lang, n) of all words."""
     miner = _Miner(docs, min_count, rate, key, text, lang)
-    frequent = miner.frequent()
-    named = miner.named()
-    names = named.filter("hash IS NOT NULL").groupBy("hash").agg(F.first("words").cast("int").alias("k"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-    counts = names.join(frequent, "hash").select("lang", "k", "phrase", F.col("n").alias("f"))
-    totals = named.filter("hash IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
-    return miner.scratch.keep(counts, "counts"), totals
+    counts = miner.named(miner.frequent())
+    return counts, miner.docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(_WORD))).cast("long").alias("n"))
 
 
 def scored(counts: DataFrame) -> DataFrame:

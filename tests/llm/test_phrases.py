@@ -75,7 +75,7 @@ def test_passes_until_closed(spark):
     """The sample proposes nothing: words, then pairs, then longer phrases prove frequent."""
     rows = [(i, "one two three four five", "en") for i in range(40)]
     miner = phrases._Miner(table(spark, rows), 30, 10**6, "doc_id", "text", "lang")
-    counts = [r["n"] for r in miner.frequent().collect()]
+    counts = [r["f"] for r in miner.named(miner.frequent()).collect()]
     assert counts == [40] * (5 + 4 + 3 + 2) and len(miner.maps) == 4
 
 
