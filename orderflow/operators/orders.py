@@ -148,10 +148,9 @@ def order_by_id(orders: DataFrame, order_id) -> DataFrame:
 
 def nested_steps(steps: DataFrame) -> DataFrame:
     """Steps as one list per order; an order has at most one step per phase."""
+    fields = ["phase", "started_at", "ended_at", "operator", *(["note"] if "note" in steps.columns else [])]
     return steps.groupBy("order_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("phase", "started_at", "ended_at", "operator"))
-        ).alias("steps")
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("steps")
     )
 
 

@@ -14,7 +14,7 @@ Completion rules (``mode``):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.dates import duration_text, seconds_between
@@ -38,26 +38,35 @@ def _check(mode: str) -> None:
 def seed_steps(articles: DataFrame) -> DataFrame:
     """One step per (order, phase) that any article of the order requires.
 
-    Phases are data: whatever name a list holds gets a step. ``seq`` is the
-    first place the phase has in any list. Counts combine before the shuffle;
-    an entry without a phase counts the articles themselves.
+    Phases are data: whatever name a list holds gets a step; null entries are
+    none. ``seq`` is the first place the phase has in any list, counted without
+    its null entries. Equal lists of an order are counted first, on the map side,
+    so an order is one short row however many articles it has; its phases are
+    then told apart inside the row.
     """
-    none = F.array(F.lit(None).cast("string"))
-    phases = F.array_distinct(F.coalesce("required_phases", F.array().cast("array<string>")))
-    counted = (
-        articles.select("order_id", F.posexplode(F.concat(none, phases)).alias("seq", "phase"))
-        .groupBy("order_id", "phase")
-        .agg(F.count("*").alias("n_required"), F.min("seq").alias("seq"))
-    )
-    own = F.max(F.when(F.col("phase").isNull(), F.col("n_required")))
-    # As many rows as an order has phases.
-    return counted.select(
+    lists = articles.groupBy(
         "order_id",
-        own.over(Window.partitionBy("order_id")).alias("n_articles"),
-        "phase",
-        "n_required",
-        "seq",
-    ).where(F.col("phase").isNotNull())
+        F.array_distinct(
+            F.array_compact(F.coalesce("required_phases", F.array().cast("array<string>")))
+        ).alias("phases"),
+    ).agg(F.count("*").alias("n"))
+    # As many entries as an order has different lists.
+    per_order = lists.groupBy("order_id").agg(
+        F.sum("n").alias("n_articles"), F.collect_list(F.struct("phases", "n")).alias("lists")
+    )
+
+    def step(phase: Column) -> Column:
+        has = F.filter("lists", lambda x: F.array_contains(x["phases"], phase))
+        return F.struct(
+            phase.alias("phase"),
+            F.aggregate(has, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_required"),
+            (F.array_min(F.transform(has, lambda x: F.array_position(x["phases"], phase))) - 1)
+            .cast("int")
+            .alias("seq"),
+        )
+
+    names = F.array_distinct(F.flatten(F.transform("lists", lambda x: x["phases"])))
+    return per_order.select("order_id", "n_articles", F.inline(F.transform(names, step)))
 
 
 def seed_order_steps(orders: DataFrame) -> DataFrame:
@@ -97,9 +106,10 @@ def completions(events: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def known_completions(done: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Completions in phases the order has a step for; folding needs no such
-    filter, as it starts from the steps."""
-    return done.join(seeds.select("order_id", "phase"), ["order_id", "phase"], "left_semi")
+    """Completions in phases the order has a step for, with the place of the step;
+    folding needs no such filter, as it starts from the steps."""
+    known = [c for c in ("order_id", "phase", "seq") if c in seeds.columns]
+    return done.join(seeds.select(*known), ["order_id", "phase"])
 
 
 def fold_steps(
@@ -113,27 +123,26 @@ def fold_steps(
     ``done`` is the result of :func:`completions` over the same events. A step
     ends at its first whole-phase completion or at the completion of its last
     article, whichever comes first.
+
+    The note is a register that its last writer wins, by (time, event id): each
+    partial completion writes it, and the whole-phase completion that ended the
+    step. A missing note is written like any other.
     """
     _check(mode)
-    whole = events.where(F.col("action").isin(START, COMPLETE)).select(
+    written = F.struct("ts", "event_id", "note")
+    whole = events.select(
         "order_id",
         "phase",
-        F.when(F.col("action") == START, F.col("ts")).alias("start_ts"),
-        F.when(F.col("action") == START, F.col("operator")).alias("operator"),
-        F.when(F.col("action") == COMPLETE, F.col("ts")).alias("complete_ts"),
-        "event_id",
+        F.when(F.col("action") == START, F.struct("ts", "event_id", "operator")).alias("start"),
+        F.when(F.col("action") == COMPLETE, written).alias("complete"),
+        F.when(F.col("action") == COMPLETE_PARTIAL, written).alias("partial"),
     )
     counted = done.where(F.col("required")) if mode == "contract" else done
+    # Equal times go to the lower event id, so the first start has one operator.
     marks = whole.groupBy("order_id", "phase").agg(
-        F.min("start_ts").alias("started_at"),
-        F.min_by(
-            "operator",
-            F.when(
-                F.col("start_ts").isNotNull(),
-                F.struct(F.col("start_ts"), F.col("event_id")),
-            ),
-        ).alias("operator"),
-        F.min("complete_ts").alias("complete_ts"),
+        F.min("start").alias("start"),
+        F.min("complete").alias("complete"),
+        F.max("partial").alias("partial"),
     )
     parts = counted.groupBy("order_id", "phase").agg(
         F.count("*").alias("n_done"), F.max("done_at").alias("last_done")
@@ -149,13 +158,17 @@ def fold_steps(
             "n_articles",
             "n_required",
             F.coalesce("n_done", F.lit(0)).alias("n_done"),
-            "started_at",
-            "operator",
+            F.col("start.ts").alias("started_at"),
+            F.col("start.operator").alias("operator"),
             F.least(
-                F.col("complete_ts"),
+                F.col("complete.ts"),
                 F.when(F.col("n_done") == target, F.col("last_done")),
             ).alias("ended_at"),
+            "complete",
+            "partial",
         )
+        .withColumn("note", _last_note(F.col("complete"), F.col("partial"), F.col("ended_at")))
+        .drop("complete", "partial")
         .withColumn(
             "state",
             F.when(F.col("ended_at").isNotNull(), "completed")
@@ -165,30 +178,10 @@ def fold_steps(
     )
 
 
-def last_notes(events: DataFrame, steps: DataFrame) -> DataFrame:
-    """Note of each step: the latest among partial completions and the
-    whole-phase completion that ended it."""
-    at = F.struct("ts", "event_id")
-    noted = events.where(F.col("action").isin(COMPLETE, COMPLETE_PARTIAL))
-    per_step = noted.groupBy("order_id", "phase").agg(
-        F.min(
-            F.when(F.col("action") == COMPLETE, F.struct("ts", "event_id", "note"))
-        ).alias("first_complete"),
-        F.max(
-            F.when(
-                F.col("action") == COMPLETE_PARTIAL, F.struct("ts", "event_id", "note")
-            )
-        ).alias("last_partial"),
-    )
-    ended_by_complete = F.col("first_complete.ts") <= F.col("ended_at")
-    chosen = F.greatest(
-        F.when(ended_by_complete, F.col("first_complete")), F.col("last_partial")
-    )
-    return (
-        steps.select("order_id", "phase", "ended_at")
-        .join(per_step, ["order_id", "phase"])
-        .select("order_id", "phase", chosen["note"].alias("note"))
-    )
+def _last_note(complete: Column, partial: Column, ended_at: Column) -> Column:
+    """The later write of the first completion, if it ended the step, and the last partial one."""
+    ended = F.when(complete["ts"] <= ended_at, complete)
+    return F.greatest(ended, partial)["note"]
 
 
 def phase_rejects(events: DataFrame, steps: DataFrame) -> DataFrame:

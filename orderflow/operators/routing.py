@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from orderflow.operators.phases import _check
 
 
+_STEP = "array<struct<seq:int,phase:string>>"
+
+
+def _in_step_order(entries: Column) -> Column:
+    """Phases by the place of their step in the order, then by name."""
+    return F.transform(F.array_sort(F.array_distinct(entries)), lambda x: x["phase"])
+
+
+def _step(df: DataFrame) -> Column:
+    seq = F.col("seq").cast("int") if "seq" in df.columns else F.lit(0)
+    return F.struct(seq.alias("seq"), F.col("phase").alias("phase"))
+
+
 def completed_by_article(done: DataFrame) -> DataFrame:
-    """Completed phases per (order, idx); at most one entry per phase."""
-    return done.groupBy("order_id", "idx").agg(
-        F.array_sort(F.collect_set("phase")).alias("completed_phases")
-    )
+    """Completed steps per (order, idx), with their place; at most one entry per phase."""
+    return done.groupBy("order_id", "idx").agg(F.collect_set(_step(done)).alias("_done"))
 
 
 def next_phase(required: Column, finished: Column) -> Column:
@@ -27,29 +38,40 @@ def article_states(
 ) -> DataFrame:
     """Articles with completed phases, next phase and ``is_done``.
 
-    In ``contract`` mode a phase that ended for the order is finished for all
-    its articles. Both joined sides are unique per key.
+    Completed phases come in the order of the article's own list; phases it was
+    marked for without requiring them follow in step order. In ``contract`` mode a
+    phase that ended for the order is finished for all its articles. Both joined
+    sides are unique per key.
     """
     _check(mode)
-    nothing = F.array().cast("array<string>")
+    nothing = F.array().cast(_STEP)
     states = articles.join(completed_by_article(done), ["order_id", "idx"], "left")
-    finished = F.coalesce("completed_phases", nothing)
+    finished = F.coalesce("_done", nothing)
     if mode == "contract":
         ended = (
             steps.where(F.col("ended_at").isNotNull())
             .groupBy("order_id")
-            .agg(F.collect_set("phase").alias("_ended"))
+            .agg(F.collect_set(_step(steps)).alias("_ended"))
         )
         states = states.join(ended, "order_id", "left")
-        over = F.array_intersect("required_phases", F.coalesce("_ended", nothing))
-        finished = F.array_sort(F.array_union(finished, over))
-    states = states.withColumn("completed_phases", finished)
+        over = F.filter(
+            F.coalesce("_ended", nothing), lambda x: F.array_contains("required_phases", x["phase"])
+        )
+        finished = F.concat(finished, over)
+    names = _in_step_order(finished)
+    states = states.withColumn(
+        "completed_phases",
+        F.array_union(
+            F.array_intersect(F.coalesce("required_phases", F.array().cast("array<string>")), names),
+            names,
+        ),
+    )
     return (
         states.withColumn(
             "next_phase", next_phase(F.col("required_phases"), F.col("completed_phases"))
         )
         .withColumn("is_done", F.col("next_phase").isNull())
-        .drop("_ended")
+        .drop("_done", "_ended")
     )
 
 

@@ -10,6 +10,7 @@ from orderflow.operators import orders as O
 from orderflow.operators import phases as P
 from orderflow.operators import reports as R
 from orderflow.operators import routing as Q
+from orderflow.schemas import COMPLETE_PARTIAL
 from orderflow.sources import workorders as W
 
 MONTH, AS_OF = "1998-06", "1998-06-15"
@@ -17,11 +18,16 @@ EVENTS_AS_OF = "2024-02-01"
 
 
 class State:
-    """Folded state shared by the queries of one call."""
+    """Folded state shared by the queries of one call.
 
-    def __init__(self, spark: SparkSession, folder: str, mode: str = "contract"):
+    Steps need the articles of orders with partial completions only; ``whole``
+    is for queries that look at all articles, so these are numbered once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, mode: str = "contract", whole: bool = False):
         self.spark, self.folder, self.mode = spark, folder, mode
-        self.articles = W.work_articles(spark, folder)
+        touched = None if whole else W.work_events(spark, folder).where(F.col("action") == COMPLETE_PARTIAL)
+        self.articles = W.work_articles(spark, folder, only=touched)
         self.lines = W.work_lines(spark, folder)
         self.events = W.work_events(spark, folder)
         self.seeds = P.seed_steps(self.lines)
@@ -136,6 +142,25 @@ def step_fold_code(spark, folder):
     return _steps(State(spark, folder, "code").steps)
 
 
+def step_notes(spark, folder):
+    """Steps that were ever written a note, with the one that stays."""
+    return State(spark, folder).steps.where(F.col("note").isNotNull()).select("order_id", "phase", "note")
+
+
+def article_phase_order(spark, folder):
+    """Articles of lists whose phases are not in alphabetical order, events in these phases."""
+    phases = ["SALDATURA", "PULIZIA", "LASER"]
+    lists = F.when(F.col("idx") % 2 == 0, F.array(*[F.lit(p) for p in phases])).otherwise(
+        F.array(F.lit("SALDATURA"), F.lit("LASER"))
+    )
+    articles = W.work_articles(spark, folder).withColumn("required_phases", lists)
+    events = W.phase_events(W.table(spark, folder, "events"), phases)
+    steps, done, _ = P.fold_phase_events(events, articles)
+    return Q.article_states(articles, done, steps).where(F.size("completed_phases") > 0).select(
+        "order_id", "idx", F.array_join("completed_phases", " ").alias("completed_phases"), F.coalesce("next_phase", F.lit("DONE")).alias("next_phase")
+    )
+
+
 def partial_completion(spark, folder):
     return State(spark, folder).done.select(
         "order_id", "phase", "idx", iso_time(F.col("done_at")).alias("done_at"), "required"
@@ -167,15 +192,15 @@ def _next_phase(s: State) -> DataFrame:
 
 
 def article_next_phase_contract(spark, folder):
-    return _next_phase(State(spark, folder))
+    return _next_phase(State(spark, folder, whole=True))
 
 
 def article_next_phase_code(spark, folder):
-    return _next_phase(State(spark, folder, "code"))
+    return _next_phase(State(spark, folder, "code", whole=True))
 
 
 def phase_badges(spark, folder):
-    return Q.phase_badges(State(spark, folder).states).withColumn(
+    return Q.phase_badges(State(spark, folder, whole=True).states).withColumn(
         "seq", F.col("seq").cast("long")
     )
 
@@ -187,24 +212,24 @@ def _queue(s: State, phase: str) -> DataFrame:
 
 
 def station_queue_laser(spark, folder):
-    return _queue(State(spark, folder), "LASER")
+    return _queue(State(spark, folder, whole=True), "LASER")
 
 
 def station_queue_piega(spark, folder):
-    return _queue(State(spark, folder), "PIEGA")
+    return _queue(State(spark, folder, whole=True), "PIEGA")
 
 
 def station_queue_saldatura(spark, folder):
-    return _queue(State(spark, folder), "SALDATURA")
+    return _queue(State(spark, folder, whole=True), "SALDATURA")
 
 
 def station_queue_piega_code(spark, folder):
-    return _queue(State(spark, folder, "code"), "PIEGA")
+    return _queue(State(spark, folder, "code", whole=True), "PIEGA")
 
 
 def station_articles(spark, folder):
     """Waiting articles of one station as a list per order."""
-    s = State(spark, folder)
+    s = State(spark, folder, whole=True)
     waiting = Q.waiting_articles(s.states, s.steps, "PIEGA")
     lists = O.nested_articles(waiting, ["code", "qty"])
     return lists.select(
@@ -217,11 +242,11 @@ def station_articles(spark, folder):
 
 
 def station_summary(spark, folder):
-    return Q.station_summary(State(spark, folder).states)
+    return Q.station_summary(State(spark, folder, whole=True).states)
 
 
 def remaining_articles(spark, folder):
-    s = State(spark, folder)
+    s = State(spark, folder, whole=True)
     return Q.remaining_articles(s.articles, s.done, "PIEGA").select(
         "order_id", "idx", "code", "qty"
     )
@@ -359,7 +384,7 @@ def article_update_rejects(spark, folder):
 
 
 def order_documents(spark, folder):
-    s = State(spark, folder)
+    s = State(spark, folder, whole=True)
     docs = O.order_documents(
         s.orders_with_status.select("order_id", "client", "status"),
         s.articles.select("order_id", "idx", "code", "qty"),
@@ -386,7 +411,7 @@ def order_documents(spark, folder):
 
 def order_details(spark, folder):
     """Nested documents whose articles carry their state."""
-    s = State(spark, folder)
+    s = State(spark, folder, whole=True)
     docs = O.order_documents(
         s.orders().select("order_id", "client", "estimate_minutes"), s.states, s.steps
     )
@@ -402,6 +427,9 @@ def order_details(spark, folder):
         "client",
         F.array_join(F.transform("articles", state), " ").alias("articles"),
         F.size("steps").cast("long").alias("n_steps"),
+        F.array_join(
+            F.transform("steps", lambda x: F.concat_ws(":", x["phase"], x["note"])), " "
+        ).alias("notes"),
     )
 
 
@@ -460,7 +488,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         order_summary, orders_by_client, orders_containing, order_lookup,
-        order_total_quantity, seed_steps, seed_order_steps, phase_order, step_fold, step_fold_code,
+        order_total_quantity, seed_steps, seed_order_steps, phase_order, step_fold, step_fold_code, step_notes, article_phase_order,
         partial_completion, phase_rejects, events_without_order,
         article_next_phase_contract, article_next_phase_code, phase_badges,
         station_queue_laser, station_queue_piega, station_queue_saldatura,

@@ -29,7 +29,7 @@ totals AS (
   SELECT order_id, count(*) AS n_articles, sum(qty) AS total_quantity
   FROM wo_articles GROUP BY order_id),
 seeds AS (
-  SELECT n.order_id, n.phase, t.n_articles, count(*) AS n_required
+  SELECT n.order_id, n.phase, t.n_articles, count(*) AS n_required, min(n.seq) AS seq
   FROM needs n JOIN totals t ON t.order_id = n.order_id
   GROUP BY n.order_id, n.phase, t.n_articles)"""
 
@@ -44,7 +44,8 @@ wo_events AS (
          CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'complete_partial'
            ELSE 'complete' END AS action,
          CASE WHEN event_type = 'click' THEN k % 5 END AS idx,
-         'op' || (k % 7) AS operator, ts
+         'op' || (k % 7) AS operator, ts,
+         CASE WHEN k % 4 <> 3 THEN 'nota ' || k END AS note
   FROM raw_events)"""
 
 
@@ -63,7 +64,9 @@ done AS (
 marks AS (
   SELECT order_id, phase, min(ts) FILTER (action = 'start') AS started_at,
          min(ts) FILTER (action = 'complete') AS complete_ts,
-         arg_min(operator, ts) FILTER (action = 'start') AS operator
+         arg_min(operator, ts) FILTER (action = 'start') AS operator,
+         min(struct_pack(ts := ts, id := event_id, note := note)) FILTER (action = 'complete') AS complete,
+         max(struct_pack(ts := ts, id := event_id, note := note)) FILTER (action = 'complete_partial') AS partial
   FROM wo_events GROUP BY order_id, phase),
 parts AS (
   SELECT order_id, phase, count(*) AS n_done, max(done_at) AS last_done
@@ -72,7 +75,7 @@ steps AS (
   SELECT s.order_id, s.phase, s.n_articles, s.n_required,
          coalesce(p.n_done, 0) AS n_done, m.started_at, m.operator,
          least(m.complete_ts, CASE WHEN p.n_done = s.{target} THEN p.last_done END)
-           AS ended_at
+           AS ended_at, m.complete, m.partial
   FROM seeds s
   LEFT JOIN marks m ON m.order_id = s.order_id AND m.phase = s.phase
   LEFT JOIN parts p ON p.order_id = s.order_id AND p.phase = s.phase)"""
@@ -91,8 +94,10 @@ extra AS (
   SELECT order_id, idx, phase FROM article_phase WHERE finished
   UNION SELECT order_id, idx, phase FROM done),
 marked AS (
-  SELECT order_id, idx, string_agg(phase, ' ' ORDER BY phase) AS completed_phases
-  FROM extra GROUP BY order_id, idx),
+  SELECT e.order_id, e.idx, string_agg(e.phase, ' ' ORDER BY n.seq NULLS LAST, s.seq, e.phase) AS completed_phases
+  FROM extra e JOIN seeds s ON s.order_id = e.order_id AND s.phase = e.phase
+  LEFT JOIN needs n ON n.order_id = e.order_id AND n.idx = e.idx AND n.phase = e.phase
+  GROUP BY e.order_id, e.idx),
 nexts AS (
   SELECT order_id, idx, arg_min(phase, seq) AS next_phase
   FROM article_phase WHERE NOT finished GROUP BY order_id, idx),
@@ -209,6 +214,50 @@ WHERE order_id = 42""",
     + "\nSELECT order_id, phase, n_articles, n_required FROM seeds",
     "step_fold": FOLD + _STEPS,
     "step_fold_code": FOLD_CODE + _STEPS,
+    "step_notes": FOLD
+    + """,
+noted AS (
+  SELECT order_id, phase,
+         CASE WHEN complete.ts <= ended_at AND (partial IS NULL OR complete > partial) THEN complete.note
+              ELSE partial.note END AS note
+  FROM steps)
+SELECT order_id, phase, note FROM noted WHERE note IS NOT NULL""",
+    "article_phase_order": _with(ARTICLES, EVENTS)
+    + """,
+own_needs AS (
+  SELECT order_id, idx, unnest(l) AS phase, generate_subscripts(l, 1) AS seq
+  FROM (SELECT order_id, idx, CASE WHEN idx % 2 = 0 THEN ['SALDATURA', 'PULIZIA', 'LASER']
+                                   ELSE ['SALDATURA', 'LASER'] END AS l FROM wo_articles)),
+own_events AS (
+  SELECT order_id, CASE phase WHEN 'LASER' THEN 'SALDATURA' WHEN 'PIEGA' THEN 'PULIZIA' ELSE 'LASER' END AS phase,
+         action, idx, ts FROM wo_events),
+own_seeds AS (
+  SELECT order_id, phase, count(*) AS n_required, min(seq) AS seq FROM own_needs GROUP BY order_id, phase),
+own_done AS (
+  SELECT e.order_id, e.phase, e.idx, min(e.ts) AS done_at,
+         bool_or(n.phase IS NOT NULL) AS required
+  FROM own_events e JOIN wo_articles a ON a.order_id = e.order_id AND a.idx = e.idx
+  JOIN own_seeds s ON s.order_id = e.order_id AND s.phase = e.phase
+  LEFT JOIN own_needs n ON n.order_id = e.order_id AND n.idx = e.idx AND n.phase = e.phase
+  WHERE e.action = 'complete_partial' GROUP BY ALL),
+own_ended AS (
+  SELECT order_id, phase FROM own_events WHERE action = 'complete'
+  UNION SELECT d.order_id, d.phase FROM own_done d JOIN own_seeds s ON s.order_id = d.order_id AND s.phase = d.phase
+  WHERE d.required GROUP BY d.order_id, d.phase, s.n_required HAVING count(*) = s.n_required),
+own_finished AS (
+  SELECT order_id, idx, phase FROM own_done
+  UNION SELECT n.order_id, n.idx, n.phase FROM own_needs n JOIN own_ended e ON e.order_id = n.order_id AND e.phase = n.phase),
+own_lists AS (
+  SELECT f.order_id, f.idx, string_agg(f.phase, ' ' ORDER BY n.seq NULLS LAST, s.seq, f.phase) AS completed_phases
+  FROM own_finished f JOIN own_seeds s ON s.order_id = f.order_id AND s.phase = f.phase
+  LEFT JOIN own_needs n ON n.order_id = f.order_id AND n.idx = f.idx AND n.phase = f.phase
+  GROUP BY f.order_id, f.idx),
+own_next AS (
+  SELECT n.order_id, n.idx, arg_min(n.phase, n.seq) AS next_phase FROM own_needs n
+  LEFT JOIN own_finished f ON f.order_id = n.order_id AND f.idx = n.idx AND f.phase = n.phase
+  WHERE f.phase IS NULL GROUP BY ALL)
+SELECT l.order_id, l.idx, l.completed_phases, coalesce(n.next_phase, 'DONE') AS next_phase
+FROM own_lists l LEFT JOIN own_next n ON n.order_id = l.order_id AND n.idx = l.idx""",
     "partial_completion": FOLD
     + f"""
 SELECT order_id, phase, idx, {time('done_at')} AS done_at, required FROM done""",
@@ -410,11 +459,17 @@ lists AS (
   SELECT order_id,
          string_agg(idx || ':' || code || ':' || replace(completed_phases, ' ', '+') || ':'
                     || coalesce(next_phase, 'DONE'), ' ' ORDER BY idx) AS articles
-  FROM states GROUP BY order_id)
+  FROM states GROUP BY order_id),
+noted AS (
+  SELECT order_id, string_agg(phase || coalesce(':' || CASE WHEN complete.ts <= ended_at
+             AND (partial IS NULL OR complete > partial) THEN complete.note ELSE partial.note END, ''),
+           ' ' ORDER BY phase) AS notes
+  FROM steps GROUP BY order_id)
 SELECT o.order_id, o.client, coalesce(l.articles, '') AS articles,
-       coalesce(p.n_steps, 0) AS n_steps
+       coalesce(p.n_steps, 0) AS n_steps, coalesce(x.notes, '') AS notes
 FROM wo_orders o LEFT JOIN lists l ON l.order_id = o.order_id
-LEFT JOIN progress p ON p.order_id = o.order_id""",
+LEFT JOIN progress p ON p.order_id = o.order_id
+LEFT JOIN noted x ON x.order_id = o.order_id""",
     "orders_json": _with(ORDERS, ARTICLES)
     + f"""
 SELECT o.order_id, o.client, {day('o.due')} AS due, coalesce(t.n_articles, 0) AS n_articles,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,14 @@ def article_phases(returnflag: Column, linestatus: Column) -> Column:
     )
 
 
-def work_articles(spark: SparkSession, folder: str, names: bool = False) -> DataFrame:
+def work_articles(
+    spark: SparkSession, folder: str, names: bool = False, only: DataFrame | None = None
+) -> DataFrame:
     """One row per (order, idx). Line numbers repeat, so idx is a full ordering.
 
     The part join comes first: the numbering then leaves rows partitioned by
-    order, which later per-order aggregations reuse.
+    order, which later per-order aggregations reuse. With ``only`` (a table of
+    order ids) just the articles of these orders are read into the numbering.
     """
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
@@ -68,6 +73,8 @@ def work_articles(spark: SparkSession, folder: str, names: bool = False) -> Data
             F.col("p_size").alias("size"),
         )
         lines = lines.join(parts, "l_partkey", "left")
+    if only is not None:
+        lines = lines.join(only.select("order_id"), "order_id", "left_semi")
     order = [
         F.col(c)
         for c in (
@@ -104,8 +111,8 @@ def work_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def phase_events(raw: DataFrame) -> DataFrame:
-    """Phase events from rows shaped like the ``events`` table."""
+def phase_events(raw: DataFrame, phases: Sequence[str] = DEFAULT_PHASES) -> DataFrame:
+    """Phase events from rows shaped like the ``events`` table; ``phases`` has three names."""
     k = F.get_json_object("props", "$.k").cast("int")
     action = (
         F.when(F.col("event_type") == "view", START)
@@ -115,13 +122,13 @@ def phase_events(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("event_type").isin("view", "click", "purchase")).select(
         "event_id",
         (F.col("user_id") * 10 + F.floor(k / 10)).alias("order_id"),
-        F.get(F.array(*[F.lit(p) for p in DEFAULT_PHASES]), k % 3).alias("phase"),
+        F.get(F.array(*[F.lit(p) for p in phases]), k % 3).alias("phase"),
         action.alias("action"),
         F.when(action == COMPLETE_PARTIAL, F.array((k % 5).cast("int"))).alias(
             "article_indices"
         ),
         F.concat(F.lit("op"), (k % 7).cast("string")).alias("operator"),
-        F.lit(None).cast("string").alias("note"),
+        F.when(k % 4 != 3, F.concat(F.lit("nota "), k.cast("string"))).alias("note"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 

@@ -1,7 +1,7 @@
 """Phase events as a stream, folded into the current state of every step.
 
 State is kept per (order, phase, article index), never per order, and every
-field is a minimum. A hot order therefore spreads over many keys, map-side
+field is a minimum, or a maximum for the last note. A hot order therefore spreads over many keys, map-side
 combining shrinks its repeats, and results of batches merge in any order.
 The sink is a log of folded rows, one folder per batch: writing a batch again
 replaces its folder, so a restart after a lost executor changes nothing.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,9 +22,7 @@ KEY = ["order_id", "phase", "idx"]
 
 
 def _marks(events: DataFrame) -> DataFrame:
-    def when(action: str, column: str):
-        return F.when(F.col("action") == action, F.col(column))
-
+    written = F.struct("ts", "event_id", "note")
     indices = F.when(F.col("action") == COMPLETE_PARTIAL, F.col("article_indices"))
     return events.select(
         "event_id",
@@ -32,8 +30,9 @@ def _marks(events: DataFrame) -> DataFrame:
         "phase",
         F.explode_outer(indices).alias("idx"),
         F.when(F.col("action") == START, F.struct("ts", "event_id", "operator")).alias("start"),
-        when(COMPLETE, "ts").alias("complete_ts"),
-        when(COMPLETE_PARTIAL, "ts").alias("done_ts"),
+        F.when(F.col("action") == COMPLETE, written).alias("complete"),
+        F.when(F.col("action") == COMPLETE_PARTIAL, F.col("ts")).alias("done_ts"),
+        F.when(F.col("action") == COMPLETE_PARTIAL, written).alias("partial"),
     )
 
 
@@ -41,8 +40,10 @@ def _fold(marks: DataFrame) -> DataFrame:
     return marks.groupBy(*KEY).agg(
         # Equal times go to the lower event id, as in the batch fold.
         F.min("start").alias("start"),
-        F.min("complete_ts").alias("complete_ts"),
+        F.min("complete").alias("complete"),
         F.min("done_ts").alias("done_ts"),
+        # The last note among partial completions; the later event wins equal times.
+        F.max("partial").alias("partial"),
     )
 
 
@@ -106,30 +107,30 @@ def read_fold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_events(fold: DataFrame) -> DataFrame:
-    """Folded rows as the few events that still matter: the first of each kind."""
-    kinds = F.array(
-        *[
-            F.struct(
-                F.lit(action).alias("action"),
-                F.col(column).alias("ts"),
-                (F.col("start.event_id") if action == START else F.lit(0)).cast("long").alias("event_id"),
-                (F.array("idx") if action == COMPLETE_PARTIAL else F.lit(None)).cast(
-                    "array<int>"
-                ).alias("article_indices"),
-            )
-            for action, column in (
-                (START, "start.ts"),
-                (COMPLETE, "complete_ts"),
-                (COMPLETE_PARTIAL, "done_ts"),
-            )
-        ]
+    """Folded rows as the few events that still matter: the first of each kind,
+    and the partial completion that wrote the last note."""
+    indices = F.when(F.col("idx").isNotNull(), F.array("idx"))
+    first_done = F.struct(
+        F.col("done_ts").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("note")
     )
-    return fold.select(
-        "order_id",
-        "phase",
-        F.col("start.operator").alias("operator"),
-        F.inline(F.filter(kinds, lambda k: k["ts"].isNotNull())),
+
+    def event(action: str, at: Column, operator: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(action).alias("action"),
+            at["ts"].alias("ts"),
+            at["event_id"].alias("event_id"),
+            (F.lit(None) if operator is None else operator).cast("string").alias("operator"),
+            (F.lit(None) if operator is not None else at["note"]).cast("string").alias("note"),
+            (indices if action == COMPLETE_PARTIAL else F.lit(None)).cast("array<int>").alias("article_indices"),
+        )
+
+    kinds = F.array(
+        event(START, F.col("start"), F.col("start.operator")),
+        event(COMPLETE, F.col("complete")),
+        event(COMPLETE_PARTIAL, first_done),
+        event(COMPLETE_PARTIAL, F.col("partial")),
     )
+    return fold.select("order_id", "phase", F.inline(F.filter(kinds, lambda k: k["ts"].isNotNull())))
 
 
 def current_steps(

@@ -128,8 +128,49 @@ def test_notes(spark, articles):
     ]
     df = spark.createDataFrame(log, EVENT)
     steps, _, _ = P.fold_phase_events(df, articles)
-    notes = {r.phase: r.note for r in P.last_notes(df, steps).collect()}
+    notes = {r.phase: r.note for r in steps.where("note IS NOT NULL").collect()}
     assert notes == {"LASER": "b", "PIEGA": "c"}
+    for seed in range(3):  # the register merges from shuffled and repeated events
+        random.Random(seed).shuffle(log)
+        again = P.fold_phase_events(spark.createDataFrame(log + log[:2], EVENT), articles)[0]
+        assert {r.phase: r.note for r in again.where("note IS NOT NULL").collect()} == notes
+
+
+def test_notes_from_split_batches(spark, articles, tmp_path):
+    """Folded rows of batches, in any split, give the notes of the whole log."""
+    from orderflow.streaming.fold import current_steps, fold_batch, read_fold
+
+    rng = random.Random(11)
+    log = [
+        event(i, rng.choice(["LASER", "PIEGA", "SALDATURA"]), rng.choice(["start", "complete_partial", "complete"]),
+              rng.randrange(40), [rng.randrange(3)], note=rng.choice([None, "x", "y", f"n{i}"]))
+        for i in range(60)
+    ]
+    want = sorted(map(str, P.fold_phase_events(spark.createDataFrame(log, EVENT), articles)[0].collect()))
+    rng.shuffle(log)
+    for b in range(4):
+        fold_batch(spark.createDataFrame(log[b * 15 : (b + 1) * 15], EVENT)).write.parquet(f"{tmp_path}/batch={b}")
+    got = current_steps(read_fold(spark, str(tmp_path)), articles)
+    assert sorted(map(str, got.collect())) == want
+
+
+def test_null_phases(spark):
+    """A null entry is no phase and no article."""
+    rows = [(1, 0, "A", 1.0, ["LASER", None]), (1, 1, "B", 1.0, [None, "PIEGA", "LASER"]), (1, 2, "C", 1.0, None), (2, 0, "D", 1.0, [None])]
+    got = {(r.order_id, r.phase): (r.n_articles, r.n_required, r.seq) for r in P.seed_steps(spark.createDataFrame(rows, ARTICLE)).collect()}
+    assert got == {(1, "LASER"): (3, 2, 0), (1, "PIEGA"): (3, 1, 0)}
+
+
+def test_completed_phases_in_step_order(spark):
+    rows = [(1, 0, "A", 1.0, ["SALDATURA", "PULIZIA", "LASER"]), (1, 1, "B", 1.0, ["SALDATURA", "LASER"])]
+    articles = spark.createDataFrame(rows, ARTICLE)
+    log = [event(1, "LASER", "complete", 1), event(2, "PULIZIA", "complete_partial", 2, [0, 1]), event(3, "SALDATURA", "complete", 3)]
+    for mode in P.MODES:
+        _, states, _, _, _ = run(spark, articles, log, mode)
+        whole = ["SALDATURA", "PULIZIA", "LASER"] if mode == "contract" else ["PULIZIA"]
+        assert states[0].completed_phases == whole
+        # B does not need PULIZIA but was marked for it.
+        assert states[1].completed_phases == (["SALDATURA", "LASER", "PULIZIA"] if mode == "contract" else ["PULIZIA"])
 
 
 def test_badges_and_remaining(spark, articles):
