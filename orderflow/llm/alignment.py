@@ -19,14 +19,14 @@ How often two tokens are linked is counted in documents, over all of them:
 
 Null and empty texts, and texts whose tokens don't give back the text (white
 space that a tokenizer drops, say), have no tokens: zeros and an empty hash. Rows
-with equal ids are documents of their own; a null id stays null. Windows of more
-than ``KEPT_TOKENS`` tokens (long texts without spaces) are aligned each time.
-Empty tables give empty results; columns besides key and text are not read.
+with equal ids are documents of their own; a null id stays null. A long text
+without spaces is one window. Empty tables give empty results; columns besides key and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from orderflow.llm.pieces import _byte_letters, encoder
 
 #: Bytes of text aligned together, and of a part, about.
 SLICE, PART = 1 << 20, 8 << 20
-#: Windows a worker remembers, and the tokens of the largest of them.
-KEPT_WINDOWS, KEPT_TOKENS = 150_000, 64
+#: Bytes of windows a worker remembers before it starts anew, and of an entry besides its ids and text, about.
+KEPT_BYTES, _ENTRY = 64 << 20, 220
 _B_BITS = 20
 
 _aligners: dict[tuple[str, str], "Aligner"] = {}
@@ -69,28 +69,33 @@ class _Bytes:
         return fits & (np.diff(np.r_[0, wrong[ends]]) == 0)
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], a_length: list[int], b_length: list[int]) -> tuple[int, bytes, list[int]]:
-    """Groups, their text, and the links (A id, B id in one number) of a window, by byte ranges."""
-    i = j = end_a = end_b = 0
-    groups, links, own_a, own_b = [], [], [], []
-    while i < len(a) or j < len(b):
-        if end_a <= end_b:
-            own_a.append(a[i])
-            end_a += a_length[i]
-            i += 1
-            if not own_b:  # a group begins with a token of each
-                own_b.append(b[j])
-                end_b += b_length[j]
-                j += 1
-        else:
-            own_b.append(b[j])
-            end_b += b_length[j]
-            j += 1
-        links.append(own_a[-1] << _B_BITS | own_b[-1])
-        if end_a == end_b:
-            groups.append(b"%s|%s" % (b",".join(b"%d" % x for x in own_a), b",".join(b"%d" % x for x in own_b)))
-            own_a, own_b = [], []
-    return len(groups), b";".join(groups), links
+def _find(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which ends are among the others, too."""
+    return others[np.minimum(np.searchsorted(others, ends), len(others) - 1)] == ends
+
+
+def align(a: np.ndarray, b: np.ndarray, a_length: np.ndarray, b_length: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray, decimal: _Bytes):
+    """Of windows one after another, each with as many bytes of A as of B tokens: groups and
+    links of each, all links (A id, B id in one number), and the text of each window's groups."""
+    a_end, b_end = np.cumsum(a_length), np.cumsum(b_length)
+    ends = np.union1d(a_end, b_end)
+    links = a[np.searchsorted(a_end, ends)] << _B_BITS | b[np.searchsorted(b_end, ends)]
+    a_last, b_last = _find(a_end, b_end), _find(b_end, a_end)  # the last token of a group
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    stop = a_end[a_stop - 1]
+    n_groups = np.diff(np.r_[0, np.cumsum(a_last)[a_stop - 1]])
+    n_links = np.diff(np.r_[0, np.searchsorted(ends, stop, side="right")])
+    # Group by group: the A tokens, then the B tokens.
+    a_place = np.arange(len(a)) + np.searchsorted(b_group, a_group, side="left")
+    b_place = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[a_place], ids[b_place] = a, b
+    mark[a_place], mark[b_place] = np.where(a_last, ord("|"), ord(",")), np.where(b_last, ord(";"), ord(","))
+    size = decimal.length[ids]
+    text, at = decimal.data[spread(decimal.start[ids], size)], np.cumsum(size)
+    text[at - 1] = mark  # each number ends with a place for its mark
+    raw, cuts = text.tobytes(), at[a_stop + b_stop - 1].tolist()
+    return n_groups, n_links, links, [raw[i : j - 1] for i, j in zip([0, *cuts], cuts, strict=False)]
 
 
 class Aligner:
@@ -108,7 +113,16 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         tokens = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_bytes = _Bytes(tokens, [p[:1] == "▁" for p in pieces])
-        self.windows: dict[tuple, tuple[int, bytes, list[int]]] = {}
+        size = max(len(self.a_bytes.length), len(self.b_bytes.length))
+        self.decimal = _Bytes([b"%d," % i for i in range(size)], [])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.windows: dict[bytes, int] = {}
+        self.texts: list[bytes] = []
+        self.kept = 0
+        self.numbers = [np.zeros(0, np.int64) for _ in range(3)]  # groups and links of a window, where its links begin
+        self.links = np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array):
         """Tokens of both, without those of texts that have none: ids and where each text's begin, twice."""
@@ -120,7 +134,7 @@ class Aligner:
         found = iter(self.b.encode(texts.filter(filled).to_pylist(), num_threads=1))
         lists = [next(found) if x else [] for x in filled.to_pylist()]
         b_at = np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)]
-        b = np.fromiter((i for x in lists for i in x), np.int64, int(b_at[-1]))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_at[-1]))
         a = a.astype(np.int64)
         good = filled.to_numpy(zero_copy_only=False) & self.a_bytes.same(a, a_at, data, text_at) & self.b_bytes.same(b, b_at, data, text_at)
         out = []
@@ -129,16 +143,32 @@ class Aligner:
             out += [ids[np.repeat(good, np.diff(at))], np.r_[0, np.cumsum(n)]]
         return out
 
-    def _window(self, a: list[int], b: list[int]) -> tuple[int, bytes, list[int]]:
-        key = (tuple(a), tuple(b))
-        found = self.windows.get(key)
-        if found is None:
-            found = align(*key, self.a_bytes.length[a].tolist(), self.b_bytes.length[b].tolist())
-            if len(a) + len(b) <= KEPT_TOKENS:
-                if len(self.windows) >= KEPT_WINDOWS:
-                    self.windows.clear()
-                self.windows[key] = found
-        return found
+    def known(self, a: np.ndarray, b: np.ndarray, a_from, a_stop, b_from, b_stop) -> np.ndarray:
+        """Numbers of these windows; those not met before are aligned, all together."""
+        if self.kept > KEPT_BYTES:
+            self._clear()
+        la, lb = a_stop - a_from, b_stop - b_from
+        end = np.cumsum(la + lb + 1)
+        at = end - (la + lb + 1)
+        ids = np.full(int(end[-1]), -1, np.int32)
+        ids[spread(at, la)] = a[spread(a_from, la)]
+        ids[spread(at + la + 1, lb)] = b[spread(b_from, lb)]
+        raw = ids.tobytes()
+        keys = [raw[i:j] for i, j in zip((4 * at).tolist(), (4 * end).tolist(), strict=True)]
+        number = np.array([self.windows.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own_a, own_b = a[spread(a_from[new], la[new])], b[spread(b_from[new], lb[new])]
+            found = align(own_a, own_b, self.a_bytes.length[own_a], self.b_bytes.length[own_b], np.cumsum(la[new]), np.cumsum(lb[new]), self.decimal)
+            n_groups, n_links, links, texts = found
+            number[new] = len(self.texts) + np.arange(len(new))
+            self.windows.update(zip([keys[i] for i in new.tolist()], number[new].tolist(), strict=True))
+            first = len(self.links) + np.cumsum(n_links) - n_links
+            self.numbers = [np.concatenate(x) for x in zip(self.numbers, (n_groups, n_links, first), strict=True)]
+            self.links = np.concatenate([self.links, links])
+            self.texts += texts
+            self.kept += 4 * int((la + lb)[new].sum()) + sum(map(len, texts)) + 8 * len(links) + _ENTRY * len(new)
+        return number
 
     def batch(self, texts: pa.Array):
         """For each text n_a, n_b, n_groups, n_links and hash; and (text, pair, times) of its distinct pairs."""
@@ -162,17 +192,16 @@ class Aligner:
             nth = (np.arange(len(ids)) - np.repeat(begin, stop - begin)).astype(np.uint64)
             name = mix(name + np.add.reduceat(mix(ids.astype(np.uint64) + (nth + np.uint64(1)) * seed), begin) + (stop - begin).astype(np.uint64))
         _, one, which = np.unique(name, return_index=True, return_inverse=True)
-        found = [self._window(a[i:j].tolist(), b[k:m].tolist()) for i, j, k, m in zip(a_from[one].tolist(), a_stop[one].tolist(), b_from[one].tolist(), b_stop[one].tolist(), strict=True)]
-        groups = np.array([x[0] for x in found], np.int64)[which]
-        n_of = np.array([len(x[2]) for x in found], np.int64)
-        links = n_of[which]
+        number = self.known(a, b, a_from[one], a_stop[one], b_from[one], b_stop[one])
+        groups, n_of, first = (x[number] for x in self.numbers)
+        groups, links = groups[which], n_of[which]
         window_at = np.searchsorted(a_stop, a_at, side="right")  # windows that end by there
         sums = [np.r_[0, np.cumsum(x)] for x in (groups, links)]
         columns = [np.diff(a_at), np.diff(b_at), *(np.diff(s[window_at]) for s in sums)]
-        words, at = np.array([x[1] for x in found], object)[which].tolist(), window_at.tolist()
+        words, at = list(map(self.texts.__getitem__, number[which].tolist())), window_at.tolist()
         digest = [hashlib.sha256(b";".join(words[i:j])).hexdigest() if j > i else "" for i, j in zip(at, at[1:], strict=False)]
-        code, number = np.unique(np.array([c for x in found for c in x[2]], np.int64), return_inverse=True)
-        own = number[spread((np.cumsum(n_of) - n_of)[which], links)]
+        code, place = np.unique(self.links[spread(first, n_of)], return_inverse=True)
+        own = place[spread((np.cumsum(n_of) - n_of)[which], links)]
         text = np.repeat(np.repeat(np.arange(n), np.diff(window_at)), links)
         both, times = np.unique(text * len(code) + own, return_counts=True)
         return columns, digest, [both // len(code), code[both % len(code)], times]

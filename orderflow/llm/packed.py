@@ -25,6 +25,10 @@ BUCKET_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 8, 24
 MAP_BITS = 27
 
 
+def map_bits_of(bits: np.ndarray) -> int:
+    return len(bits).bit_length() + 2  # a power of two of bytes
+
+
 def bucket_bits(docs: DataFrame) -> int:
     size = input_bytes(docs) or 0
     size = size if size < 1 << 60 else 0  # Spark gives tables of unknown size a huge one
@@ -84,23 +88,23 @@ def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
 
 
 def is_marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    place = (hashes >> np.uint64(64 - map_bits_of(bits))).astype(np.int64)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def marks(hashes: np.ndarray, bits: int) -> bytes:
+def marks(hashes: np.ndarray, bits: int, map_bits: int = MAP_BITS) -> bytes:
     """The part of the bitmap that belongs to the one bucket of these hashes."""
-    size = max(0, MAP_BITS - bits)
+    size = max(0, map_bits - bits)
     inner = ((hashes << np.uint64(bits)) >> np.uint64(64 - size)).astype(np.int64) if size else np.zeros(len(hashes), np.int64)
     out = np.zeros(max(1 << size, 8), np.uint8)
     out[inner] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def gathered(parts: DataFrame, bits: int) -> np.ndarray:
+def gathered(parts: DataFrame, bits: int, map_bits: int = MAP_BITS) -> np.ndarray:
     """The whole bitmap from (bucket, marks) rows: fixed in size, whatever the input."""
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    size = max(0, MAP_BITS - bits - 3)
+    out = np.zeros(1 << (map_bits - 3), np.uint8)
+    size = max(0, map_bits - bits - 3)
     for row in parts.toLocalIterator():
         at = row["bucket"] << size
         part = np.frombuffer(bytes(row["marks"]), np.uint8)

@@ -44,6 +44,8 @@ INSIDE = 80
 RATE = 8
 #: Bytes of text handled together.
 SLICE = 2 << 20
+#: Bits of a bitmap: 8 MB, as up to six of them are shared.
+MAP_BITS = 26
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -130,11 +132,11 @@ class _Miner:
         def merge(table: pa.Table) -> pa.Table:
             h = np.sort(unpacked(table.column("hashes"), np.uint32))
             often = np.unique(h[least - 1 :][h[least - 1 :] == h[: max(0, len(h) - least + 1)]]).astype(np.uint64) << np.uint64(32 - bits)
-            got = [marks(often, bits)] if len(often) else []
+            got = [marks(often, bits, MAP_BITS)] if len(often) else []
             return pa.table({"bucket": table.column("bucket")[: len(got)], "marks": pa.array(got, pa.binary())})
 
         sent = self.sample().select("text", "code").mapInArrow(send, "bucket int, hashes binary")
-        self._share(gathered(sent.groupBy("bucket").applyInArrow(merge, "bucket int, marks binary"), bits))
+        self._share(gathered(sent.groupBy("bucket").applyInArrow(merge, "bucket int, marks binary"), bits, MAP_BITS))
 
     def _share(self, bits: np.ndarray) -> None:
         self.maps.append(self.spark.sparkContext.broadcast(bits))
@@ -170,7 +172,7 @@ class _Miner:
             h, n = h[first], np.add.reduceat(n, first)
             h, n = h[n >= least], n[n >= least]
             bucket = table.column("bucket")[: min(1, len(h))]
-            row = [[marks(h, bits)], [h.tobytes()], [n.tobytes()]] if len(h) else [[], [], []]
+            row = [[marks(h, bits, MAP_BITS)], [h.tobytes()], [n.tobytes()]] if len(h) else [[], [], []]
             new = [int((~is_marked(shared[-1].value, h)).sum())][: len(bucket)]
             return pa.table([bucket, *(pa.array(x, pa.binary()) for x in row), pa.array(new, pa.int64())], ["bucket", "marks", "hashes", "counts", "unmarked"])
 
@@ -188,10 +190,10 @@ class _Miner:
             # What the n-th pass finds anew has n words at least: after the last length nothing is open.
             if not open_ or len(self.maps) == MOST_WORDS:
                 break
-            self._share(gathered(found.select("bucket", "marks"), self.bits))
+            self._share(gathered(found.select("bucket", "marks"), self.bits, MAP_BITS))
             new = self.count()
             found = found.union(new)
-        self.all = self.spark.sparkContext.broadcast(gathered(found.select("bucket", "marks"), self.bits))
+        self.all = self.spark.sparkContext.broadcast(gathered(found.select("bucket", "marks"), self.bits, MAP_BITS))
         return found.select("bucket", "hashes", "counts")
 
     def _names(self, docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ _LETTERS_FIRST = rf"\A(?P<head>[{_LETTERS}]+)(?P<tail>[!-/:-@\[-`{{-~](?s:.*))\z
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of pieces and ids remembered by a worker before it starts anew, about,
 #: and bytes of text split at a time.
-PIECE_BYTES, SLICE = 40 << 20, 1 << 20
+PIECE_BYTES, SLICE = 112 << 20, 3 << 20
 #: What a remembered piece takes besides its letters and ids, about.
 _ENTRY = 150
 
