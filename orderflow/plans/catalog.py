@@ -11,6 +11,8 @@ SQL = order_sql.SQL | document_sql.SQL
 SQL |= {
     "stream_step_fold": order_sql.SQL["step_fold"],
     "stream_step_fold_stateful": order_sql.SQL["step_fold"],
+    "stream_step_fold_ttl": order_sql.SQL["step_fold"],
+    "stream_step_notes": order_sql.SQL["step_notes"],
     "stream_late_events": order_sql.SQL["step_fold"],
     "stream_notifications": order_sql.SQL["completion_notifications"],
 }

@@ -11,7 +11,9 @@ from orderflow.functions.dates import iso_time
 from orderflow.plans.order_queries import _steps
 from orderflow.session import checkpoint_dir, is_folder
 from orderflow.sources import workorders as W
+from orderflow.streaming.expiry import write_fold_ttl
 from orderflow.streaming.fold import current_steps, read_fold, write_fold
+from orderflow.streaming.notifications import order_plans
 from orderflow.streaming.notifications import stream_notifications as notify
 
 
@@ -48,31 +50,47 @@ def stream_step_fold_stateful(spark, folder):
 
 
 def stream_late_events(spark, folder):
-    """Events that arrive latest first, a file in a batch: every one of them late."""
+    """Events that arrive latest first, a third in a batch: every one of them late."""
     base = _new_folder(spark)
+    write_fold(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", stateful=True).awaitTermination()
+    return _steps(current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder)))
+
+
+def _late_stream(spark, folder, base: str) -> DataFrame:
+    """The event stream with its latest third first, each third in one batch."""
     events = W.table(spark, folder, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     third = (last - first) / 3
     for i in (2, 1, 0):
         since, until = F.col("ts") >= F.lit(first + i * third), F.col("ts") < F.lit(first + (i + 1) * third)
         part = {2: since, 1: since & until, 0: until | F.col("ts").isNull()}[i]
-        events.where(part).write.mode("append").parquet(f"{base}/in")
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    late = W.phase_events(stream.parquet(f"{base}/in"))
-    write_fold(late, f"{base}/fold", f"{base}/state", stateful=True).awaitTermination()
-    fold = read_fold(spark, f"{base}/fold")
-    return _steps(current_steps(fold, W.work_articles(spark, folder)))
+    return W.phase_events(stream.parquet(f"{base}/in"))
+
+
+def stream_step_fold_ttl(spark, folder):
+    """State of finished steps expires at once, and late events follow: the log has it all."""
+    base = _new_folder(spark)
+    write_fold_ttl(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", keep_ms=0).awaitTermination()
+    return _steps(current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder)))
+
+
+def stream_step_notes(spark, folder):
+    """Notes by way of the stream's log, written in late batches and compacted between them."""
+    base = _new_folder(spark)
+    write_fold(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", compact_every=2).awaitTermination()
+    steps = current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder))
+    return steps.where(F.col("note").isNotNull()).select("order_id", "phase", "note")
 
 
 def stream_notifications(spark, folder):
     base = _new_folder(spark)
-    query = notify(
-        event_stream(spark, folder),
-        W.work_articles(spark, folder),
-        f"{base}/fold",
-        f"{base}/notified",
-        f"{base}/state",
-    )
+    plans = []
+    for name, plan in zip(("steps", "articles"), order_plans(W.work_articles(spark, folder)), strict=True):
+        plan.write.parquet(f"{base}/{name}")
+        plans.append(spark.read.parquet(f"{base}/{name}"))
+    query = notify(event_stream(spark, folder), *plans, f"{base}/notified", f"{base}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{base}/notified").select(
         "order_id",
@@ -86,6 +104,7 @@ def stream_notifications(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_step_fold, stream_step_fold_stateful, stream_late_events, stream_notifications,
+        stream_step_fold, stream_step_fold_stateful, stream_step_fold_ttl, stream_step_notes,
+        stream_late_events, stream_notifications,
     )
 }

@@ -81,6 +81,19 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[int, str]]:
+    """(number, path) of the folders below a path that are named by a prefix and a number."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    names = [(f.getPath().getName(), str(f.getPath().toString())) for f in found]
+    return sorted((int(n.removeprefix(prefix)), p) for n, p in names if n.startswith(prefix))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Size of the files and tables a DataFrame reads, None where unknown.
 

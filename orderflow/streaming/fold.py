@@ -17,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderflow.operators.phases import completions, fold_steps, seed_steps
 from orderflow.schemas import COMPLETE, COMPLETE_PARTIAL, START
+from orderflow.session import delete_path, numbered_folders
 
 KEY = ["order_id", "phase", "idx"]
+FIELDS = ["start", "complete", "done_ts", "partial"]
 
 
 def _marks(events: DataFrame) -> DataFrame:
@@ -83,24 +85,51 @@ def _run(
     return writer.trigger(**trigger).start()
 
 
+def as_log(rows: DataFrame) -> DataFrame:
+    """Folded rows in the columns of the log, whatever kept them."""
+    return rows.select(*KEY, *FIELDS)
+
+
 def write_fold(
     events: DataFrame,
     path: str,
     checkpoint: str,
     stateful: bool = False,
     every: str | None = None,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Write folded rows of a phase-event stream to the log under ``path``."""
+    """Write folded rows of a phase-event stream to the log under ``path``.
+
+    With ``compact_every`` the batches before every so many are merged into one.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch if stateful else fold_batch(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        as_log(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_fold(batch.sparkSession, path, batch_id)
 
     if stateful:
         return _run(fold_stream(events), write, checkpoint, "update", every)
     return _run(events, write, checkpoint, "append", every)
 
 
+def compact_fold(spark: SparkSession, path: str, before: int) -> None:
+    """Merge the log's batches before a batch number into one folder, named by its negative.
+
+    Merged rows are written first and the merged folders deleted after. Rows that
+    are there twice, after a crash in between, change no minimum; the next call
+    clears them. The last batch stays out, as a restart may write it again. To be
+    called by the log's one writer; readers that have listed a folder may need to
+    list anew.
+    """
+    folders = [(n, f) for n, f in numbered_folders(spark, path, "batch=") if n < before and n != -before]
+    if len(folders) > 1:
+        _fold(spark.read.parquet(*[f for _, f in folders])).write.mode("overwrite").parquet(f"{path}/batch={-before}")
+        for _, folder in folders:
+            delete_path(spark, folder)
+
+
 def read_fold(spark: SparkSession, path: str) -> DataFrame:
     """Current fold: the rows of all batches merged."""
     return _fold(spark.read.parquet(path))

@@ -1,52 +1,138 @@
-"""One notification per completed order, also across restarts."""
+"""One notification per completed order, also across restarts, from keyed state.
+
+The state of an order holds its steps and its marked articles in map states of
+the state store, one entry each, so a batch reads what its events name and
+nothing else: no log of earlier batches is read, and none is kept. When the last
+step ends the notification is emitted, the entries go, and one flag stays that
+keeps it from being sent again.
+
+The order's plan (which steps, how many articles) joins the events as a static
+table, see ``order_plans``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from orderflow.functions.dates import seconds_between
+from orderflow.operators.phases import _check, seed_steps
+from orderflow.schemas import COMPLETE, COMPLETE_PARTIAL, COMPLETED_MESSAGE, START
+from orderflow.streaming.expiry import with_rocksdb
+from orderflow.streaming.fold import _run
+
+COMPLETED = "order_id bigint, first_start bigint, created_at bigint"
+
+
+def order_plans(articles: DataFrame, mode: str = "contract") -> tuple[DataFrame, DataFrame]:
+    """(order_id, steps) with the articles each step waits for, and (order_id, idx, required_phases).
 
-from orderflow.operators.phases import completion_notifications
-from orderflow.session import path_exists
-from orderflow.streaming.fold import _run, current_steps, fold_batch, read_fold
+    Write both down before a stream starts, as every batch joins them.
+    """
+    _check(mode)
+    target = F.col("n_required" if mode == "contract" else "n_articles").alias("target")
+    steps = seed_steps(articles).groupBy("order_id").agg(F.collect_list(F.struct("phase", target)).alias("steps"))
+    return steps, articles.select("order_id", F.col("idx").cast("int").alias("idx"), "required_phases")
+
+
+class OrderCompletion(StatefulProcessor):
+    """Steps of one order until all have ended; times in microseconds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", "sent boolean")
+        self.steps = handle.getMapState("steps", "phase string", "start long, complete long, n_done long, last_done long")
+        self.done = handle.getMapState("done", "phase string, idx int", "ts long")
 
+    def _step(self, phase: str) -> tuple:
+        return self.steps.getValue((phase,)) if self.steps.containsKey((phase,)) else (None, None, 0, None)
 
-def _notified_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Orders notified by other batches; a repeated batch ignores its own rows."""
-    if not path_exists(spark, path):
-        return None
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("batch") < batch_id).select("order_id")
+    def _mark(self, phase: str, idx: int, ts) -> None:
+        start, complete, n, last = self._step(phase)
+        key = (phase, idx)
+        if not self.done.containsKey(key):
+            self.done.updateValue(key, (ts,))
+            n, last = n + 1, ts if last is None else max(last, ts)
+        elif ts < self.done.getValue(key)[0]:
+            # An earlier completion came late: the last one of the step may move.
+            self.done.updateValue(key, (ts,))
+            last = max(v[0] for k, v in self.done.iterator() if k[0] == phase)
+        self.steps.updateValue((phase,), (start, complete, n, last))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.sent.exists():
+            return
+        plan = None
+        for r in rows:
+            plan = r.steps
+            if r.action == COMPLETE_PARTIAL:
+                if r.counts:
+                    self._mark(r.phase, r.idx, r.ts)
+                continue
+            start, complete, n, last = self._step(r.phase)
+            if r.action == START:
+                start = r.ts if start is None else min(start, r.ts)
+            else:
+                complete = r.ts if complete is None else min(complete, r.ts)
+            self.steps.updateValue((r.phase,), (start, complete, n, last))
+        if not plan:
+            return
+        ends, starts = [], []
+        for entry in plan:
+            phase, target = entry["phase"], entry["target"]
+            start, complete, n, last = self._step(phase)
+            ends.append(min((x for x in (complete, last if n == target else None) if x is not None), default=None))
+            starts.append(start)
+        if any(end is None for end in ends):
+            return
+        self.sent.update((True,))
+        self.steps.clear()
+        self.done.clear()
+        yield Row(order_id=key[0], first_start=min((s for s in starts if s is not None), default=None), created_at=max(ends))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_notifications(
     events: DataFrame,
+    steps: DataFrame,
     articles: DataFrame,
-    fold_path: str,
     path: str,
     checkpoint: str,
     mode: str = "contract",
     every: str | None = None,
 ) -> StreamingQuery:
-    """Fold each batch, then notify orders it touched that are now complete.
+    """Write the notifications of each batch below ``path``; ``steps`` and ``articles`` as of ``order_plans``.
 
-    Only orders named in the batch are looked at again, and a keyed anti join
-    leaves out those notified before.
+    Events of orders without a plan, of phases without a step and of articles
+    outside the list change nothing, as in the batch fold.
     """
-    spark = events.sparkSession
+    _check(mode)
+    rows = events.select(
+        "order_id", "phase", "action", F.unix_micros("ts").alias("ts"),
+        F.explode_outer(F.when(F.col("action") == COMPLETE_PARTIAL, F.col("article_indices"))).alias("idx"),
+    )
+    known = rows.join(steps, "order_id").join(articles, ["order_id", "idx"], "left")
+    counts = F.col("required_phases").isNotNull()
+    if mode == "contract":
+        counts = counts & F.array_contains("required_phases", F.col("phase"))
+    known = known.where(F.exists("steps", lambda s: s["phase"] == F.col("phase")))
+    known = known.select("order_id", "phase", "action", "ts", "idx", F.coalesce(counts, F.lit(False)).alias("counts"), "steps")
+    found = known.groupBy("order_id").transformWithState(OrderCompletion(), COMPLETED, "update", "none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(batch).write.mode("overwrite").parquet(f"{fold_path}/batch={batch_id}")
-        touched = (
-            spark.read.parquet(f"{fold_path}/batch={batch_id}").select("order_id").distinct()
+        times = {c: F.timestamp_micros(c) for c in ("first_start", "created_at")}
+        rows = batch.withColumns(times).select(
+            "order_id",
+            "created_at",
+            F.lit(COMPLETED_MESSAGE).alias("message"),
+            F.lit(False).alias("viewed"),
+            seconds_between(F.col("first_start"), F.col("created_at")).alias("seconds"),
         )
-        near = lambda df: df.join(touched, "order_id", "left_semi")
-        fold = read_fold(spark, fold_path)
-        steps = current_steps(near(fold), near(articles), mode)
-        fresh = completion_notifications(steps)
-        before = _notified_before(spark, path, batch_id)
-        if before is not None:
-            fresh = fresh.join(before, "order_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return _run(events, write, checkpoint, "append", every)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return with_rocksdb(events.sparkSession, lambda: _run(found, write, checkpoint, "update", every), every)

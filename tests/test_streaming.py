@@ -1,12 +1,15 @@
 """Streams over several batches end where a batch run does."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from orderflow.operators import phases as P
 from orderflow.plans import stream_queries
 from orderflow.sources import workorders as W
-from orderflow.streaming.fold import current_steps, read_fold, write_fold
-from orderflow.streaming.notifications import stream_notifications
+from orderflow.streaming.expiry import write_fold_ttl
+from orderflow.streaming.fold import compact_fold, current_steps, read_fold, write_fold
+from orderflow.streaming.notifications import order_plans, stream_notifications
 from orderflow.streaming.pickup import stream_corpus, stream_extraction
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,16 +66,83 @@ def test_table_as_file_and_as_folder(spark, tmp_path):
     assert counts[0] == counts[1] > 0
 
 
+def planned(spark, base, articles):
+    out = []
+    for name, plan in zip(("steps", "articles"), order_plans(articles), strict=True):
+        plan.write.parquet(f"{base}/plan-{name}")
+        out.append(spark.read.parquet(f"{base}/plan-{name}"))
+    return out
+
+
 def test_notifications_once(spark, tmp_path):
+    """Over four batches and a restart: each completed order once, at its time."""
     schema = prepared(spark, tmp_path / "in")
     articles, steps = wanted(spark)
-    paths = (f"{tmp_path}/fold", f"{tmp_path}/notified", f"{tmp_path}/state")
+    plans = planned(spark, tmp_path, articles)
     for _ in range(2):  # the second run finds nothing new
         events = stream(spark, tmp_path / "in", schema)
-        stream_notifications(events, articles, *paths).awaitTermination()
-    got = spark.read.parquet(paths[1]).select("order_id")
+        stream_notifications(events, *plans, f"{tmp_path}/notified", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/notified").select("order_id")
     want = P.completion_notifications(steps).select("order_id")
-    assert rows(got) == rows(want)
+    assert rows(got) == rows(want) and rows(got)
+
+
+def test_notifications_read_no_more_with_time(spark, tmp_path):
+    """Twenty batches of equal size: rows read stay flat, and state of notified orders goes."""
+    n = 20
+    kinds = "event_id long, order_id long, phase string, action string, article_indices array<int>, operator string, note string, ts timestamp"
+    articles = spark.createDataFrame([(o, i, ["LASER", "PIEGA"]) for o in range(n) for i in range(3)], "order_id long, idx long, required_phases array<string>")
+    at = dt.datetime(2026, 1, 1)
+    for b in range(n):  # batch b finishes order b
+        log = [(b, b, "LASER", "complete", None, "x", None, at)] + [(100 + i, b, "PIEGA", "complete_partial", [i], "x", None, at + dt.timedelta(minutes=i)) for i in range(3)]
+        spark.createDataFrame(log, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = stream_notifications(events, *planned(spark, tmp_path, articles), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("order_id").distinct().count() == n
+    assert {r["created_at"] for r in out.collect()} == {at + dt.timedelta(minutes=2)}
+    assert {p["numInputRows"] for p in query.recentProgress} == {4}
+    # One flag an order is what stays.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= n
+
+
+def test_state_shrinks_and_late_events_count(spark, tmp_path):
+    kinds = "event_id long, order_id long, phase string, action string, article_indices array<int>, operator string, note string, ts timestamp"
+    at = lambda m: dt.datetime(2026, 1, 1, 8, m)
+    batches = [
+        [(i, i, "LASER", "complete", None, "b", f"n{i}", at(30)) for i in range(50)] + [(99, 77, "LASER", "start", None, "a", None, at(1))],
+        [(200, 0, "LASER", "start", None, "late", None, at(5)), (201, 0, "LASER", "complete", None, "b", "first", at(10))],
+        [(300, 1, "LASER", "start", None, "late", None, at(6))],
+    ]
+    for b in batches:
+        spark.createDataFrame(b, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sizes = {}
+    for keep in (0, 3_600_000):
+        query = write_fold_ttl(events, f"{tmp_path}/fold{keep}", f"{tmp_path}/state{keep}", keep_ms=keep)
+        query.awaitTermination()
+        sizes[keep] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert 1 <= sizes[0] < 10 < 51 <= sizes[3_600_000]  # keys that were only started stay
+    articles = spark.createDataFrame([(o, 0, ["LASER"]) for o in range(80)], "order_id long, idx long, required_phases array<string>")
+    log = [e for b in batches for e in b]
+    want = P.fold_phase_events(spark.createDataFrame(log, kinds), articles)[0]
+    for keep in sizes:
+        assert rows(current_steps(read_fold(spark, f"{tmp_path}/fold{keep}"), articles)) == rows(want)
+
+
+def test_compaction_keeps_the_fold(spark, tmp_path):
+    schema = prepared(spark, tmp_path / "in", parts=6)
+    articles, steps = wanted(spark)
+    for every in (2, 4):
+        base = f"{tmp_path}/every{every}"
+        write_fold(stream(spark, tmp_path / "in", schema), f"{base}/fold", f"{base}/state", compact_every=every).awaitTermination()
+        assert len(list((tmp_path / f"every{every}" / "fold").glob("batch=*"))) <= every + 1
+        assert rows(current_steps(read_fold(spark, f"{base}/fold"), articles)) == rows(steps)
+        compact_fold(spark, f"{base}/fold", 100)
+        compact_fold(spark, f"{base}/fold", 100)
+        assert [f.name for f in (tmp_path / f"every{every}" / "fold").glob("batch=*")] == ["batch=-100"]
+        assert rows(current_steps(read_fold(spark, f"{base}/fold"), articles)) == rows(steps)
 
 
 def test_pickup_takes_each_file_once(spark, tmp_path):
