@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderflow.functions.text import contains_any, strip
 from orderflow.schemas import DEFAULT_PHASES, ORDER_REQUEST, RECEIVED
 
 UNKNOWN_ORDER = "unknown order"
+MALFORMED, EMPTY_REQUEST = "malformed JSON", "empty request"
 
 _NO_ARTICLES = "array<struct<name:string,code:string,qty:double,required_phases:array<string>>>"
 
@@ -62,6 +64,24 @@ def orders_from_json(raw: DataFrame, column: str = "json") -> DataFrame:
     return typed.withColumn("total_quantity", total_quantity(F.col("articles")))
 
 
+def split_orders_json(raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Orders of well-formed requests, and the other texts with a reason.
+
+    Texts are parsed once, permissively, and what does not parse is kept as it
+    came. Blank and missing texts are rejects too. All columns of ``raw`` stay
+    with the rejects.
+    """
+    kept = T.StructType([*ORDER_REQUEST.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = raw.withColumn("_o", F.from_json(column, kept, options))
+    reason = F.when(F.coalesce(F.trim(column), F.lit("")) == "", EMPTY_REQUEST).when(
+        F.col("_o").isNull() | F.col("_o._corrupt").isNotNull(), MALFORMED
+    )
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where(F.col("reason").isNull()).select(column)
+    return orders_from_json(good, column), judged.where(F.col("reason").isNotNull()).drop("_o")
+
+
 def orders_to_json(orders: DataFrame, column: str = "json") -> DataFrame:
     return orders.select("order_id", F.to_json(F.struct("*")).alias(column))
 
@@ -216,7 +236,12 @@ def duplicate_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
+    """The first n rows of each group; every task keeps n of a group before they meet."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def first_steps(steps: DataFrame) -> DataFrame:
     """First row per (order, phase) where a log holds several: lowest step id."""
-    window = Window.partitionBy("order_id", "phase").orderBy("step_id")
-    return steps.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
+    return first_rows(steps, ["order_id", "phase"], ["step_id"])

@@ -14,5 +14,6 @@ SQL |= {
     "stream_step_fold_ttl": order_sql.SQL["step_fold"],
     "stream_step_notes": order_sql.SQL["step_notes"],
     "stream_late_events": order_sql.SQL["step_fold"],
+    "stream_pickup": "SELECT doc_id % 8 AS eighth, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
     "stream_notifications": order_sql.SQL["completion_notifications"],
 }

@@ -14,8 +14,10 @@ from orderflow.operators import extraction as X
 from orderflow.operators.extraction import extract, extract_items
 from orderflow.operators.extractors.common import known_client
 from orderflow.operators.extractors.for_ordine import KNOWN_CLIENTS
-from orderflow.operators.layout import classify_layout
+from orderflow.operators.extractors import generic
+from orderflow.operators.layout import Layout, classify_layout, register_layout
 from orderflow.operators.lines import explode_lines
+from orderflow.operators.matching import first_by_rules, first_contained
 from orderflow.operators.mdtable import markdown_cells, markdown_items as table_rows
 from orderflow.plans.rendering import render, render_mixed
 from orderflow.sources import corpus as C
@@ -260,6 +262,48 @@ def client_dictionary(spark, folder):
     return docs.select("doc_id", known_client(F.col("path"), KNOWN_CLIENTS).alias("client"))
 
 
+def client_by_path(spark, folder):
+    """Clients of pages by a dictionary table of as many keys as there are customers."""
+    pages = W.table(spark, folder, "pages").select("page_id", "url")
+    entries = W.table(spark, folder, "customer").select(
+        F.concat(F.lit("/"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("client"), "c_custkey"
+    )
+    return first_contained(pages, entries, "page_id", "url", "key", "client", "c_custkey")
+
+
+#: Two rule tables: rule set, layout, priority, kind of word, word.
+RULES = [
+    ("terms", "MIT", 1, "all", "MIT"),
+    ("terms", "MIT", 1, "all", "LICENSE"),
+    ("terms", "APACHE", 2, "all", "APACHE"),
+    ("terms", "APACHE", 2, "any", "LICENSE"),
+    ("terms", "APACHE", 2, "any", "VERSION"),
+    ("terms", "GPL", 3, "any", "GENERAL PUBLIC"),
+    ("terms", "GPL", 3, "any", "GPL"),
+    ("terms", "OTHER", 9, "any", None),
+    ("contact", "MAIL", 1, "all", "@"),
+    ("contact", "MAIL", 1, "any", ".COM"),
+    ("contact", "MAIL", 1, "any", ".ORG"),
+    ("contact", "PHONE", 2, "any", "+"),
+    ("contact", "LETTER", 3, "all", "THE"),
+    ("contact", "LETTER", 3, "all", "ING"),
+]
+
+
+def layout_by_rules(spark, folder):
+    """Documents by two tables of rules; the second leaves out what none of its rules fits."""
+    rules = spark.createDataFrame(RULES, "rule_set string, layout string, priority int, kind string, word string")
+    return first_by_rules(_documents(spark, folder), rules)
+
+
+def layout_registered(spark, folder):
+    """Documents per layout where a layout of licensed texts is registered before the general one."""
+    licensed = Layout("LICENZA", lambda text, upper: F.contains(upper, F.lit("LICENSE")), generic.header, generic.items)
+    return classify_layout(_documents(spark, folder), register_layout(licensed)).groupBy("layout").agg(
+        F.count("*").alias("documents")
+    )
+
+
 def reconcile(spark, folder):
     """Source articles as expectation against what the mixed corpus yields."""
     lines = W.work_lines(spark, folder)
@@ -324,7 +368,8 @@ QUERIES = {
         doc_until, doc_code_segments, page_texts, html_titles,
         extract_headers, extract_mixed_items, extract_totals, rendered_layout,
         ingest_report, ingest_by_layout, ingest_rejects, ingest_orders,
-        ingest_new_paths, ingest_times, client_dictionary, reconcile,
+        ingest_new_paths, ingest_times, client_dictionary, client_by_path, layout_by_rules,
+        layout_registered, reconcile,
         markdown_items, markdown_cells_count, table_fallback,
     )
 }

@@ -195,6 +195,26 @@ near AS (
     AND s.line_no <= f.at + 4 AND contains(s.line, 'an') GROUP BY f.doc_id)
 SELECT f.doc_id, f.first_line, f.previous, f.following, n.near
 FROM firsts f LEFT JOIN near n ON n.doc_id = f.doc_id""",
+    "client_by_path": """
+SELECT p.page_id, arg_min(c.c_name, c.c_custkey) AS client
+FROM pages p LEFT JOIN customer c ON contains(p.url, '/' || c.c_custkey) GROUP BY p.page_id""",
+    "layout_by_rules": """
+WITH u AS (SELECT doc_id, upper(text) AS t FROM documents)
+SELECT doc_id, 'terms' AS rule_set,
+       CASE WHEN contains(t, 'MIT') AND contains(t, 'LICENSE') THEN 'MIT'
+            WHEN contains(t, 'APACHE') AND (contains(t, 'LICENSE') OR contains(t, 'VERSION')) THEN 'APACHE'
+            WHEN contains(t, 'GENERAL PUBLIC') OR contains(t, 'GPL') THEN 'GPL' ELSE 'OTHER' END AS layout FROM u
+UNION ALL
+SELECT * FROM (
+  SELECT doc_id, 'contact' AS rule_set,
+         CASE WHEN contains(t, '@') AND (contains(t, '.COM') OR contains(t, '.ORG')) THEN 'MAIL'
+              WHEN contains(t, '+') THEN 'PHONE'
+              WHEN contains(t, 'THE') AND contains(t, 'ING') THEN 'LETTER' END AS layout FROM u) WHERE layout IS NOT NULL""",
+    "layout_registered": _with(LAYOUT)
+    + """
+SELECT CASE WHEN l.layout = 'GENERIC' AND contains(upper(d.text), 'LICENSE') THEN 'LICENZA' ELSE l.layout END AS layout,
+       count(*) AS documents
+FROM layouts l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1""",
     "doc_profile": _with(LAYOUT, PROFILE) + "\nSELECT * FROM profile",
     "doc_profile_summary": _with(LAYOUT, PROFILE)
     + """

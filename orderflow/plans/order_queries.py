@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from orderflow.operators import orders as O
 from orderflow.operators import phases as P
 from orderflow.operators import reports as R
 from orderflow.operators import routing as Q
-from orderflow.schemas import COMPLETE_PARTIAL
+from orderflow.operators.matching import longest_prefix
+from orderflow.schemas import COMPLETE_PARTIAL, START
+from orderflow.session import checkpoint_dir
+from orderflow.sources.corpus import write_orders_batch, write_report
 from orderflow.sources import workorders as W
 
 MONTH, AS_OF = "1998-06", "1998-06-15"
@@ -357,6 +362,68 @@ def cutting_plan(spark, folder):
     return plan.select("thickness", "sequence", "order_id", "idx", "qty")
 
 
+def cutting_plan_by_code(spark, folder):
+    """Cutting plan with thicknesses by code prefix: sizes of the first two hundred parts."""
+    mapping = W.table(spark, folder, "part").where(F.col("p_partkey") < 200).select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("prefix"),
+        (F.col("p_size") / F.lit(10.0)).alias("thickness"),
+    )
+    articles = longest_prefix(W.work_articles(spark, folder), mapping, value="thickness")
+    orders = W.work_orders(spark, folder, client=False).select("order_id", "due")
+    plan = R.cutting_plan(articles.where(F.col("thickness").isNotNull()).join(orders, "order_id"))
+    return plan.select("thickness", "sequence", "order_id", "idx", "code", "qty")
+
+
+def first_steps(spark, folder):
+    """Of repeated starts of a phase, the step of the lowest id."""
+    starts = W.work_events(spark, folder).where(F.col("action") == START)
+    return O.first_steps(starts.select("order_id", "phase", F.col("event_id").alias("step_id"), "operator"))
+
+
+def first_items(spark, folder):
+    """The two articles of each order with most pieces."""
+    largest = [F.desc("qty"), F.col("idx")]
+    return O.first_rows(W.work_articles(spark, folder), ["order_id"], largest, 2).select("order_id", "idx", "code", "qty")
+
+
+def _requests(spark, folder) -> DataFrame:
+    lists = O.nested_articles(W.work_articles(spark, folder), ["code", "qty", "required_phases"])
+    requests = W.work_orders(spark, folder).join(lists, "order_id", "left").select(
+        F.col("order_id").cast("string").alias("order_id"), F.col("client").alias("cliente"), "articles"
+    )
+    return requests.select(F.col("order_id").cast("long").alias("request"), F.to_json(F.struct("*")).alias("json"))
+
+
+def orders_json_rejects(spark, folder):
+    """Requests of which some were cut short or lost their text: these are rejects, the others orders."""
+    short = F.expr("substring(json, 1, length(json) - 3)")
+    spoilt = F.when(F.col("request") % 3 == 0, short).when(F.col("request") % 7 == 0, F.lit("  ")).otherwise(F.col("json"))
+    orders, rejects = O.split_orders_json(_requests(spark, folder).withColumn("json", spoilt))
+    good = orders.select(F.col("order_id").cast("long").alias("request"), F.lit("accepted").alias("reason"))
+    return good.unionByName(rejects.select("request", "reason"))
+
+
+def orders_appended(spark, folder):
+    """Orders written in two batches, the first of them twice, and read back."""
+    path = f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    orders = State(spark, folder).orders_with_status.select("order_id", "client", "status")
+    for batch, half in (("a", 0), ("a", 0), ("b", 1)):
+        write_orders_batch(orders.where(F.col("order_id") % 2 == half), path, batch)
+    return spark.read.parquet(path).select("order_id", "client", "status", "batch")
+
+
+def batch_report(spark, folder):
+    """Steps and rejects of a batch as JSON, written twice and read back, by reason."""
+    path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    s = State(spark, folder)
+    rejects = P.phase_rejects(s.events, s.steps)
+    for _ in range(2):
+        write_report(_steps(s.steps), rejects, path, "1")
+    results, errors = (spark.read.json(f"{path}/{k}") for k in ("results", "errors"))
+    done = results.groupBy(F.col("state").alias("name")).agg(F.count("*").alias("n"))
+    return done.unionByName(errors.groupBy(F.col("reason").alias("name")).agg(F.count("*").alias("n")))
+
+
 def article_update(spark, folder):
     """Orders with an odd key get new lists twice; the later version stays."""
     articles = W.work_articles(spark, folder).select("order_id", "idx", "code", "qty")
@@ -497,7 +564,8 @@ QUERIES = {
         completion_notifications, phase_duration, active_elapsed, step_history,
         phase_performance, archive_stats, archive_report, calendar_month,
         calendar_entries, order_urgency, kanban_board, remaining_minutes,
-        cutting_plan, article_update, article_update_rejects, order_documents, order_details, orders_json,
+        cutting_plan, cutting_plan_by_code, first_steps, first_items, orders_json_rejects, orders_appended,
+        batch_report, article_update, article_update_rejects, order_documents, order_details, orders_json,
         article_phases_inherited, duplicate_orders,
     )
 }

@@ -413,6 +413,32 @@ SELECT p_size / 10.0 AS thickness,
        a.order_id, a.idx, a.qty
 FROM wo_articles a JOIN wo_orders o ON o.order_id = a.order_id
 JOIN part ON p_partkey = a.part_key""",
+    "cutting_plan_by_code": _with(ORDERS, ARTICLES)
+    + """,
+prefixes AS (SELECT 'P' || p_partkey AS prefix, p_size / 10.0 AS thickness FROM part WHERE p_partkey < 200),
+codes AS (
+  SELECT code, arg_max(thickness, length(prefix)) AS thickness
+  FROM (SELECT DISTINCT code FROM wo_articles) JOIN prefixes ON starts_with(code, prefix) GROUP BY code)
+SELECT c.thickness,
+       row_number() OVER (PARTITION BY c.thickness ORDER BY o.due, a.order_id, a.idx) - 1 AS sequence,
+       a.order_id, a.idx, a.code, a.qty
+FROM wo_articles a JOIN wo_orders o ON o.order_id = a.order_id JOIN codes c ON c.code = a.code""",
+    "first_steps": _with(EVENTS)
+    + """
+SELECT order_id, phase, event_id AS step_id, operator FROM wo_events WHERE action = 'start'
+QUALIFY row_number() OVER (PARTITION BY order_id, phase ORDER BY event_id) = 1""",
+    "first_items": _with(ARTICLES)
+    + """
+SELECT order_id, idx, code, qty FROM wo_articles
+QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY qty DESC, idx) <= 2""",
+    "orders_json_rejects": _with(ORDERS)
+    + """
+SELECT order_id AS request, CASE WHEN order_id % 3 = 0 THEN 'malformed JSON'
+         WHEN order_id % 7 = 0 THEN 'empty request' ELSE 'accepted' END AS reason
+FROM wo_orders""",
+    "orders_appended": FOLD
+    + """
+SELECT order_id, client, status, CASE WHEN order_id % 2 = 0 THEN 'a' ELSE 'b' END AS batch FROM status""",
     "article_update": _with(ARTICLES)
     + """
 SELECT order_id, count(*) AS n_articles, sum(qty) AS total_quantity
@@ -494,3 +520,11 @@ numbered AS (
   WINDOW w AS (PARTITION BY client, strftime(received, '%Y%m') ORDER BY received, order_id))
 SELECT order_id, client, order_no, first_order_id FROM numbered WHERE nth > 1""",
 }
+SQL["batch_report"] = (
+    SQL["phase_rejects"].rsplit("\nSELECT event_id", 1)[0]
+    + """
+SELECT reason AS name, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL
+SELECT CASE WHEN ended_at IS NOT NULL THEN 'completed' WHEN started_at IS NOT NULL THEN 'in-progress'
+            ELSE 'pending' END AS name, count(*) AS n FROM steps GROUP BY 1"""
+)

@@ -15,6 +15,7 @@ from orderflow.streaming.expiry import write_fold_ttl
 from orderflow.streaming.fold import current_steps, read_fold, write_fold
 from orderflow.streaming.notifications import order_plans
 from orderflow.streaming.notifications import stream_notifications as notify
+from orderflow.streaming.pickup import stream_corpus, stream_documents
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,10 +102,31 @@ def stream_notifications(spark, folder):
     )
 
 
+def stream_pickup(spark, folder):
+    """Documents as eight text files, half of them there at first; two starts of one stream."""
+    base, eighth = _new_folder(spark), F.col("doc_id") % 8
+    texts = W.table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text"), eighth.alias("eighth"))
+
+    def arrive(half) -> None:
+        texts.where(half).repartition(8, "eighth").write.mode("append").partitionBy("eighth").option("compression", "none").text(f"{base}/in")
+
+    def docs() -> DataFrame:
+        return stream_corpus(spark, f"{base}/in", files_per_trigger=2)
+
+    arrive(F.col("eighth") < 4)
+    query = stream_documents(docs(), f"{base}/out", f"{base}/state", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    arrive(F.col("eighth") >= 4)
+    stream_documents(docs(), f"{base}/out", f"{base}/state").awaitTermination()
+    kept = spark.read.parquet(f"{base}/out")
+    return kept.select(F.regexp_extract("path", "eighth=([0-9]+)", 1).cast("long").alias("eighth"), F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         stream_step_fold, stream_step_fold_stateful, stream_step_fold_ttl, stream_step_notes,
-        stream_late_events, stream_notifications,
+        stream_late_events, stream_notifications, stream_pickup,
     )
 }

@@ -73,6 +73,17 @@ def write_orders(orders: DataFrame, path: str, partition: str = "status") -> Non
     orders.write.mode("append").partitionBy(partition).parquet(path)
 
 
+def write_orders_batch(orders: DataFrame, path: str, batch: str, partition: str = "status") -> None:
+    """Write a batch of orders; writing it again replaces its own partitions and no other.
+
+    A status that the repeated batch no longer has keeps what it had, so a batch
+    is repeated with the same rows, as a restart does.
+    """
+    rows = orders.withColumn("batch", F.lit(batch))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch", partition).parquet(path)
+
+
 def write_report(results: DataFrame, errors: DataFrame, path: str, batch: str) -> None:
     """Result and error lines of a batch as JSON files, in a folder of the batch.
 

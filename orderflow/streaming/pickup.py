@@ -47,3 +47,12 @@ def stream_extraction(
         rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
 
     return _run(docs, write, checkpoint, "append", every)
+
+
+def stream_documents(docs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep arriving documents as they are, a folder for each batch: every file once, over all starts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _run(docs, write, checkpoint, "append", every)
