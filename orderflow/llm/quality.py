@@ -10,11 +10,13 @@ a document is the same on every run.
 Trusted documents are all those labelled of good quality; raw counts cover
 every document.
 
-DataFrame functions only, no Python on the executors. Both passes read texts
-once and keep no group: counts and sums are combined before the shuffle. Texts
-are shuffled once, to mark the trusted, unless Spark broadcasts their ids. Null
-texts have no words, fail the base rule and are not kept; repeated rows are
-judged each for itself. A text without n-grams scores 0.
+DataFrame functions only, no Python on the executors. Passes keep no group:
+counts and sums are combined before the shuffle, and texts are not shuffled to
+find the trusted ones (see ``log_ratios``). Null texts have no words, fail the
+base rule and are not kept; null ids are never trusted; repeated rows are judged
+each for itself. A text without n-grams scores 0; texts may have any length.
+Empty tables give empty results. Columns besides the key and the text are not
+read, so clashing names are of no effect.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from orderflow.llm.common import Scratch, documents
 
 BUCKETS = 1 << 16
+#: Bits of the bitmaps of ids: 8 MB in all. When one fills up, more texts meet the ids, nothing is lost.
+ID_BITS = 26
 #: Mean log-ratio, in nats, from which a document is kept.
 THRESHOLD = -0.15
 MICRO = 1_000_000
@@ -112,16 +116,52 @@ def _grams(df: DataFrame, *keep: str) -> DataFrame:
     return at.select(*keep, bucket.alias("bucket"))
 
 
+def _place(key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key.cast("string")), 64 - ID_BITS)
+
+
+def _id_bitmap(ids: DataFrame, key: str) -> DataFrame:
+    """Bitmap of hashed ids, 4 KB a row: 2048 rows at most, whatever the number of ids."""
+    place = _place(F.col(f"`{key}`"))
+    return ids.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+
+
+def _marked(rows: DataFrame, bitmap: DataFrame, name: str) -> DataFrame:
+    """Rows with whether the bitmap has their ``_key``."""
+    parts = bitmap.withColumnsRenamed({"_part": f"{name}_part", "_bits": f"{name}_bits"})
+    place = _place(F.col("_key"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.expr("shiftright({0}, {1})".format("_byte", "_bit")).bitwiseAND(F.lit(1)) == 1
+    found = rows.join(F.broadcast(parts), F.bitmap_bucket_number(place) == F.col(f"{name}_part"), "left")
+    found = found.withColumn("_byte", byte).withColumn("_bit", at.bitwiseAND(F.lit(7)).cast("int"))
+    return found.withColumn(name, F.coalesce(has & F.col("_key").isNotNull(), F.lit(False))).drop("_byte", "_bit", f"{name}_part", f"{name}_bits")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, ratio (micro-units) of trusted to raw; ``trusted`` holds ids."""
-    ids = trusted.select(F.col(key).alias("_id"), F.lit(1).cast("long").alias("_trusted")).distinct()
+    """bucket, counts of raw and of good n-grams; ``trusted`` holds ids.
+
+    Texts stay where they are: a bitmap of the trusted ids marks their rows. Ids
+    marked by chance are found by joining ids alone, and a second bitmap marks
+    these; only the few texts that both mark meet the trusted ids themselves.
+    """
+    scratch = Scratch(docs.sparkSession, "trusted")
+    ids = trusted.select(F.col(key).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
+    first = scratch.keep(_id_bitmap(ids, "_id"), "first")
+    keys = docs.select(F.col(f"`{key}`").alias("_key"))
+    chance = _marked(keys, first, "_first").filter("_first").join(ids, F.col("_key") == F.col("_id"), "left_anti")
+    second = scratch.keep(_id_bitmap(chance, "_key"), "second")
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    marked = texts.join(ids, F.col("_key") == F.col("_id"), "left").withColumn("_mark", F.coalesce("_trusted", F.lit(0).cast("long")))
-    marked = marked.select("_mark", words_of(F.coalesce("_text", F.lit(""))).alias("_words"))
-    counts = _grams(marked, "_mark").filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_mark").alias("good"))
+    texts = _marked(_marked(texts, first, "_first"), second, "_second")
+    words = words_of(F.coalesce("_text", F.lit(""))).alias("_words")
+    sure = F.when(F.col("_first") & ~F.col("_second"), 1).otherwise(0).cast("long").alias("_mark")
+    counts = _grams(texts.select(sure, words), "_mark").filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_mark").alias("sure"))
+    rest = texts.filter("_first AND _second").join(ids, F.col("_key") == F.col("_id"), "left_semi").select(words)
+    more = _grams(rest).filter("bucket IS NOT NULL").groupBy(F.col("bucket").alias("_more")).agg(F.count("*").alias("few"))
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    full = full.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
-    return full
+    full = full.join(more, F.col("bucket") == F.col("_more"), "left")
+    good = F.coalesce("sure", F.lit(0)) + F.coalesce("few", F.lit(0))
+    return full.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), good.alias("good"))
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 
 from orderflow.llm import jaccard_join, licenses, mixing, quality, suffix_dedup, toxicity
 from orderflow.llm.common import reachable
@@ -80,6 +81,38 @@ def test_all_good_labels_count(spark):
     assert quality.log_ratios(docs, trusted).agg({"raw": "sum", "good": "sum"}).first()[:] == (150_000, 75_000)
 
 
+def ratios_of(texts, trusted):
+    """Micro-unit log-ratios by bucket, n-grams of each text: in plain Python, with the hash's own library."""
+
+    def code(words, seed=42):
+        for w in words:
+            seed = xxhash.xxh64(w.encode(), seed=seed).intdigest()
+        return (seed - (1 << 64) if seed >> 63 else seed) % quality.BUCKETS
+
+    grams = [[code(g) for g in [(w,) for w in ws] + list(zip(ws, ws[1:], strict=False))] for ws in (WORD.findall(t or "") for _, t in texts)]
+    raw = collections.Counter(b for g in grams for b in g)
+    good = collections.Counter(b for (i, _), g in zip(texts, grams, strict=True) if i in trusted for b in g)
+    r, g = raw.total() + quality.BUCKETS, good.total() + quality.BUCKETS
+    return grams, lambda b: round((math.log((good[b] + 1) / g) - math.log((raw[b] + 1) / r)) * 1e6)
+
+
+@pytest.mark.parametrize("bits", [26, 5])
+def test_quality_verdict_by_hand(spark, rng, monkeypatch, bits):
+    """With few bits of ids nearly all documents are marked by chance, and the counts stay right."""
+    monkeypatch.setattr(quality, "ID_BITS", bits)
+    texts = [(i, prose(rng, rng.randint(40, 120))) for i in range(60)] + [(100, "long " * 60_000 + "tail"), (101, None), (None, prose(rng, 60)), (3, prose(rng, 70))]
+    trusted = {i for i in range(0, 60, 4)} | {777}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, _first string")
+    got = quality.score_documents(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    grams, ratio = ratios_of(texts, trusted)
+    want = []
+    for (i, t), g in zip(texts, grams, strict=True):
+        total, failed = sum(map(ratio, g)), base_of(t)[0] < 50 or 100 * base_of(t)[4] > 50 * base_of(t)[0]
+        want.append((i, round(total / len(g) / 1e6, 4) if g else 0.0, not failed and total >= round(quality.THRESHOLD * 1e6) * len(g)))
+    assert sorted(((r.doc_id, round(r.llr, 4), r.kept) for r in got), key=str) == sorted(want, key=str)
+    assert {k for *_, k in want} == {True, False}
+
+
 def components_of(texts):
     sets = []
     for t in texts:
