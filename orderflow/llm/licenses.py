@@ -6,8 +6,13 @@ there are. Expressions after an identifier tag are read by a shunting-yard
 parser (``with`` binds closest, then ``and``, then ``or``) and evaluated
 against a set of permissive licences.
 
+A tag counts with the known identifiers of its expression (``FAMILIES``) and with
+references of one's own (``LicenseRef-...``); a tag before other words is a bad
+one, and gives no label.
+
 Null and empty texts have no words and no labels (empty strings, score 0);
-rows are scanned each for itself, and other columns are not read.
+rows, repeated ones too, are scanned each for itself; empty tables give no rows;
+texts may have any length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,24 +67,28 @@ _TO_WORDS = bytes(b if _WORD_BYTES[b] else 32 for b in _LOWER)
 _TAG_LINE = re.compile(r"(?:spdx-license-identifier|license-expression)[ \t]*[:=][ \t]*([^\n\r]*)")
 
 
-def family(identifier: str) -> str:
-    return next((label for start, label in FAMILIES if identifier.startswith(start)), identifier.rstrip("+"))
+def family(identifier: str) -> str | None:
+    """Label of an identifier; references of one's own stand for themselves, other words are none."""
+    for start, label in FAMILIES:
+        if identifier.startswith(start) and identifier[len(start) : len(start) + 1] in ("", *"-.+v0123456789"):
+            return label
+    return identifier.rstrip("+") if re.fullmatch(r"licenseref-.+", identifier) else None
 
 
 def parse(expression: str) -> list[str] | None:
     """The longest leading part of a text that is an expression, in postfix order; None if none is.
 
-    Trailing words that do not continue the expression (the rest of a comment)
-    are ignored. Expressions nest to any depth; the parser does not recurse.
+    Operands are known identifiers, or what follows ``with``; trailing words that
+    do not continue the expression (the rest of a comment) are ignored. Expressions nest to any depth; the parser does not recurse.
     """
     tokens = [m.group() for m in _TOKEN.finditer(expression.lower())]
-    best, out, stack, want, depth = None, [], [], True, 0
+    best, out, stack, want, depth, exception = None, [], [], True, 0, False
     for t in tokens:
         if want:
             if t == "(":
                 stack.append(t)
                 depth += 1
-            elif t in _RANK or t == ")":
+            elif t in _RANK or t == ")" or not (exception or family(t)):
                 break
             else:
                 out.append(t)
@@ -88,7 +97,7 @@ def parse(expression: str) -> list[str] | None:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[t]:
                 out.append(stack.pop())
             stack.append(t)
-            want = True
+            want, exception = True, t == "with"
         elif t == ")" and depth:
             while stack[-1] != "(":
                 out.append(stack.pop())

@@ -293,6 +293,9 @@ def test_expressions():
     assert parse("(MIT OR GPL-2.0+) AND isc */") == ["mit", "gpl-2.0+", "or", "isc", "and"]
     assert parse("GPL-2.0 WITH Classpath-exception-2.0 or MIT") == ["gpl-2.0", "classpath-exception-2.0", "with", "mit", "or"]
     assert parse("(mit or") is None and parse("") is None and parse("and mit") is None and parse("MIT or") == ["mit"]
+    assert parse("see the file LICENSE") is None and parse("NONE") is None and parse("mitigated") is None
+    assert parse("LicenseRef-Own AND MIT, see LICENSE") == ["licenseref-own", "mit", "and"]
+    assert evaluate(parse("GPL-2.0 WITH Some-exception"), {"mit"}) == (False, {"gpl"})
     assert len(parse("(" * 5000 + "mit" + ")" * 5000)) == 1
     assert evaluate(parse("GPL-3.0 OR MIT"), {"mit"}) == (True, {"gpl", "mit"})
     assert evaluate(parse("GPL-3.0 AND MIT"), {"mit"}) == (False, {"gpl", "mit"})
@@ -301,7 +304,7 @@ def test_expressions():
 def test_licenses(spark, rng):
     reachable(spark)
     pieces = ["MIT", "license", "License,", "apache", "general", "public", "GENERAL-PUBLIC", "x", "é", "\n", "mit  license", "# SPDX-License-Identifier: MIT OR GPL-2.0\n", "2"]
-    texts = [None, "", "mit license", "a mit license mit license b", "é mit\tlicense", "bad\n// SPDX-License-Identifier: AND\n", "x" * 100_000 + " apache license"]
+    texts = [None, "", "mit license", "mit license", "SPDX-License-Identifier: see the file LICENSE", "a mit license mit license b", "é mit\tlicense", "bad\n// SPDX-License-Identifier: AND\n", "x" * 100_000 + " apache license"]
     texts += [" ".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(300)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     for r in licenses.scan_licenses(docs).collect():
@@ -316,6 +319,7 @@ def test_licenses(spark, rng):
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
         own = set(filter(None, r.labels.split(",")))
         assert labels <= own and 0 <= r.score <= 1 and ("spdx" not in lower(texts[r.doc_id] or "") or r.score > 0)
+        assert "see" not in own
         if "MIT OR GPL-2.0" in (texts[r.doc_id] or ""):
             assert {"mit", "gpl"} <= own
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
