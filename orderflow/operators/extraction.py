@@ -153,3 +153,17 @@ def items_as_rows(extracted: DataFrame) -> DataFrame:
     return extracted.select(
         "doc_id", "layout", F.posexplode("items").alias("pos", "i")
     ).select("doc_id", "layout", F.col("pos").cast("long").alias("pos"), "i.*")
+
+
+def item_rejects(docs: DataFrame, layouts: Sequence[Layout] = DEFAULT_LAYOUTS) -> DataFrame:
+    """Items that a layout found and refused: (doc_id, layout, code, name, qty, reason).
+
+    A side output of the extraction, by the same patterns: what a layout accepts
+    and what is given here are together all it found, but for repeated codes.
+    """
+    known = [layout for layout in layouts if layout.rejects]
+    found = F.lit(None)
+    for layout in reversed(known):
+        found = F.when(F.col("layout") == layout.name, layout.rejects(F.col("text"))).otherwise(found)
+    marked = classify_layout(docs, layouts).where(F.col("layout").isin([x.name for x in known]))
+    return marked.select("doc_id", "layout", F.inline(found))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import LOOSE_SLASH_DATE, SLASH_DATE, day_month_year
 from orderflow.functions.numbers import truncated
 from orderflow.functions.text import first_match, let, matches, rx, strip
-from orderflow.operators.extractors.common import item, plausible
+from orderflow.operators.extractors.common import NO_NAME, accepted, item, no_quantity, refused
 from orderflow.operators.lines import stripped_lines
 
 # Marks and limits of this layout.
@@ -73,12 +73,23 @@ def _line_item(line: Column) -> Column:
     return let(F.split(line, rx(r"\s+"), -1), read)
 
 
-def items(text: Column) -> Column:
+def _found(text: Column) -> Column:
     lines = F.filter(
         stripped_lines(text),
         lambda x: F.startswith(x, F.lit(LINE_START)) & (F.length(x) >= MIN_LENGTH),
     )
-    return F.filter(
-        F.transform(lines, _line_item),
-        lambda x: plausible(x["qty"]) & (F.length(x["name"]) > 0),
-    )
+    return F.transform(lines, _line_item)
+
+
+def _why_not(x: Column) -> Column:
+    named = F.coalesce(F.length(x["name"]) > 0, F.lit(False))
+    return F.coalesce(no_quantity(x), F.when(~named, NO_NAME))
+
+
+def items(text: Column) -> Column:
+    return accepted(_found(text), _why_not)
+
+
+def rejects(text: Column) -> Column:
+    """Lines of articles without a quantity or a name, with the reason."""
+    return refused(_found(text), _why_not)

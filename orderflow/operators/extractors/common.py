@@ -33,6 +33,33 @@ def no_heading(name: Column) -> Column:
     return ~contains_any(F.lower(name), HEADING_WORDS)
 
 
+# Why an item found in a text is no article.
+NO_QUANTITY, HEADING, SHORT_CODE, NO_NAME = "quantity", "heading", "code", "name"
+
+
+def refused(items: Column, reason) -> Column:
+    """Items for which ``reason(item)`` is not NULL, with that reason.
+
+    With ``accepted`` of the same items it gives every item that was found.
+    """
+    judged = F.transform(
+        items,
+        lambda x: F.struct(
+            x["code"].alias("code"), x["name"].alias("name"), x["qty"].alias("qty"), reason(x).alias("reason")
+        ),
+    )
+    return F.filter(judged, lambda x: x["reason"].isNotNull())
+
+
+def accepted(items: Column, reason) -> Column:
+    return F.filter(items, lambda x: reason(x).isNull())
+
+
+def no_quantity(x: Column) -> Column:
+    """A quantity that is missing or not above zero."""
+    return F.when(~F.coalesce(plausible(x["qty"]), F.lit(False)), NO_QUANTITY)
+
+
 def known_client(path: Column, clients: Sequence[tuple[str, str]]) -> Column:
     """Client whose key occurs in the path; the first key of the list wins."""
     chosen = F.lit(None).cast("string")

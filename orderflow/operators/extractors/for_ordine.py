@@ -20,11 +20,15 @@ from orderflow.functions.text import (
     strip,
 )
 from orderflow.operators.extractors.common import (
+    HEADING,
+    SHORT_CODE,
+    accepted,
     first_per_code,
     item,
     known_client,
     no_heading,
-    plausible,
+    no_quantity,
+    refused,
 )
 from orderflow.operators.lines import first_line, first_neighbour, stripped_lines, text_before
 
@@ -117,8 +121,14 @@ def header(text: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def items_after_unit(text: Column) -> Column:
-    found = F.zip_with(
+def _why_not(x: Column) -> Column:
+    return F.coalesce(
+        no_quantity(x), F.when(F.length(x["code"]) < 2, SHORT_CODE), F.when(~no_heading(x["name"]), HEADING)
+    )
+
+
+def found_after_unit(text: Column) -> Column:
+    return F.zip_with(
         all_matches(text, SEGMENT, 1),
         all_matches(text, SEGMENT, 2),
         lambda code, rest: item(
@@ -127,12 +137,11 @@ def items_after_unit(text: Column) -> Column:
             whole(first_match(rest, QTY_AND_NAME, 1)),
         ),
     )
-    return F.filter(found, lambda x: plausible(x["qty"]) & no_heading(x["name"]))
 
 
-def items_before_dash(text: Column) -> Column:
+def found_before_dash(text: Column) -> Column:
     """Here the quantity is the number that opens the line: its position."""
-    found = F.transform(
+    return F.transform(
         all_matches(text, CODE_BEFORE_DASH + r"[^\n]*", 0, "m"),
         lambda x: item(
             strip(first_match(x, CODE_BEFORE_DASH)),
@@ -142,11 +151,14 @@ def items_before_dash(text: Column) -> Column:
             whole(first_match(x, r"^\s*(\d+)\s+")),
         ),
     )
-    return F.filter(
-        found,
-        lambda x: plausible(x["qty"]) & (F.length(x["code"]) >= 2) & no_heading(x["name"]),
-    )
 
 
 def items(text: Column) -> Column:
-    return first_per_code(items_after_unit(text), items_before_dash(text))
+    return first_per_code(
+        accepted(found_after_unit(text), _why_not), accepted(found_before_dash(text), _why_not)
+    )
+
+
+def rejects(text: Column) -> Column:
+    """Articles found in either shape that are none, with the reason."""
+    return F.concat(refused(found_after_unit(text), _why_not), refused(found_before_dash(text), _why_not))

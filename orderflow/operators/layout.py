@@ -28,7 +28,8 @@ class Layout:
     a dict of client, order_no, due and received; ``items(text)`` an array of
     code, name and qty. Texts with fewer than ``min_items`` items call for the
     table text, which ``reads_tables`` layouts can use; a missing client of a
-    ``client_from_tables`` layout is looked for there too.
+    ``client_from_tables`` layout is looked for there too. ``rejects(text)`` gives
+    the items that were found and refused, each with a reason.
     """
 
     name: str
@@ -38,6 +39,7 @@ class Layout:
     min_items: int = 1
     reads_tables: bool = True
     client_from_tables: bool = False
+    rejects: Callable[[Column], Column] | None = None
 
 
 def _has(text: Column, *words: str) -> Column:
@@ -82,8 +84,8 @@ DEFAULT_LAYOUTS = (
     Layout("DIVISIONE", _is_divisione, divisione.header, divisione.items),
     Layout("PO_BEBITALIA", _is_bebitalia, bebitalia.header, bebitalia.items),
     Layout("OAFA", _is_oafa, oafa.header, oafa.items, min_items=5),
-    Layout("FOR_ORDINE_AZA", _is_aza, aza.header, aza.items, reads_tables=False),
-    Layout("FOR_ORDINE", _is_for_ordine, for_ordine.header, for_ordine.items),
+    Layout("FOR_ORDINE_AZA", _is_aza, aza.header, aza.items, reads_tables=False, rejects=aza.rejects),
+    Layout("FOR_ORDINE", _is_for_ordine, for_ordine.header, for_ordine.items, rejects=for_ordine.rejects),
     Layout(
         "ORDINE_LS",
         _is_ordine_ls,

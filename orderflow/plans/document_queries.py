@@ -331,6 +331,13 @@ def reconcile(spark, folder):
     )
 
 
+def item_rejects(spark, folder):
+    """Articles called headings, and articles of no pieces, in orders of one layout."""
+    docs = render(spark, folder, "FOR_ORDINE")
+    spoilt = F.regexp_replace(F.regexp_replace("text", "(?i)widget", "prodotto"), " 23,23 50 ", " 23,23 0 ")
+    return X.item_rejects(docs.withColumn("text", spoilt)).drop("layout")
+
+
 def markdown_items(spark, folder):
     return table_rows(render(spark, folder, "TABLE")).withColumn(
         "pos", F.col("pos").cast("long")
@@ -369,7 +376,7 @@ QUERIES = {
         extract_headers, extract_mixed_items, extract_totals, rendered_layout,
         ingest_report, ingest_by_layout, ingest_rejects, ingest_orders,
         ingest_new_paths, ingest_times, client_dictionary, client_by_path, layout_by_rules,
-        layout_registered, reconcile,
+        layout_registered, item_rejects, reconcile,
         markdown_items, markdown_cells_count, table_fallback,
     )
 }

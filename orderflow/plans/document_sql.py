@@ -331,6 +331,13 @@ compared AS (
            AS mismatches
   FROM expected e FULL JOIN batch b ON b.doc_id = e.doc_id)
 SELECT doc_id, mismatches, mismatches = '' AS passed FROM compared""",
+    "item_rejects": RENDER
+    + """
+SELECT doc_id, 'CF' || p8 AS code,
+       CASE WHEN n % 2 = 0 THEN replace(upper(name), 'WIDGET', 'prodotto') ELSE replace(name, 'widget', 'prodotto') END AS name,
+       CASE WHEN n % 2 = 1 THEN n + 1.0 WHEN qty = 50 THEN 0.0 ELSE qty END AS qty,
+       CASE WHEN n % 2 = 0 AND qty = 50 THEN 'quantity' ELSE 'heading' END AS reason
+FROM art WHERE contains(name, 'widget') OR (n % 2 = 0 AND qty = 50)""",
     "markdown_items": RENDER
     + """
 SELECT doc_id, n AS pos, 'MT' || p8 AS code, name,

@@ -331,3 +331,21 @@ def test_extraction_needs_no_shuffle(spark):
     docs = spark.createDataFrame([("d", DIVISIONE)], "doc_id string, text string")
     plan = extract(docs, path=None)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_item_rejects(spark):
+    """Accepted and refused items are together what was found; each refusal has a reason."""
+    text = (
+        "Metalli Uniti S.r.l.\nORDINE FORNITORE\n"
+        "1,00 23,23 01/02/2026 PZ CF1111 23,23 0 NIENTE\n"
+        "1,00 23,23 01/02/2026 PZ CF2222 23,23 7 STAFFA\n"
+        "1,00 23,23 01/02/2026 PZ CF3333 23,23 4 DESCRIZIONE LUNGA\n"
+    )
+    aza = "AZA INTERNATIONAL\nORDINE FORNITORE 1/AC del 01/01/2026\nNR 0,00 € 716,80 € 7,16 SPORTELLO ZA00000001\nNR 5,00 € 716,80 € 7,16 PIANO ZA00000002\n"
+    docs = spark.createDataFrame([("a", "a", text), ("b", "b", aza), ("c", "c", None)], "doc_id string, path string, text string")
+    from orderflow.operators.extraction import extract_items, item_rejects
+
+    refused = {(r.doc_id, r.code): r.reason for r in item_rejects(docs).collect()}
+    assert refused == {("a", "CF1111"): "quantity", ("a", "CF3333"): "heading", ("b", "ZA00000001"): "quantity"}
+    kept = {(r.doc_id, r.code) for r in extract_items(docs).collect()}
+    assert kept == {("a", "CF2222"), ("b", "ZA00000002")}
