@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept. The last returns the pieces of documents with their sequences; all others
-return the columns of ``documents``.
+return the columns of ``documents``; other columns are left behind.
+
+Null texts count as empty: they pass the first two stages (an empty text links
+with nothing) and come out of the third as empty texts, one end token each. Rows
+without an id stay, as nothing can be said of them by id; repeated rows are scored
+and packed each for itself, but rows that share an id share the verdict of the
+second stage, and equal texts of 400 bytes or more are repeats to the third. Texts
+may have any length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
