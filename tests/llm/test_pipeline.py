@@ -40,3 +40,22 @@ def test_stages(spark):
     lengths = {i: len(encode(t, add_special_tokens=False).ids) + 1 for i, t in mixed.items()}
     assert packed.groupby("doc_id").length.sum().to_dict() == lengths
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeats, a long text, clashing columns; and a table without rows."""
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    base = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    extra = [(None, "no id here", None, None, None), (None, None, None, None, None), (900_001, None, "en", "src0", 0), (900_002, "", None, "src1", 0), (900_003, "tail word " * 40_000, "en", "src0", 400_000)]
+    extra += [(900_004, "same row twice", "en", "src9", 14)] * 2
+    docs = base.unionByName(spark.createDataFrame(extra, base.schema)).selectExpr("*", "1 AS label", "'x' AS id", "2L AS position", "'y' AS slot", "3L AS piece")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = P.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in rows]
+    assert ids.count(900_004) == 2 and {900_001, 900_002} <= set(ids) and ids.count(None) == 2
+    assert all(r.offset + r.length <= 1024 for r in rows)
+    assert sum(r.length for r in rows if r.doc_id == 900_001) == 1
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{empty}/labels.parquet")
+    assert P.run(spark, str(empty)).collect() == []
