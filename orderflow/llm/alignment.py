@@ -40,7 +40,7 @@ from orderflow.llm.packed import binary, bucket_bits, bucket_cuts, runs, unpacke
 from orderflow.llm.pieces import _byte_letters, encoder
 
 #: Bytes of text aligned together, and of a part, about.
-SLICE, PART = 1 << 20, 8 << 20
+SLICE, PART = 2 << 20, 8 << 20
 #: Bytes of windows a worker remembers before it starts anew, and of an entry besides its ids and text, about.
 KEPT_BYTES, _ENTRY = 64 << 20, 220
 _B_BITS = 20
@@ -98,20 +98,81 @@ def align(a: np.ndarray, b: np.ndarray, a_length: np.ndarray, b_length: np.ndarr
     return n_groups, n_links, links, [raw[i : j - 1] for i, j in zip([0, *cuts], cuts, strict=False)]
 
 
-class Aligner:
-    def __init__(self, a_file: str, b_file: str):
+class _Pieces:
+    """Ids of texts by a sentencepiece model that takes white space as part of the next piece.
+
+    No piece of such a model goes on behind a space, so the words of a text, parted
+    by single spaces, are encoded apart, each distinct one once. Texts with other
+    spaces, or with the model's own mark, go to the library whole.
+    """
+
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.a = encoder(a_file, plain=True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.apart = not any("▁" in n.lstrip("▁") for n in names)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.start, self.length, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+        self.kept = 0
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.model.encode(texts, num_threads=1) if texts else []
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        return length, np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum()))
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and all ids."""
+        if self.kept > KEPT_BYTES:
+            self._clear()
+        lists = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.at]
+        if new:
+            length, ids = self._whole(new)
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+            self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, ids])
+            self.kept += sum(map(len, new)) + 8 * len(ids) + _ENTRY * len(new)
+        number = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        word = number[coded.indices.to_numpy(zero_copy_only=False)]
+        sums = np.r_[0, np.cumsum(self.length[word])]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        return np.diff(sums[np.r_[0, ends]]), self.ids[spread(self.start[word], self.length[word])]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin, with the end, and all ids; no text may be null."""
+        odd = pc.match_substring_regex(texts, "^ |  | $|▁|^$") if self.apart else pa.array([True] * len(texts))
+        odd = odd.to_numpy(zero_copy_only=False)
+        count = np.zeros(len(texts), np.int64)
+        parts = []
+        for mask, way in ((~odd, self._words), (odd, lambda x: self._whole(x.to_pylist()))):
+            if mask.any():
+                count[mask], ids = way(texts.filter(pa.array(mask)))
+                parts.append((mask, ids))
+        at = np.r_[0, np.cumsum(count)]
+        out = np.zeros(int(at[-1]), np.int64)
+        for mask, ids in parts:
+            out[np.repeat(mask, count)] = ids
+        return at, out
+
+
+class Aligner:
+    def __init__(self, a_file: str, b_file: str):
+        self.a, self.b = encoder(a_file, plain=True), _Pieces(b_file)
         letter = {c: b for b, c in _byte_letters().items()}
         known = self.a.tokenizer.get_vocab(True)
         tokens = [b""] * (max(known.values(), default=-1) + 1)
         for t, i in known.items():
             tokens[i] = bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode()
         self.a_bytes = _Bytes(tokens, [t[:1] == b" " for t in tokens])
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        tokens = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        model = self.b.model
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_bytes = _Bytes(tokens, [p[:1] == "▁" for p in pieces])
         size = max(len(self.a_bytes.length), len(self.b_bytes.length))
         self.decimal = _Bytes([b"%d," % i for i in range(size)], [])
@@ -131,10 +192,7 @@ class Aligner:
         spaced = pc.if_else(filled, pc.binary_join_element_wise(" ", texts, ""), "")
         data, text_at = text_bytes(spaced)
         a_at, a = self.a.encode(spaced)
-        found = iter(self.b.encode(texts.filter(filled).to_pylist(), num_threads=1))
-        lists = [next(found) if x else [] for x in filled.to_pylist()]
-        b_at = np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)]
-        b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_at[-1]))
+        b_at, b = self.b.encode(texts)
         a = a.astype(np.int64)
         good = filled.to_numpy(zero_copy_only=False) & self.a_bytes.same(a, a_at, data, text_at) & self.b_bytes.same(b, b_at, data, text_at)
         out = []

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -101,6 +102,18 @@ def test_plain(spark, monkeypatch, part):
     assert sum(r[1] == 0 for r in want) < len(want) / 2
 
 
+def test_words_apart_are_words_together():
+    """Ids of words encoded apart are those of whole texts, for odd texts and many spaces too."""
+    rng = np.random.default_rng(2)
+    parts = ["the", "Zürich", "▁", " ", "  ", "\n", "don't", "日本", "x1.5", "<s>", "\t", "é", "👩‍👩‍👧", "AAAA", "...", "\x00"]
+    texts = [t for t in ODD if t is not None] + ["".join(rng.choice(parts, 12)) for _ in range(500)] + [" ".join(rng.choice(parts, 12)) for _ in range(500)]
+    pieces = alignment._Pieces(B_FILE)
+    assert pieces.apart
+    at, ids = pieces.encode(pa.array(texts))
+    want = pieces.model.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
+
+
 def test_windows_are_remembered(monkeypatch):
     work = alignment.Aligner(A_FILE, B_FILE)
     texts = pa.array(["the cat sat on the mat", "the cat sat"])
