@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import phrases
+from orderflow.llm import phrases, substrings
 from orderflow.llm.alignment import op11_token_alignment
 from orderflow.llm.jaccard_join import op5_ngram_jaccard_join
 from orderflow.llm.licenses import op10_license_scans
@@ -32,4 +32,4 @@ QUERIES = {
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }
-SQL: dict[str, str] = {"op12_phrase_collocations": phrases.SQL}
+SQL: dict[str, str] = {"op12_phrase_collocations": phrases.SQL, "op13_substring_dedup": substrings.SQL}

@@ -261,3 +261,26 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, base: int = BASE, k
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(documents(spark, sf_dir))
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i,
+         unnest([md5(array_to_string(w[i : i + 12], ' ')) FOR i IN range(1, len(w) - 11)]) AS g
+  FROM d WHERE len(w) >= 13
+), least AS (
+  SELECT g, min(doc_id) AS least FROM g GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN least USING (g) WHERE least < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
