@@ -86,10 +86,15 @@ def first_by_rules(docs: DataFrame, rules: DataFrame, id: str = "doc_id", text:
     A rule holds if the upper-cased text has all its ``all`` words and, if it has
     ``any`` words, one of these. A rule whose word is NULL always holds; a set
     without such a rule leaves the texts to which none applies out.
+
+    Rule tables are small and texts may be long, so the words become one list in
+    the plan and each text is searched where it is; only the words found are rows,
+    and these meet the rules by equality.
     """
     words = rules.where(F.col("word").isNotNull())
+    names = F.array(*[F.lit(r["word"]) for r in words.select("word").distinct().collect()]).cast("array<string>")
     upper = docs.select(id, F.upper(text).alias("_upper"))
-    pairs = containing(upper, words.select("word").distinct(), id, "_upper", "word")
+    pairs = upper.select(id, F.explode(F.filter(names, lambda w: F.contains("_upper", w))).alias("word"))
     rule = ["rule_set", "priority", "layout"]
     needs = words.groupBy(*rule).agg(F.count_if(F.col("kind") == "all").alias("_all"), F.count_if(F.col("kind") == "any").alias("_any"))
     held = (
