@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -61,6 +63,15 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Give the system back what earlier tasks of this Python worker left free."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut a batch so that a slice's texts hold about ``limit`` bytes, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)

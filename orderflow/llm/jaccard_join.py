@@ -76,6 +76,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def drop_power_tables() -> None:
+    """Forget the tables, which have the size of the largest slice; they are made anew when needed."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and where each text's begin."""
     data, at = text_bytes(texts)

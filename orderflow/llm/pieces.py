@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from orderflow.llm.common import spread
+from orderflow.llm.common import release, spread
+from orderflow.llm.jaccard_join import drop_power_tables
 
 #: Latin letters of one or two bytes: letters by any version of Unicode.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -50,10 +51,13 @@ _encoders: dict[tuple, "PieceEncoder"] = {}
 def encoder(path: str, plain: bool = False) -> "PieceEncoder":
     """The encoder of a tokenizer file; a Python worker holds one at a time.
 
-    With ``plain`` special strings inside texts are ordinary text.
+    With ``plain`` special strings inside texts are ordinary text. A worker that
+    other stages used before gives back first what they left.
     """
     if (path, plain) not in _encoders:
         _encoders.clear()
+        drop_power_tables()
+        release()
         _encoders[path, plain] = PieceEncoder(path, plain)
     return _encoders[path, plain]
 
