@@ -9,11 +9,12 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from orderflow.llm import jaccard_join, licenses, mixing, quality, suffix_dedup, toxicity
-from orderflow.llm.common import reachable
+from orderflow.llm.common import Scratch, reachable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -172,6 +173,52 @@ def test_open_postings_of_one_id(spark, rng):
     assert pairs == {(1, 5), (2, 6), (2, 8)}
 
 
+def test_open_postings_of_few_and_many(spark, rng, monkeypatch):
+    """Pairs made at once and pairs from tiles hold every link, whatever the number of postings of a key."""
+    reachable(spark)
+    texts = []
+    for _ in range(6):
+        words = prose(rng, 80, 9000).split()
+        for i in range(8):
+            texts.append(" ".join(words))
+            words = words.copy()
+            words[rng.randrange(len(words))] = f"edit{i}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, _ = components_of(texts)
+    links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    join = jaccard_join._Join(docs, "doc_id", "text", jaccard_join.WORDS, jaccard_join.THRESHOLD)
+    postings = join.postings(join.sets()[1])
+    rows = postings.withColumn("label", postings.id)
+    for few in (32, 4, 1):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        join.scratch = Scratch(spark, "jaccard")
+        pairs = {tuple(sorted(r)) for r in join.across(rows).collect()}
+        assert links <= pairs
+        assert all(a // 8 == b // 8 for a, b in pairs)
+
+
+def test_first_places_bound_the_overlap():
+    """A pair that meets late in both prefixes cannot link; sizes beyond 32 bits of a product still can."""
+    one = np.ones(2, np.int64)
+    columns = [one, np.array([1, 2]), np.full(2, 100, np.int32), np.array([3, 20], np.int32), np.array([1, 2])]
+    assert [x.tolist() for x in jaccard_join._paired(columns, (75, 100))] == [[]]  # 80 of 120 at most
+    columns[3] = np.array([3, 14], np.int32)
+    assert [x.tolist() for x in jaccard_join._paired(columns, (75, 100))] == [[[1, 2]]]  # 86 of 114
+    large = np.array([22_000_000], np.int32), np.array([28_000_000], np.int32)
+    assert jaccard_join._compatible(*large).all()
+
+
+def test_whole_keys():
+    """No key is cut, however batches cut it."""
+    key = np.repeat([1, 2, 3, 4, 5], [3, 1, 9, 1, 2])
+    for step in (1, 2, 3, 5, 20):
+        batches = [pa.record_batch({"key": key[i : i + step], "id": np.arange(len(key))[i : i + step]}) for i in range(0, len(key), step)]
+        groups = list(jaccard_join._whole_keys(batches, ["key", "id"]))
+        assert np.concatenate([g[1] for g in groups]).tolist() == list(range(len(key)))
+        seen = [set(g[0].tolist()) for g in groups]
+        assert sum(map(len, seen)) == 5
+
+
 def kept_of(values, length):
     seen = collections.Counter(v[i : i + length] for v in values for i in range(len(v) - length + 1))
     out = []
