@@ -54,12 +54,16 @@ class StepRegister(StatefulProcessor):
         self.register = handle.getValueState("register", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        register = tuple(self.register.get()) if self.register.exists() else (None,) * 10
+        # Every call on the state is a round trip to the JVM: one read and one write, timers only where there are any.
+        before = tuple(self.register.get() or (None,) * 10)
+        register = before
         for r in rows:
             register = merged(register, tuple(r)[3:])
-        self.register.update(register)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if register != before:
+            self.register.update(register)
+        if before[3] is not None or before[9] is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         complete, done = register[3], register[9]
         if complete is not None or done is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)

@@ -48,23 +48,42 @@ class OrderCompletion(StatefulProcessor):
         self.done = handle.getMapState("done", "phase string, idx int", "ts long")
 
     def _step(self, phase: str) -> tuple:
-        return self.steps.getValue((phase,)) if self.steps.containsKey((phase,)) else (None, None, 0, None)
+        if phase not in self.met:
+            self.met[phase] = tuple(self.steps.getValue((phase,)) or (None, None, 0, None))
+        return self.met[phase]
+
+    def _set(self, phase: str, step: tuple) -> None:
+        self.met[phase] = step
+        self.changed.add(phase)
 
     def _mark(self, phase: str, idx: int, ts) -> None:
         start, complete, n, last = self._step(phase)
         key = (phase, idx)
-        if not self.done.containsKey(key):
-            self.done.updateValue(key, (ts,))
+        if key not in self.marks:
+            self.marks[key] = self.done.getValue(key)
+        old = self.marks[key]
+        if old is None:
             n, last = n + 1, ts if last is None else max(last, ts)
-        elif ts < self.done.getValue(key)[0]:
+        elif ts < old[0]:
             # An earlier completion came late: the last one of the step may move.
-            self.done.updateValue(key, (ts,))
-            last = max(v[0] for k, v in self.done.iterator() if k[0] == phase)
-        self.steps.updateValue((phase,), (start, complete, n, last))
+            kept = {tuple(k): v[0] for k, v in self.done.iterator()} | {k: v[0] for k, v in self.marks.items() if v} | {key: ts}
+            last = max(v for k, v in kept.items() if k[0] == phase)
+        else:
+            return
+        self.marks[key] = (ts,)
+        self._set(phase, (start, complete, n, last))
+
+    def _keep(self) -> None:
+        for phase in self.changed:
+            self.steps.updateValue((phase,), self.met[phase])
+        for key, mark in self.marks.items():
+            self.done.updateValue(key, tuple(mark))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.sent.exists():
             return
+        # Entries are read once and written once for all rows of a call: each is a round trip to the JVM.
+        self.met, self.changed, self.marks = {}, set(), {}
         plan = None
         for r in rows:
             plan = r.steps
@@ -77,8 +96,9 @@ class OrderCompletion(StatefulProcessor):
                 start = r.ts if start is None else min(start, r.ts)
             else:
                 complete = r.ts if complete is None else min(complete, r.ts)
-            self.steps.updateValue((r.phase,), (start, complete, n, last))
+            self._set(r.phase, (start, complete, n, last))
         if not plan:
+            self._keep()
             return
         ends, starts = [], []
         for entry in plan:
@@ -87,6 +107,7 @@ class OrderCompletion(StatefulProcessor):
             ends.append(min((x for x in (complete, last if n == target else None) if x is not None), default=None))
             starts.append(start)
         if any(end is None for end in ends):
+            self._keep()
             return
         self.sent.update((True,))
         self.steps.clear()
