@@ -349,3 +349,15 @@ def test_item_rejects(spark):
     assert refused == {("a", "CF1111"): "quantity", ("a", "CF3333"): "heading", ("b", "ZA00000001"): "quantity"}
     kept = {(r.doc_id, r.code) for r in extract_items(docs).collect()}
     assert kept == {("a", "CF2222"), ("b", "ZA00000002")}
+
+
+def test_only_named_header_fields(spark):
+    """Header fields that nobody wants are not looked for; the others stay as they are."""
+    text = "AZA INTERNATIONAL S.R.L.\nORDINE FORNITORE 77/AC del 01/02/2024\nDATA CONSEGNA: 03/04/2024"
+    docs = spark.createDataFrame([("1", "/a.pdf", text), ("2", "/b.pdf", "")], "doc_id string, path string, text string")
+    whole = extract(docs)
+    for fields in (("order_no",), ("due", "client"), ()):
+        found = extract(docs, headers=fields)
+        assert {"client", "order_no", "due", "received"} & set(found.columns) == set(fields)
+        assert ("due_missing" in found.columns) == ("due" in fields)
+        assert sorted(found.collect(), key=str) == sorted(whole.select(found.columns).collect(), key=str)
