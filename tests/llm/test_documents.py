@@ -162,6 +162,23 @@ def test_jaccard_rows_of_one_id(spark, rng):
     assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1}
 
 
+def test_few_pairs_are_verified(spark, rng):
+    """One leader for a document, no text for pairs that signatures rule out, no posting of settled keys."""
+    reachable(spark)
+    pairs = spark.createDataFrame([(1, 9), (1, 9), (2, 9), (2, 8), (1, 8), (8, 8)], "a long, b long")
+    assert sorted(map(tuple, jaccard_join.best_led(pairs).collect())) == [(1, 8), (1, 9)]
+    one = prose(rng, 80, 9000)
+    docs = spark.createDataFrame([(1, one), (2, one + " x"), (3, prose(rng, 80, 9000)), (4, None)], "doc_id long, text string")
+    join = jaccard_join._Join(docs, "doc_id", "text", jaccard_join.WORDS, jaccard_join.THRESHOLD)
+    join.sets()
+    asked = spark.createDataFrame([(1, 2), (1, 3), (3, 2), (1, 4)], "a long, b long")
+    assert list(map(tuple, join.near(asked).collect())) == [(1, 2)]
+    led = [(10, 1, 1), (10, 2, 1), (11, 1, 1), (11, 2, 1), (11, 3, 1), (12, 5, 5), (12, 6, 5)]  # key, id, first
+    rows = spark.createDataFrame(led, "key long, id long, first long").selectExpr("*", "cast(9 as int) n", "cast(0 as int) place", "id lead", "2L m")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, label long")
+    assert {r.key for r in join.parted(rows, labels).collect()} == {11, 12}
+
+
 def test_open_postings_of_one_id(spark, rng):
     """Without leaders: bit counts never prune a link of any text of an id."""
     reachable(spark)
