@@ -179,6 +179,34 @@ def test_few_pairs_are_verified(spark, rng):
     assert {r.key for r in join.parted(rows, labels).collect()} == {11, 12}
 
 
+def test_equal_lists_count_once(spark, rng):
+    """Of keys with the same postings the first goes on; ids of several texts keep theirs; only signatures asked for travel."""
+    reachable(spark)
+    passage = prose(rng, 40, 9000)
+    texts = [passage + " " + prose(rng, 10, 9000) for _ in range(6)]
+    rows = [*enumerate(texts), (9, prose(rng, 40, 9000)), (9, prose(rng, 50, 9000)), (10, "")]
+    rows += [(11, rows[6][1] + " x"), (12, rows[6][1] + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_join._Join(docs, "doc_id", "text", jaccard_join.WORDS, jaccard_join.THRESHOLD)
+    sets, frequent = join.sets()
+    led = join.led(join.postings(frequent), join.several(sets))
+    lists = collections.defaultdict(list)
+    for r in led.collect():
+        lists[r.key].append((r.id, r.place))
+    kept = {r.key for r in join.listed(led).collect()}
+    alike = collections.defaultdict(set)
+    for key, found in lists.items():
+        alike[tuple(sorted(i for i, _ in found))].add(key)
+    assert any(len(keys) > 1 for ids, keys in alike.items() if 9 not in ids)
+    for ids, keys in alike.items():
+        if 9 in ids:
+            assert keys <= kept
+        else:
+            assert keys & kept == {min(keys, key=lambda k: min(lists[k])[1])}
+    asked = spark.createDataFrame([(2,), (9,), (10,)], "id long")
+    assert sorted(r.id for r in join.signed(asked).collect()) == [2, 9, 9]
+
+
 def test_open_postings_of_one_id(spark, rng):
     """Without leaders: bit counts never prune a link of any text of an id."""
     reachable(spark)
