@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,10 @@ from orderflow.streaming.notifications import stream_notifications as notify
 from orderflow.streaming.pickup import stream_corpus, stream_documents
 
 
+# Events in a file of the late stream.
+EVENTS_PER_FILE = 100_000
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a stream, be it one file or a folder of part files."""
     reader = spark.readStream.schema(W.table(spark, folder, "events").schema)
@@ -38,8 +43,13 @@ def _stream_steps(spark, folder, stateful: bool) -> DataFrame:
         event_stream(spark, folder), f"{base}/fold", f"{base}/state", stateful=stateful
     )
     query.awaitTermination()
+    return _steps(_logged_steps(spark, folder, base))
+
+
+def _logged_steps(spark, folder, base: str) -> DataFrame:
+    """Steps from the log below a run's folder."""
     fold = read_fold(spark, f"{base}/fold")
-    return _steps(current_steps(fold, W.work_articles(spark, folder)))
+    return current_steps(fold, W.work_articles(spark, folder), lines=W.work_lines(spark, folder))
 
 
 def stream_step_fold(spark, folder):
@@ -54,19 +64,26 @@ def stream_late_events(spark, folder):
     """Events that arrive latest first, a third in a batch: every one of them late."""
     base = _new_folder(spark)
     write_fold(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", stateful=True).awaitTermination()
-    return _steps(current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder)))
+    return _steps(_logged_steps(spark, folder, base))
 
 
 def _late_stream(spark, folder, base: str) -> DataFrame:
-    """The event stream with its latest third first, each third in one batch."""
+    """The event stream with its latest third first, each third in one batch.
+
+    A third is written as so many files that none grows with the table; all
+    thirds have as many, which is what a batch takes.
+    """
     events = W.table(spark, folder, "events")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     third = (last - first) / 3
+    files = max(1, math.ceil(n / 3 / EVENTS_PER_FILE))
     for i in (2, 1, 0):
         since, until = F.col("ts") >= F.lit(first + i * third), F.col("ts") < F.lit(first + (i + 1) * third)
         part = {2: since, 1: since & until, 0: until | F.col("ts").isNull()}[i]
-        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        rows = events.where(part)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
     return W.phase_events(stream.parquet(f"{base}/in"))
 
 
@@ -74,14 +91,14 @@ def stream_step_fold_ttl(spark, folder):
     """State of finished steps expires at once, and late events follow: the log has it all."""
     base = _new_folder(spark)
     write_fold_ttl(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", keep_ms=0).awaitTermination()
-    return _steps(current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder)))
+    return _steps(_logged_steps(spark, folder, base))
 
 
 def stream_step_notes(spark, folder):
     """Notes by way of the stream's log, written in late batches and compacted between them."""
     base = _new_folder(spark)
     write_fold(_late_stream(spark, folder, base), f"{base}/fold", f"{base}/state", compact_every=2).awaitTermination()
-    steps = current_steps(read_fold(spark, f"{base}/fold"), W.work_articles(spark, folder))
+    steps = _logged_steps(spark, folder, base)
     return steps.where(F.col("note").isNotNull()).select("order_id", "phase", "note")
 
 

@@ -8,8 +8,11 @@ the reader merges (all fields are minima, or a maximum for the last note). Keys
 that were only started stay, so the state grows with open work, not with all
 work ever done.
 
-Rows of a key are read one after another, so a hot key needs no memory; its
-rows of a batch meet in one task.
+A call of the processor costs far more than a row, so it serves a block of orders
+for one phase and article index, with an entry of its map state for each order. A
+hot order thus still spreads over as many keys as it has phases and indices. Rows
+are read one after another, so a call holds one register for each order of its
+block, however many rows there are; its rows of a batch meet in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ WRITES = {"start": "operator", "complete": "note", "partial": "note"}
 STATE = ", ".join(f"{w}_ts bigint, {w}_id bigint, {w}_value string" for w in WRITES) + ", done_ts bigint"
 REGISTER = "order_id bigint, phase string, idx int, " + STATE
 NAMES = [c.split()[0] for c in REGISTER.split(", ")]
+EMPTY = (None,) * 10
+# A block is 2 ** BLOCK_BITS orders of following ids.
+BLOCK_BITS = 10
+# So many orders of a block are looked up one by one.
+FEW = 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,34 +51,57 @@ def merged(a: tuple, b: tuple) -> tuple:
     return (*out, min((x[9] for x in (a, b) if x[9] is not None), default=None))
 
 
-class StepRegister(StatefulProcessor):
-    """One register per key, merged with what arrives, dropped when finished and quiet."""
+class StepRegisters(StatefulProcessor):
+    """A register per order of the block, merged with what arrives, dropped when finished and quiet."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.register = handle.getValueState("register", STATE)
+        self.registers = handle.getMapState("registers", "order_id bigint", f"{STATE}, due bigint")
+
+    def _before(self, orders) -> dict:
+        """Registers of these orders as kept: one by one if they are few, else by one scan of the block."""
+        if len(orders) > FEW:
+            return {tuple(k)[0]: tuple(v)[:10] for k, v in self.registers.iterator()}
+        found = {order: self.registers.getValue((order,)) for order in orders}
+        return {order: tuple(v)[:10] for order, v in found.items() if v is not None}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # Every call on the state is a round trip to the JVM: one read and one write, timers only where there are any.
-        before = tuple(self.register.get() or (None,) * 10)
-        register = before
+        arrived: dict = {}
         for r in rows:
-            register = merged(register, tuple(r)[3:])
-        if register != before:
-            self.register.update(register)
-        if before[3] is not None or before[9] is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-        complete, done = register[3], register[9]
-        if complete is not None or done is not None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
-        yield Row(**dict(zip(NAMES, (*key, *register), strict=True)))
+            order = r.order_id
+            arrived[order] = merged(arrived.get(order, EMPTY), tuple(r)[4:])
+        kept = self._before(arrived)
+        due = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
+        row, ends = Row(*NAMES), False
+        # Every call on the state is a round trip to the JVM, so only what changes is written.
+        for order, register in arrived.items():
+            before = kept.get(order)
+            if before is not None:
+                register = merged(before, register)
+            finished = register[3] is not None or register[9] is not None
+            if finished and self.keep_ms <= 0:
+                if before is not None:
+                    self.registers.removeKey((order,))
+            elif finished or register != before:
+                self.registers.updateValue((order,), (*register, due if finished else None))
+                ends = ends or finished
+            yield row(order, *key[1:], *register)
+        # One timer is enough: when it fires it is set to what ends next.
+        if ends and next(iter(self.handle.listTimers()), None) is None:
+            self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.register.clear()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        ends = [(tuple(v)[10], tuple(k)) for k, v in self.registers.iterator() if tuple(v)[10] is not None]
+        for due, order in ends:
+            if due <= now:
+                self.registers.removeKey(order)
+        later = min((due for due, _ in ends if due > now), default=None)
+        if later is not None:
+            self.handle.registerTimer(later)
         return iter(())
 
     def close(self) -> None:
@@ -120,8 +151,10 @@ def write_fold_ttl(
     events: DataFrame, path: str, checkpoint: str, keep_ms: int = 3_600_000, every: str | None = None
 ) -> StreamingQuery:
     """As ``write_fold`` with state, but with state that ends; read it with ``read_fold``."""
-    registers = _flat(_marks(events)).groupBy(*KEY).transformWithState(
-        StepRegister(keep_ms), REGISTER, "update", "processingTime"
+    marks = _flat(_marks(events))
+    blocks = marks.select(F.shiftright("order_id", BLOCK_BITS).alias("block"), *marks.columns)
+    registers = blocks.groupBy("block", *KEY[1:]).transformWithState(
+        StepRegisters(keep_ms), REGISTER, "update", "processingTime"
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:

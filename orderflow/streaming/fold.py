@@ -163,8 +163,13 @@ def as_events(fold: DataFrame) -> DataFrame:
 
 
 def current_steps(
-    fold: DataFrame, articles: DataFrame, mode: str = "contract"
+    fold: DataFrame, articles: DataFrame, mode: str = "contract", lines: DataFrame | None = None
 ) -> DataFrame:
-    """Steps from a fold, by the same rules as from the full event log."""
+    """Steps from a fold, by the same rules as from the full event log.
+
+    ``lines`` are the articles without their position, where these can be had for
+    less: steps are seeded from them, and the numbered articles are computed once.
+    """
     events = as_events(fold)
-    return fold_steps(seed_steps(articles), events, completions(events, articles), mode)
+    seeds = seed_steps(articles if lines is None else lines)
+    return fold_steps(seeds, events, completions(events, articles), mode)

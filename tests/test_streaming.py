@@ -131,6 +131,44 @@ def test_state_shrinks_and_late_events_count(spark, tmp_path):
         assert rows(current_steps(read_fold(spark, f"{tmp_path}/fold{keep}"), articles)) == rows(want)
 
 
+def test_one_call_serves_many_orders(spark, tmp_path):
+    """Calls of the processor, one entry each in the plan's metrics, do not grow with the orders; all entries end by one timer."""
+    kinds = "event_id long, order_id long, phase string, action string, article_indices array<int>, operator string, note string, ts timestamp"
+    at = lambda m: dt.datetime(2026, 1, 1, 8, m)
+    n = 700
+    batches = [
+        [(i, i, "LASER", "start", None, f"op{i}", None, at(20)) for i in range(n)] + [(5000, None, "LASER", "start", None, "x", None, at(20)), (5001, -3, "LASER", "start", None, "x", None, at(20))],
+        [(1000 + i, i, "LASER", "complete", None, None, f"n{i}", at(30)) for i in range(n)] + [(6000 + i, i, "LASER", "start", None, "late", None, at(10)) for i in range(0, n, 2)],
+        [(9000, 3, "LASER", "complete", None, None, "early", at(25))],
+        [(9001, 4, "LASER", "complete", None, None, "early", at(24))],
+    ]
+    for b in batches:
+        spark.createDataFrame(b, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    articles = spark.createDataFrame([(o, 0, ["LASER"]) for o in range(n)], "order_id long, idx long, required_phases array<string>")
+    want = rows(P.fold_phase_events(spark.createDataFrame([e for b in batches for e in b], kinds), articles)[0])
+    for keep in (0, 1, 3_600_000):
+        query = write_fold_ttl(events, f"{tmp_path}/fold{keep}", f"{tmp_path}/state{keep}", keep_ms=keep)
+        query.awaitTermination()
+        last = query.recentProgress[-1]["stateOperators"][0]
+        kept = last["numRowsTotal"]
+        assert kept < 20 if keep < 10 else kept >= n
+        assert sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress) < 20
+        assert rows(current_steps(read_fold(spark, f"{tmp_path}/fold{keep}"), articles)) == want
+
+
+def test_late_stream_is_split_into_files(spark, tmp_path, monkeypatch):
+    """A third of the events is several files, still one batch, and all events are there."""
+    monkeypatch.setattr(stream_queries, "EVENTS_PER_FILE", 100)
+    raw = W.table(spark, FOLDER, "events")
+    late = stream_queries._late_stream(spark, FOLDER, str(tmp_path))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) >= 3 * (raw.count() // 300)
+    query = late.writeStream.format("memory").queryName("late_files").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
+    assert rows(spark.table("late_files")) == rows(W.work_events(spark, FOLDER))
+
+
 def test_compaction_keeps_the_fold(spark, tmp_path):
     schema = prepared(spark, tmp_path / "in", parts=6)
     articles, steps = wanted(spark)
