@@ -21,6 +21,8 @@ from orderflow.streaming.pickup import stream_corpus, stream_documents
 
 # Events in a file of the late stream.
 EVENTS_PER_FILE = 100_000
+# Bytes, about, in a file of documents that arrive.
+FILE_BYTES = 8 << 20
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,24 +122,32 @@ def stream_notifications(spark, folder):
 
 
 def stream_pickup(spark, folder):
-    """Documents as eight text files, half of them there at first; two starts of one stream."""
+    """Documents as text files by eighths, half of these there at first; two starts of one stream.
+
+    An eighth is as many files as it takes for none to grow with the table, as a
+    file is read as one value; a start takes its half in two batches.
+    """
     base, eighth = _new_folder(spark), F.col("doc_id") % 8
     texts = W.table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text"), eighth.alias("eighth"))
 
-    def arrive(half) -> None:
-        texts.where(half).repartition(8, "eighth").write.mode("append").partitionBy("eighth").option("compression", "none").text(f"{base}/in")
-
-    def docs() -> DataFrame:
-        return stream_corpus(spark, f"{base}/in", files_per_trigger=2)
+    def arrive(half) -> DataFrame:
+        rows = texts.where(half)
+        size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+        # Every part holds rows of four eighths.
+        parts = max(1, math.ceil(size / 4 / FILE_BYTES))
+        rows.repartition(parts).write.mode("append").partitionBy("eighth").option("compression", "none").text(f"{base}/in")
+        return stream_corpus(spark, f"{base}/in", files_per_trigger=2 * parts)
 
-    arrive(F.col("eighth") < 4)
-    query = stream_documents(docs(), f"{base}/out", f"{base}/state", every="1 second")
+    docs = arrive(F.col("eighth") < 4)
+    query = stream_documents(docs, f"{base}/out", f"{base}/state", every="1 second")
     query.processAllAvailable()
     query.stop()
-    arrive(F.col("eighth") >= 4)
-    stream_documents(docs(), f"{base}/out", f"{base}/state").awaitTermination()
+    docs = arrive((F.col("eighth") >= 4) | F.col("eighth").isNull())
+    stream_documents(docs, f"{base}/out", f"{base}/state").awaitTermination()
     kept = spark.read.parquet(f"{base}/out")
-    return kept.select(F.regexp_extract("path", "eighth=([0-9]+)", 1).cast("long").alias("eighth"), F.length("text").cast("long").alias("n_chars"))
+    # A null eighth has a folder without a number.
+    eighth = F.nullif(F.regexp_extract("path", "eighth=(-?[0-9]+)", 1), F.lit("")).cast("long")
+    return kept.groupBy(eighth.alias("eighth")).agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
 QUERIES = {

@@ -11,6 +11,12 @@ from orderflow.operators.ingest import split_ingest
 from orderflow.sources.corpus import suffix_glob
 from orderflow.streaming.fold import _run
 
+WHOLE_FILES = {
+    "parquet.block.size": 16 << 20,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
+
 
 def stream_corpus(
     spark: SparkSession, path: str, suffix: str = ".txt", files_per_trigger: int | None = None
@@ -50,9 +56,13 @@ def stream_extraction(
 
 
 def stream_documents(docs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep arriving documents as they are, a folder for each batch: every file once, over all starts."""
+    """Keep arriving documents as they are, a folder for each batch: every file once, over all starts.
+
+    A row is a whole file, so a writer looks at its memory after every row, and
+    row groups are small, as a reader holds one.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").options(**WHOLE_FILES).parquet(f"{path}/batch={batch_id}")
 
     return _run(docs, write, checkpoint, "append", every)

@@ -200,3 +200,19 @@ def test_pickup_takes_each_file_once(spark, tmp_path):
     assert run() == [1, 1]
     (inbox / "c.txt").write_text(text)
     assert run() == [2, 1]
+
+
+def test_pickup_files_do_not_grow(spark, tmp_path, monkeypatch):
+    """More text is more files of an eighth, not longer ones; no text is lost, odd ids and texts included."""
+    monkeypatch.setattr(stream_queries, "FILE_BYTES", 2_000)
+    monkeypatch.setattr(stream_queries, "_new_folder", lambda spark: f"{tmp_path}/run")
+    docs = [(i, f"é{i}\n" * (i % 50)) for i in range(800)] + [(8, None), (8, "x" * 500), (8, "x" * 500), (-3, "neg"), (None, "none")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want: dict = {}
+    for i, text in docs:
+        eighth = None if i is None else i % 8 if i >= 0 else -(-i % 8)
+        want[eighth] = want.get(eighth, 0) + len(text or "") + 1
+    assert {r.eighth: r.n_chars for r in stream_queries.stream_pickup(spark, str(tmp_path)).collect()} == want
+    sizes = [f.stat().st_size for f in (tmp_path / "run" / "in").rglob("*.txt")]
+    assert max(sizes) < 6_000 < sum(sizes) / 10
+    assert len(list((tmp_path / "run" / "out").glob("batch=*"))) <= 6
