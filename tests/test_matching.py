@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderflow.operators import matching as M
@@ -29,6 +30,44 @@ def test_first_contained(spark):
     assert {r.value for r in empty.collect()} == {None}
 
 
+def joined_rows(df):
+    """Rows that the joins of a query that has run put out, the largest number of one join."""
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        elif name.endswith("JoinExec"):
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_keys_that_share_grams_do_not_multiply(spark):
+    """Four times as many texts and keys make four times as many rows in a join, not sixteen."""
+    for n in (500, 2000):
+        texts = [(i, f"http://a.b/{i:012b}/x") for i in range(n)]
+        keys = spark.createDataFrame([(f"/{i:012b}",) for i in range(n)], "key string")
+        found = M.containing(spark.createDataFrame(texts, "doc_id long, text string"), keys)
+        assert {tuple(r) for r in found.collect()} == {(i, f"/{i:012b}") for i in range(n)}
+        assert n <= joined_rows(found) <= 4 * n
+
+
+@pytest.mark.parametrize("firsts", [M.FIRSTS, 2])
+def test_long_and_repeated_keys(spark, monkeypatch, firsts):
+    """Keys above the length that is compared as it is, of equal beginnings; keys that a text holds more than once."""
+    monkeypatch.setattr(M, "FIRSTS", firsts)
+    keys = ["ab" * 40 + str(i) for i in range(20)] + ["ab" * 32, "é" * 70, "ab", "b", "zz" * 50]
+    texts = [(i, "x" * i + "ab" * 50 + str(i)) for i in range(20)] + [(50, "é" * 71), (51, "aé" * 3), (52, "abab"), (53, "b"), (54, "")]
+    found = M.containing(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == {(i, k) for i, t in texts for k in keys if k in t} and len(set(got)) == len(got)
+    assert ("strategy=broadcast" in found._jdf.queryExecution().toString()) == (firsts > 2)
+
+
 def test_longest_prefix(spark):
     rows = spark.createDataFrame([(1, "13R025108"), (2, "13R1"), (3, "9"), (4, None), (5, ""), (6, "13R025108")], "i long, code string")
     mapping = spark.createDataFrame([("13R", 1.0), ("13R025", 2.5), ("13R025", 3.0), ("13R0251089", 9.0), ("", 7.0), (None, 8.0)], "prefix string, value double")
